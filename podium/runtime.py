@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +75,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cores() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
+
+
+def ranked(df: DataFrame, order: list, col: str = "rank") -> DataFrame:
+    """`df` with its position from 0 in the total order `order`, as a written table.
+
+    Rows are range-partitioned and sorted, each partition numbers its own, and the partitions' sizes give the offsets;
+    no task sees more than a range.
+    """
+    names = df.columns
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("__part").orderBy(*order)
+    local = parts.withColumn("__row", F.row_number().over(w) - 1)
+    at, offsets = 0, {}
+    for p, k in sorted((r[0], r[1]) for r in parts.groupBy("__part").count().collect()):
+        offsets[p], at = at, at + k
+    if not offsets:
+        return local.select(*names, F.col("__row").cast("long").alias(col))
+    m = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
+    return written(local.select(*names, (m[F.col("__part")] + F.col("__row")).cast("long").alias(col)), "ranked")
