@@ -13,9 +13,9 @@ from podium.runtime import ranked, written
 SCORE_BREAKS = [-5, -4, -3, -2, -1, 0, 0.8, 1.5, 2.4, 4, 5]
 SCORE_LABELS = ["XB-", "XB", "XB+", "XA-", "XA", "XA+", "XS-", "XS", "XS+", "XX", "XX+", "XX★"]
 PERCENTILE_BREAKS = [0.003, 0.03, 0.10, 0.25, 0.50, 0.75, 0.90, 0.97]
-PERCENTILE_LABELS = ["P1", "P2", "P3", "P4", "P5", "P6", "P7", "P8", "P9"]
+PERCENTILE_LABELS = ["X★", "X+", "X", "S+", "S", "S-", "A+", "A", "A-"]
 ELO_BREAKS = [1200, 1400, 1600, 1800, 2000, 2200, 2400, 2600]
-ELO_LABELS = ["E1", "E2", "E3", "E4", "E5", "E6", "E7", "E8", "E9"]
+ELO_LABELS = ["Beginner", "Novice", "Intermediate", "Advanced", "Expert", "Master", "Grandmaster", "Super GM", "Elite"]
 SYSTEMS_SQL = [("score", "score", SCORE_BREAKS, SCORE_LABELS), ("percentile", "pct", PERCENTILE_BREAKS, PERCENTILE_LABELS), ("elo", "elo", ELO_BREAKS, ELO_LABELS)]
 
 
