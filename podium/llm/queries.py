@@ -121,5 +121,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in q}
 
 
+_TOP = """SELECT tournament_id, player_id, score, row_number() OVER (PARTITION BY tournament_id ORDER BY score DESC, player_id) AS position
+  FROM (SELECT DISTINCT tournament_id, player_id FROM player_appearances WHERE tournament_id IN (SELECT tournament_id FROM tournaments)) a
+  JOIN (SELECT player_id, max(score) AS score FROM rankings WHERE calculated_at_ms = (SELECT max(calculated_at_ms) FROM rankings) AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1) r USING (player_id)"""
+_KEY = "nullif(regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', '', 'g'), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"SELECT tournament_id, player_id FROM ({_TOP}) WHERE position <= {TOP}",
+        "p5_top": f"SELECT tournament_id, player_id, score, CAST(position AS INTEGER) AS position FROM ({_TOP}) WHERE position <= {TOP}",
+        "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CAPACITY}",
+        "p8_found": f"""SELECT source FROM (SELECT t.source, t.max_repeats, t.target_share / sum(t.target_share) OVER () AS share, coalesce(d.tokens, 0) AS tokens, sum(coalesce(d.tokens, 0)) OVER () AS total FROM
+          (SELECT *, {_KEY} AS k FROM mix_targets) t LEFT JOIN (SELECT {_KEY} AS k, sum(coalesce(strlen(text), 0)) AS tokens FROM documents GROUP BY 1) d ON d.k = t.k) WHERE max_repeats * tokens < share * total""",
+    }
