@@ -36,6 +36,7 @@ def loss(p: Column) -> Column:
 
 def confidence_weight(p: Column, scheme: str, threshold: float = 0.1, base: float = 2.0) -> Column:
     """Weight of a prediction in a loss: by its distance from one half (named entropy schemes run upwards with it)."""
+    p = scalar.clipped(p, 1e-15, 1 - 1e-15)
     far = F.abs(p - 0.5) * 2
     return {
         "none": F.lit(1.0), "entropy": far, "entropy_sqrt": F.sqrt(far), "entropy_squared": far * far, "var_inv": 1 / (p * (1 - p)),
@@ -55,7 +56,7 @@ def uncertainty_weight(p: Column, scheme: str, threshold: float = 0.1, base: flo
 def weighted_losses(pred: DataFrame, by: list[str]) -> DataFrame:
     """Per group: matches, accuracy, Brier score, mean loss and the loss under every scheme."""
     p, x = F.col("p"), loss(F.col("p"))
-    sums = [(F.sum(confidence_weight(p, s) * x) / F.sum(confidence_weight(p, s))).alias(f"loss_{s}") for s in SCHEMES]
+    sums = [F.try_divide(F.sum(confidence_weight(p, s) * x), F.sum(confidence_weight(p, s))).alias(f"loss_{s}") for s in SCHEMES]
     g = pred.where("p is not null").groupBy(*by)
     return g.agg(F.count(F.lit(1)).alias("matches"), F.avg((p > 0.5).cast("double")).alias("accuracy"), F.avg((1 - p) * (1 - p)).alias("brier"), F.avg(p).alias("mean_p"), *sums)
 
@@ -77,7 +78,7 @@ def reliability(outcomes: DataFrame, n: int = 10) -> DataFrame:
 
 def ece(rel: DataFrame) -> DataFrame:
     """Expected calibration error: gaps weighted by matches."""
-    return rel.agg((F.sum(F.col("gap") * F.col("matches")) / F.sum("matches")).alias("ece"))
+    return rel.agg(F.try_divide(F.sum(F.col("gap") * F.col("matches")), F.sum("matches")).alias("ece"))
 
 
 def both_ways(pred: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def upsets(pred: DataFrame) -> DataFrame:
     f = F.greatest(F.col("p"), 1 - F.col("p"))
     b = scalar.cut(f, [0.6, 0.7, 0.8, 0.9], ["50-60", "60-70", "70-80", "80-90", "90-100"])
     g = pred.where("p is not null").groupBy(b.alias("favourite")).agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("p") < 0.5).alias("upsets"), F.sum(1 - f).alias("expected"))
-    return g.withColumn("ratio", F.col("upsets") / F.col("expected"))
+    return g.withColumn("ratio", F.try_divide("upsets", "expected"))
 
 
 def alpha_losses(matches: DataFrame, ratings: DataFrame, grid: list[float]) -> DataFrame:
@@ -193,6 +194,6 @@ def bootstrap(df: DataFrame, value: str, replicates: int = 200, seed: int = 42)
         k = F.when(u < c, i).otherwise(k)
     rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(*df.columns).alias("row"), F.col(value).alias("v"))
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", k)
-    means = reps.groupBy("rep").agg((F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("m"))
+    means = reps.groupBy("rep").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("m"))
     mean = rows.agg(F.avg("v")).first()[0]
     return means.agg(F.lit(mean).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

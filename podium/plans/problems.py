@@ -145,3 +145,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": p6_found,
         "p6_instants": p6_instants,
     }
+
+
+_REFS = (
+    ("matches.winner_team_id", "matches", "match_id", "winner_team_id", "tournament_teams", "team_id", "team"),
+    ("player_appearances.tournament_id", "player_appearances", "appearance_id", "tournament_id", "tournaments", "tournament_id", "tournament"),
+    ("player_appearances.match_id", "player_appearances", "appearance_id", "match_id", "matches", "match_id", "match"),
+)
+_MISSES = " UNION ALL ".join(
+    f"""SELECT '{name}' AS reference, rec AS record_id, CASE WHEN f.k IS NOT NULL THEN 'late' WHEN g.internal_id IS NOT NULL THEN 'deleted' ELSE 'missing' END AS kind, seen
+  FROM (SELECT {rec} AS rec, {col} AS k, min(ingested_at) AS seen FROM {child} WHERE {col} IS NOT NULL GROUP BY ALL) x LEFT JOIN (SELECT {key} AS k, min(ingested_at) AS first FROM {parent} GROUP BY 1) f ON f.k = x.k
+  LEFT JOIN (SELECT DISTINCT internal_id FROM removed_records WHERE entity_type = '{e}') g ON g.internal_id = x.k WHERE f.k IS NULL OR x.seen < f.first"""
+    for name, child, rec, col, parent, key, e in _REFS
+)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"SELECT DISTINCT reference, record_id, kind FROM ({_MISSES})",
+        "p3_report": f"SELECT reference, period, kind, count(*) AS records FROM (SELECT reference, record_id, kind, coalesce(strftime(min(seen) AT TIME ZONE 'UTC', '%Y-%m'), 'unknown') AS period FROM ({_MISSES}) GROUP BY ALL) GROUP BY ALL",
+    }

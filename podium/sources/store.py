@@ -1,6 +1,6 @@
 """Tables with versions in a folder: insert-if-absent, upserts and imports that happen wholly or not at all.
 
-A version is a parquet folder; `_current` names the one that counts and is replaced last, so readers see whole
+A version is a parquet folder; `CURRENT` names the one that counts and is replaced last, so readers see whole
 versions and a failed write changes nothing. Partitions by run are only added to.
 """
 
@@ -62,9 +62,9 @@ class Versioned:
         self._fs = self._p("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> str | None:
-        if not self._fs.exists(self._p("_current")):
+        if not self._fs.exists(self._p("CURRENT")):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0].strip()
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0].strip()
 
     def read(self) -> DataFrame | None:
         v = self.version()
@@ -74,11 +74,11 @@ class Versioned:
         """Writes `df` as the new version, then makes it the current one."""
         v = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{v}")
-        out = self._fs.create(self._p("_next"), True)
+        out = self._fs.create(self._p("NEXT"), True)
         out.write(bytearray(v.encode()))
         out.close()
-        self._fs.delete(self._p("_current"), False)
-        self._fs.rename(self._p("_next"), self._p("_current"))
+        self._fs.delete(self._p("CURRENT"), False)
+        self._fs.rename(self._p("NEXT"), self._p("CURRENT"))
         return v
 
     def insert_absent(self, df: DataFrame, keys: list[str]) -> None:
