@@ -132,13 +132,14 @@ def exposure_gini(s, d):
 
 @query()
 def temporal_cross_validation(s, d):
-    """Loss and accuracy of team PageRank, trained on what came before, per temporal fold."""
+    """Loss and accuracy per temporal fold: players rated on what came before, teams by their rated members."""
     out = None
-    m = written(domain.played(s, d), "m")
+    m, r, a = (written(f(s, d), "cv") for f in (domain.played, domain.rosters, domain.appearances))
     for i, (train, test) in enumerate(evaluate.folds(m, 3)):
-        e = written(convert.team_edges(convert.weighted(train, NOW, RATE)), "edges")
-        r = graph.pagerank(e, "weight_sum", graph.teleport(e)).select("id", F.col("score").alias("rating"))
-        x = evaluate.weighted_losses(evaluate.predicted(test, r, prior=1e-4), []).withColumn("fold", F.lit(i))
+        c = convert.compact(convert.weighted(train, NOW, RATE), r, a)
+        rated = graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
+        teams = written(r.join(rated, "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating")), "teams")
+        x = evaluate.weighted_losses(evaluate.predicted(test, teams, prior=1.0), []).withColumn("fold", F.lit(i))
         out = x if out is None else out.unionByName(x)
     return out
 

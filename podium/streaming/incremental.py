@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from podium.runtime import shared_dir
 from podium.sources.store import Versioned
 
-STALE_S, CLEAN_S = 7 * 86400, 30 * 86400
+STALE_S = 7 * 86400
 
 
 def read(spark: SparkSession, folder: str, pattern: str, files: int = 4) -> DataFrame:
@@ -79,22 +79,22 @@ def next_state(state: str, misses: int, found: bool, started: bool, finalized: b
 
 def lifecycle(looks: DataFrame) -> DataFrame:
     """(tournament_id, state, misses, at): state machine over a stream of looks (tournament_id, at, found, started,
-    finalized, idle_s), a tournament's own state between batches; completed ones are forgotten after 30 days."""
+    finalized, idle_s). A tournament's state is kept between batches until it is completed or deleted; another look then
+    begins anew, and shows the same."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         name, misses, at = state.get if state.exists else ("unknown", 0, 0.0)
         rows = pd.concat(list(frames)).sort_values("at", kind="stable")
         for r in rows.itertuples(index=False):
             name, misses = next_state(name, misses, bool(r.found), bool(r.started), bool(r.finalized), float(r.idle_s))
             at = max(at, float(r.at))
-        state.update((name, misses, at))
         if name in ("completed", "deleted"):
-            state.setTimeoutDuration(CLEAN_S * 1000)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((name, misses, at))
         yield pd.DataFrame({"tournament_id": [key[0]], "state": [name], "misses": [misses], "at": [at]})
 
-    return looks.groupBy("tournament_id").applyInPandasWithState(run, "tournament_id long, state string, misses long, at double", "state string, misses long, at double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return looks.groupBy("tournament_id").applyInPandasWithState(run, "tournament_id long, state string, misses long, at double", "state string, misses long, at double", "update", GroupStateTimeout.NoTimeout)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
