@@ -33,7 +33,7 @@ QUANTILES = (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 HEADINGS = {
     "abstract": r"\(57\)|\b(?:Abstract|ABSTRACT|Zusammenfassung|ZUSAMMENFASSUNG|Abrégé|ABRÉGÉ|Résumé|RÉSUMÉ)\b",
     "description": (
-        r"\bDetailed\b(?:\s+[^\s.:]+){0,5}?\s+(?:invention|description)\b|\b[Dd]escription\s+of(?:\s+[^\s.:]+){0,2}?\s+invention\b"
+        r"\bDetailed\b(?:\s+[^\s.:]+){0,5}?\s+invention\b|\bDetailed\s+description\b|\b[Dd]escription\s+of(?:\s+[^\s.:]+){0,2}?\s+invention\b"
         r"|\b(?:DESCRIPTION|Description|BACKGROUND|Beschreibung|BESCHREIBUNG|Technisches\s+Gebiet|TECHNISCHES\s+GEBIET|Domaine\s+technique|DOMAINE\s+TECHNIQUE)\b"
     ),
     "claims": (
