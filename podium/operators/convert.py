@@ -78,13 +78,13 @@ def team_edges(weights: DataFrame) -> DataFrame:
     return g.agg(F.sum("weight").alias("weight_sum"))
 
 
-def player_edges(weights: DataFrame, rosters: DataFrame) -> DataFrame:
-    """(loser, winner, weight_sum) between the rosters' players, over all pairs of a match."""
+def player_edges(weights: DataFrame, rosters: DataFrame, also: list[str] = ()) -> DataFrame:
+    """(loser, winner, weight_sum) between the rosters' players, over all pairs of a match, and per `also` columns."""
     r = rosters.select("tournament_id", "team_id", "user_id").dropna().distinct()
     side = lambda s: weights.select("match_id", "tournament_id", F.col(f"{s}_team_id").alias("team_id"), "weight").join(r, ["tournament_id", "team_id"])
     pairs = side("loser").select("match_id", "tournament_id", "weight", F.col("user_id").alias("loser"))
     pairs = pairs.join(side("winner").select("match_id", "tournament_id", F.col("user_id").alias("winner")), ["match_id", "tournament_id"])
-    return pairs.groupBy("loser", "winner").agg(F.sum("weight").alias("weight_sum"))
+    return pairs.groupBy("loser", "winner", *also).agg(F.sum("weight").alias("weight_sum"))
 
 
 def share_edges(compacted: DataFrame) -> DataFrame:

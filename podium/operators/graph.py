@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import scalar
 from podium.operators import convert
-from podium.runtime import written
+from podium.runtime import broadcast_if_small, written
 
 #: Edges that may come to the driver: 24 bytes each.
 EDGES = 4_000_000
@@ -93,7 +93,7 @@ def pagerank(edges: DataFrame, weight: str, v: DataFrame, cfg: PageRank = PageRa
     """(id, score): mass goes from `loser` to `winner` in proportion to `weight` of the loser's edges."""
     e = edges.select("loser", "winner", F.col(weight).cast("double").alias("w"))
     e, v = written(e, "edges"), written(v.select("id", F.col("v").cast("double").alias("v")), "teleport")
-    return _pagerank_arrays(e, v, cfg) if e.limit(edges_bound + 1).count() <= edges_bound else _pagerank_frames(e, v, cfg)
+    return _pagerank_arrays(e, v, cfg) if e.count() <= edges_bound else _pagerank_frames(e, v, cfg)
 
 
 def step_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, v: np.ndarray, cfg: PageRank) -> np.ndarray:
@@ -241,20 +241,32 @@ def participants(matches: DataFrame, rosters: DataFrame) -> DataFrame:
     return rosters.join(used, ["tournament_id", "team_id"]).select("tournament_id", "user_id").distinct()
 
 
-def row_pagerank(weights: DataFrame, rosters: DataFrame, cfg: Engine) -> DataFrame:
-    """(id, score) of players from losers to winners."""
-    edges = written(convert.player_edges(weights, rosters), "edges")
-    e = normalized(edges, denominators(edges, cfg.smoothing))
-    return pagerank(e, "normalized_weight", teleport(edges, "volume_inverse"), cfg.pagerank)
+def row_pagerank(edges: DataFrame, v: DataFrame, cfg: Engine) -> DataFrame:
+    """(id, score) of players from losers to winners.
+
+    Without deficit the rows are normalised in the PageRank itself, which cancels any smoothed denominators; they only
+    count with deficit.
+    """
+    if not cfg.pagerank.deficit:
+        return pagerank(edges, "weight_sum", v, cfg.pagerank)
+    edges = written(edges, "edges")
+    return pagerank(normalized(edges, denominators(edges, cfg.smoothing)), "normalized_weight", v, cfg.pagerank)
 
 
 def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine()) -> tuple[DataFrame, DataFrame]:
-    """((id, score), influence): ratings and tournaments' influence re-estimated in turn until it settles."""
+    """((id, score), influence): ratings and tournaments' influence re-estimated in turn until it settles.
+
+    The pairs are made once, with their decayed weight per tournament; a tick only scales and sums them.
+    """
     who = written(participants(matches, rosters), "participants")
     infl = written(matches.select("tournament_id").dropna().distinct().withColumn("strength", F.lit(1.0)), "influence")
+    base = written(convert.player_edges(convert.weighted(matches, cfg.now, cfg.rate), rosters, ["tournament_id"]), "pairs")
+    v = written(teleport(base.select("loser", "winner").distinct(), "volume_inverse"), "teleport")
     scores = None
     for _ in range(cfg.max_ticks):
-        scores = written(row_pagerank(convert.weighted(matches, cfg.now, cfg.rate, infl, cfg.beta), rosters, cfg), "scores")
+        w = F.col("weight_sum") * F.pow(F.coalesce("strength", F.lit(1.0)), F.lit(cfg.beta))
+        e = base.join(broadcast_if_small(infl), "tournament_id", "left").groupBy("loser", "winner").agg(F.sum(w).alias("weight_sum"))
+        scores = written(row_pagerank(e, v, cfg), "scores")
         new = written(influence(scores, who, cfg.influence_method), "influence")
         both = new.withColumnRenamed("strength", "new").join(infl, "tournament_id", "full")
         change = both.agg(F.avg(F.abs(F.coalesce("new", F.lit(1.0)) - F.coalesce("strength", F.lit(1.0))))).first()[0] or 0.0

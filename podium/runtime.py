@@ -65,7 +65,7 @@ def row_bytes(df: DataFrame, string_bytes: int = 64) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, string_bytes: int = 64) -> DataFrame:
     """`df` with a broadcast hint if its rows, counted now, fit in `limit` bytes; else `df` as it is, to be shuffled."""
     most = max(1, limit // row_bytes(df, string_bytes))
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

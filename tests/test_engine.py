@@ -54,7 +54,8 @@ def test_exact_attribution_is_rating_again_without_the_match(spark):
         score = lambda x: {q["id"]: q["score"] for q in graph.log_odds(x, cfg).collect()}[player]  # noqa: B023, E731
         want[(player, match)] = (score(c), score(c.where(F.col("match_id") != match)))
     got = loo.exact(c, spark.createDataFrame([(p, q) for p, q in want], "id long, match_id long"), 0.025).collect()
-    assert len(got) == 2
+    got += loo.exact(c, spark.createDataFrame([(5, 3)], "id long, match_id long"), 0.025, edges_bound=0).collect()
+    assert len(got) == 3
     for x in got:
         old, new = want[(x["id"], x["match_id"])]
         assert abs(x["old_score"] - old) < 1e-8 and abs(x["new_score"] - new) < 1e-6
