@@ -43,7 +43,8 @@ HEADINGS = {
     # The first claim, where its heading is lost.
     "claims_body": r"(?:(?<=\s)|^)1\s?\.\s(?=[^\n]{0,300}?\b(?:comprising|characterised|characterized|wherein|gekennzeichnet|comprenant|caractérisé|method comprising))",
 }
-_HEADING = re.compile("|".join(f"(?P<{k}>{p})" for k, p in HEADINGS.items()))
+# Most places fail at the first look: a heading begins a word with one of these.
+_HEADING = re.compile(r"(?<!\w)(?=[(ABCDIPRTWZ1]|description|invention)(?:" + "|".join(f"(?P<{k}>{p})" for k, p in HEADINGS.items()) + ")")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _BROKEN = re.compile(r"-\s*\n\s*")
 
