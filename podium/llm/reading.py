@@ -31,7 +31,7 @@ QUANTILES = (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 
 # Headings of sections in English, German and French, as they are after translation by machine too.
 HEADINGS = {
-    "abstract": r"\(57\)|\b(?:Abstract|ABSTRACT|Zusammenfassung|ZUSAMMENFASSUNG|Abrégé|ABRÉGÉ|Résumé|RÉSUMÉ)\b",
+    "abstract": r"\b(?:Abstract|ABSTRACT|Zusammenfassung|ZUSAMMENFASSUNG|Abrégé|ABRÉGÉ|Résumé|RÉSUMÉ)\b",
     "description": (
         r"\bDetailed\b(?:\s+[^\s.:]+){0,5}?\s+invention\b|\bDetailed\s+description\b|\b[Dd]escription\s+of(?:\s+[^\s.:]+){0,2}?\s+invention\b"
         r"|\b(?:DESCRIPTION|Description|BACKGROUND|Beschreibung|BESCHREIBUNG|Technisches\s+Gebiet|TECHNISCHES\s+GEBIET|Domaine\s+technique|DOMAINE\s+TECHNIQUE)\b"
@@ -44,7 +44,7 @@ HEADINGS = {
     "claims_body": r"(?:(?<=\s)|^)1\s?\.\s(?=[^\n]{0,300}?\b(?:comprising|characterised|characterized|wherein|gekennzeichnet|comprenant|caractérisé|method comprising))",
 }
 # Most places fail at the first look: a heading begins a word with one of these.
-_HEADING = re.compile(r"(?<!\w)(?=[(ABCDIPRTWZ1]|description|invention)(?:" + "|".join(f"(?P<{k}>{p})" for k, p in HEADINGS.items()) + ")")
+_HEADING = re.compile(r"(?<!\w)(?=[ABCDIPRTWZ1]|description|invention)(?:" + "|".join(f"(?P<{k}>{p})" for k, p in HEADINGS.items()) + ")")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _BROKEN = re.compile(r"-\s*\n\s*")
 

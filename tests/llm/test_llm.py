@@ -183,6 +183,8 @@ def test_shares(spark, monkeypatch):
 def test_sections():
     s = reading.sections("Title\n(57) Abstract\nA short one.\nDetailed of description the invention\nThe long one.\nWhat claimed it is is:\n1. A thing comprising: a part.")
     assert s["description"].split() == ["The", "long", "one."] and "comprising" in s["claims"] and "short" in s["abstract"]
+    s = reading.sections("ABSTRACT A short one. DESCRIPTION Two pins hold the sheet (57). They are long.")
+    assert s["description"].split()[-1] == "long."
     s = reading.sections("Ansprüche 1. Etwas nach einem der Ansprüche 1 bis 2, dadurch gekennzeichnet. Beschreibung Das Teil ist rund.")
     assert s["description"].strip() == "Das Teil ist rund." and "description" not in reading.sections("CLAIMS\n1. A thing wherein it is.")
     assert reading.words("ge-\nkürzt x≤3 Ab-satz") == ["gekürzt", "ab", "satz"]
