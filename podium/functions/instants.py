@@ -66,7 +66,7 @@ CALENDAR = {
 _PATTERNS = {k: re.compile(p) for k, p in CALENDAR.items()}
 #: Seconds that one value of a layout covers, for its likelihood.
 RESOLUTION = defaultdict(lambda: 1.0, epoch_ms=1e-3, epoch_us=1e-6, epoch_ns=1e-9, serial_days=1e-3, ymd_digits=86400.0, ydm_digits=86400.0, ymdhm_digits=60.0)
-_SPACE = re.compile("[\\s   -‍  　﻿]+")
+_SPACE = re.compile("[\\s\u00a0\u1680\u2000-\u200d\u202f\u205f\u3000\ufeff]+")
 _NUMBER = re.compile(r"\d{1,19}(\.\d{1,9})?")
 
 

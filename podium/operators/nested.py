@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 WRAPPERS = ("data", "payload", "result", "value", "body", "content")
 NODE = "record_id long, doc long, path string, pre long, post long, pos long, value string"
 _ARROW = pa.schema([("record_id", pa.int64()), ("doc", pa.int64()), ("path", pa.string()), ("pre", pa.int64()), ("post", pa.int64()), ("pos", pa.int64()), ("value", pa.string())])
-_BLANK = " \t\r\n ​﻿\x00"
+_BLANK = " \t\r\n\u00a0\u200b\ufeff\x00"
 
 
 class Unreadable(ValueError):
