@@ -236,8 +236,8 @@ def _queue(s: SparkSession, d: str) -> DataFrame:
 
 @query(sql("", "SELECT season, count(*) AS matches, min(created_s) AS first_s, max(created_s) AS last_s FROM (SELECT *, sum(CASE WHEN gap > 172800 THEN 1 ELSE 0 END) OVER (ORDER BY created_s, match_id) AS season FROM (SELECT *, created_s - lag(created_s) OVER (ORDER BY created_s, match_id) AS gap FROM q WHERE created_s % 1209600 < 864000)) GROUP BY 1", q=_Q).replace("SELECT season,", "SELECT CAST(season AS BIGINT) AS season,"))
 def queue_seasons(s, d):
-    """Seasons by gaps of more than two days; every fortnight's last days are left out to have some."""
-    return queue.season_metadata(queue.seasons(_queue(s, d).where("created_s % 1209600 < 864000")))
+    """Seasons by gaps of more than two days, over all events."""
+    return queue.season_metadata(queue.seasons(_queue(s, d)))
 
 
 _ROLL = ", ".join(f"count(is_winner) OVER w{n} AS count_{n}, CAST(sum(is_winner::INT) OVER w{n} AS BIGINT) AS won_{n}, CAST(sum(is_winner::INT) OVER w{n} - is_winner::INT AS BIGINT) AS won_prior_{n}" for n in ("7d", "24h"))
