@@ -138,9 +138,9 @@ def _pagerank_sql() -> str:
 
 @query(_pagerank_sql())
 def team_pagerank(s, d):
-    """PageRank of teams from losers to winners after a fixed number of steps."""
+    """PageRank of teams from losers to winners, run until it settles; the SQL stops after `STEPS` steps."""
     e = written(convert.team_edges(_weights(s, d)), "edges")
-    r = graph.pagerank(e, "weight_sum", graph.teleport(e), graph.PageRank(max_iter=STEPS, tol=0.0))
+    r = graph.pagerank(e, "weight_sum", graph.teleport(e))
     r = r.select(F.col("id").alias("team_id"), F.round("score", 9).alias("score"))
     return summary.numbered(r, [F.desc("score"), F.asc("team_id")], "rank")
 

@@ -2,11 +2,11 @@
 
 import duckdb
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
+import oracle
 
 from podium.operators import queue
-from podium.plans import analytics
+from podium.plans import analytics, reference
+from podium.sources import domain
 
 
 def test_seasons_of_all_events(spark, data, tmp_path):
@@ -20,3 +20,22 @@ def test_breaks_between_seasons(spark):
     rows = [(1, 0), (2, day), (3, 3 * day), (4, 5 * day + 1), (5, 5 * day + 2), (6, 9 * day)]
     got = {r["season"]: (r["matches"], r["first_s"], r["last_s"]) for r in queue.season_metadata(queue.seasons(spark.createDataFrame(rows, "match_id long, created_s long"))).collect()}
     assert got == {0: (3, 0, 3 * day), 1: (2, 5 * day + 1, 5 * day + 2), 2: (1, 9 * day, 9 * day)}
+
+
+def solved(lo, wi, w, v, alpha=0.85):
+    """PageRank by a dense solve: the settled scores are in proportion to (1 - alpha P')^-1 v."""
+    a = np.zeros((len(v), len(v)))
+    np.add.at(a, (wi, lo), w)
+    out = a.sum(0)
+    x = np.linalg.solve(np.eye(len(v)) - alpha * a / np.where(out > 0, out, 1), v)
+    return x / x.sum()
+
+
+def test_team_pagerank_settles(spark, data):
+    e = oracle.connection(data).execute(domain.sql("te", "SELECT loser, winner, weight_sum FROM te")).fetchdf()
+    ids = np.unique(np.concatenate([e.loser, e.winner]))
+    lo, wi = np.searchsorted(ids, e.loser), np.searchsorted(ids, e.winner)
+    v = 1 / np.sqrt(np.maximum(np.bincount(lo, minlength=len(ids)), 1))
+    want = solved(lo, wi, e.weight_sum.to_numpy(), v / v.sum())
+    got = {r["team_id"]: r["score"] for r in reference.team_pagerank(spark, data).collect()}
+    assert np.abs(want - [got[i] for i in ids]).sum() < 1e-6
