@@ -278,6 +278,11 @@ def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine()) ->
 
 def log_odds(compacted: DataFrame, cfg: Engine = Engine()) -> DataFrame:
     """(id, score, win_pr, loss_pr, rho, exposure): log of smoothed win over loss PageRank with exposure as teleport."""
+    return _log_odds(compacted, cfg).drop("quality_mass")
+
+
+def _log_odds(compacted: DataFrame, cfg: Engine) -> DataFrame:
+    """`log_odds` with quality_mass, the smoothed win PageRank's part of smoothed win and loss."""
     compacted = written(compacted, "compact")
     ex = written(convert.exposure(compacted), "exposure")
     total = ex.agg(F.sum(F.col("e_share") + 1e-12)).first()[0] or 1.0
@@ -292,24 +297,35 @@ def log_odds(compacted: DataFrame, cfg: Engine = Engine()) -> DataFrame:
     if lam is None:
         w, r = out.agg(F.percentile("win_pr", 0.5), F.percentile("rho", 0.5)).first()
         lam = 0.025 * w / r if r else 0.0
-    score = F.log((F.col("win_pr") + lam * F.col("rho")) / (F.col("loss_pr") + lam * F.col("rho")))
+    win, loss = F.col("win_pr") + lam * F.col("rho"), F.col("loss_pr") + lam * F.col("rho")
+    out = out.withColumn("quality_mass", win / (win + loss))
+    score = F.log(win / loss)
     if cfg.score_decay_rate > 0:
         out = out.join(convert.last_activity(compacted), "id")
         score = convert.inactivity(score, F.col("last_ts"), cfg.now, cfg.score_decay_days, cfg.score_decay_rate)
     out = out.withColumn("score", score)
     if cfg.min_exposure is not None:
         out = out.where(F.col("exposure") >= cfg.min_exposure)
-    return out.select("id", "score", "win_pr", "loss_pr", "rho", "exposure")
+    return out.select("id", "score", "win_pr", "loss_pr", "rho", "exposure", "quality_mass")
 
 
-def tick_tock_log_odds(matches: DataFrame, rosters: DataFrame, appearances: DataFrame | None, cfg: Engine = Engine(), rounds: int = 2, damping: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Log-odds ratings in a loop with influence from the participants' win mass, brought to [0.5, 2] and damped."""
+def tick_tock_log_odds(matches: DataFrame, rosters: DataFrame, appearances: DataFrame | None, cfg: Engine = Engine(), damping: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Log-odds ratings in a loop with influence from the participants' quality mass, brought to [0.5, 2] and damped,
+    until its mean change before damping is under `cfg.tick_tol`."""
     who = written(participants(matches, rosters), "participants")
     infl, scores = None, None
-    for _ in range(rounds):
-        scores = written(log_odds(convert.compact(convert.weighted(matches, cfg.now, cfg.rate, infl, cfg.beta), rosters, appearances), cfg), "scores")
-        new = rescaled(influence(scores.select("id", F.col("win_pr").alias("score")), who, cfg.influence_method))
-        infl = written(new if infl is None else averaged([new, infl], [1 - damping, damping]), "influence")
+    for _ in range(cfg.max_ticks):
+        rated = written(_log_odds(convert.compact(convert.weighted(matches, cfg.now, cfg.rate, infl, cfg.beta), rosters, appearances), cfg), "scores")
+        scores = rated.drop("quality_mass")
+        new = written(rescaled(influence(rated.select("id", F.col("quality_mass").alias("score")), who, cfg.influence_method)), "influence")
+        if infl is None:
+            infl = new
+            continue
+        both = infl.join(new.withColumnRenamed("strength", "new"), "tournament_id", "left")
+        change = both.agg(F.avg(F.abs(F.col("strength") - F.coalesce("new", F.lit(1.0))))).first()[0] or 0.0
+        if change < cfg.tick_tol:
+            break
+        infl = written(averaged([new, infl], [damping, 1 - damping]), "influence")
     return scores, infl
 
 

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import oracle
 
-from podium.operators import queue
+from podium.operators import graph, queue
 from podium.plans import analytics, reference
 from podium.sources import domain
 
@@ -39,3 +39,52 @@ def test_team_pagerank_settles(spark, data):
     want = solved(lo, wi, e.weight_sum.to_numpy(), v / v.sum())
     got = {r["team_id"]: r["score"] for r in reference.team_pagerank(spark, data).collect()}
     assert np.abs(want - [got[i] for i in ids]).sum() < 1e-6
+
+
+def ttl(rows, rosters, now, rate, ticks, tol):
+    """Log-odds in a loop with influence as the reference runs it, over plain arrays; every player plays."""
+    ids = sorted({u for us in rosters.values() for u in us})
+    at, n = {u: i for i, u in enumerate(ids)}, len(ids)
+    who = {}
+    for _, t, w, l, _ in rows:
+        who.setdefault(t, set()).update([*rosters[t, w], *rosters[t, l]])
+    infl, rounds = dict.fromkeys(who, 1.0), 0
+    for tick in range(ticks):
+        rounds += 1
+        lo, wi, sh, e = [], [], [], np.zeros(n)
+        for _, t, w, l, ts in rows:
+            share = np.exp(-(now - ts) / 86400 * rate) * infl[t] / (len(rosters[t, w]) * len(rosters[t, l]))
+            for x in rosters[t, w] + rosters[t, l]:
+                e[at[x]] += share
+            for x in rosters[t, w]:
+                for y in rosters[t, l]:
+                    lo.append(at[y]), wi.append(at[x]), sh.append(share)
+        rho = (e + 1e-12) / (e + 1e-12).sum()
+        lo, wi, sh = np.array(lo), np.array(wi), np.array(sh)
+        win, loss = solved(lo, wi, sh, rho), solved(wi, lo, sh, rho)
+        lam = 0.025 * np.median(win) / np.median(rho)
+        win, loss = win + lam * rho, loss + lam * rho
+        raw = {t: np.mean((win / (win + loss))[[at[u] for u in us]]) for t, us in who.items()}
+        low, high = min(raw.values()), max(raw.values())
+        new = {t: 0.5 + 1.5 * (x - low) / (high - low) for t, x in raw.items()}
+        if tick and np.mean([abs(infl[t] - new[t]) for t in infl]) < tol:
+            break
+        infl = {t: 0.5 * infl[t] + 0.5 * new[t] for t in new} if tick else new
+    return dict(zip(ids, np.log(win / loss), strict=True)), infl, rounds
+
+
+def test_influence_of_log_odds_settles(spark):
+    g, now = np.random.default_rng(7), 1_700_000_000
+    # A tournament's teams are its own, better or worse on the whole, so that the tournaments' influence differs.
+    rosters = {(t, k): [int(x) for x in 4 * ((k + 2 * t) % 10) + np.arange(4)] for t in range(1, 5) for k in range(6)}
+    rows = [(i, int(t), int(w), int(l), now - 86400 * i) for i, (t, w, l) in enumerate(zip(g.integers(1, 5, 150), g.integers(0, 6, 150), g.integers(0, 6, 150), strict=True)) if w != l]
+    m = spark.createDataFrame(rows, "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    r = spark.createDataFrame([(t, k, u) for (t, k), us in rosters.items() for u in us], "tournament_id long, team_id long, user_id long")
+    for ticks, tol in ((4, 0.0), (30, 0.02)):
+        cfg = graph.Engine(now=now, max_ticks=ticks, tick_tol=tol, pagerank=graph.PageRank(tol=1e-13, max_iter=500))
+        scores, infl = graph.tick_tock_log_odds(m, r, None, cfg)
+        want, want_infl, rounds = ttl(rows, rosters, now, cfg.rate, ticks, tol)
+        assert rounds == ticks if tol == 0 else 2 < rounds < ticks
+        assert scores.columns == ["id", "score", "win_pr", "loss_pr", "rho", "exposure"]
+        assert max(abs(want[x["id"]] - x["score"]) for x in scores.collect()) < 1e-7
+        assert max(abs(want_infl[x["tournament_id"]] - x["strength"]) for x in infl.collect()) < 1e-7
