@@ -60,6 +60,16 @@ def ingested_appearances(s, d):
     return ingest.appearances(match.select("tournament_id", doc.alias("payload")), "tournament_id", "payload").select("tournament_id", "match_id", "user_id", "team_id")
 
 
+def _batches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two imports that together hold every player: those on a roster, then those who played or are on none, with names in capitals."""
+    on = domain.rosters(s, d).select(F.col("user_id").alias("player_id")).distinct()
+    played = domain.appearances(s, d).select(F.col("user_id").alias("player_id")).distinct()
+    p = domain.players(s, d).join(on.withColumn("on", F.lit(True)), "player_id", "left").join(played.withColumn("played", F.lit(True)), "player_id", "left")
+    p = written(p, "p")
+    new = p.where("played or on is null").select("player_id", F.upper("name").alias("name"), "country")
+    return p.where("on").select("player_id", "name", "country"), new
+
+
 _OLD = "SELECT player_id, name, country FROM p WHERE player_id % 3 != 0"
 _NEW = "SELECT player_id, CASE WHEN player_id % 5 = 0 THEN NULL ELSE upper(name) END AS name, country FROM p WHERE player_id % 2 = 0"
 
@@ -67,20 +77,20 @@ _NEW = "SELECT player_id, CASE WHEN player_id % 5 = 0 THEN NULL ELSE upper(name)
 @query(sql("p", "SELECT coalesce(n.player_id, o.player_id) AS player_id, coalesce(n.name, o.name) AS name, CASE WHEN o.player_id IS NULL THEN n.country ELSE o.country END AS country FROM o FULL JOIN n ON n.player_id = o.player_id", o=_OLD, n=_NEW))
 def upsert_players(s, d):
     """An upsert that may only change the name."""
-    p = written(domain.players(s, d), "p")
+    old, new = _batches(s, d)
     t = store.Versioned(s, incremental.scratch(s, "upsert"))
-    t.upsert(p.where("player_id % 3 != 0"), ["player_id"])
-    t.upsert(p.where("player_id % 2 = 0").select("player_id", F.when(F.col("player_id") % 5 != 0, F.upper("name")).alias("name"), "country"), ["player_id"], ["name"])
+    t.upsert(old, ["player_id"])
+    t.upsert(new, ["player_id"], ["name"])
     return t.read()
 
 
 @query(sql("p", "SELECT player_id, name, country FROM o UNION ALL SELECT player_id, name, country FROM n WHERE player_id NOT IN (SELECT player_id FROM o)", o=_OLD, n=_NEW))
 def insert_absent_players(s, d):
     """Insert if absent."""
-    p = written(domain.players(s, d), "p")
+    old, new = _batches(s, d)
     t = store.Versioned(s, incremental.scratch(s, "absent"))
-    t.insert_absent(p.where("player_id % 3 != 0"), ["player_id"])
-    t.insert_absent(p.where("player_id % 2 = 0").select("player_id", F.when(F.col("player_id") % 5 != 0, F.upper("name")).alias("name"), "country"), ["player_id"])
+    t.insert_absent(old, ["player_id"])
+    t.insert_absent(new, ["player_id"])
     return t.read()
 
 

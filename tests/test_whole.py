@@ -5,7 +5,7 @@ import numpy as np
 import oracle
 
 from podium.operators import graph, queue
-from podium.plans import analytics, reference
+from podium.plans import analytics, pipelines, reference
 from podium.sources import domain
 
 
@@ -88,3 +88,16 @@ def test_influence_of_log_odds_settles(spark):
         assert scores.columns == ["id", "score", "win_pr", "loss_pr", "rho", "exposure"]
         assert max(abs(want[x["id"]] - x["score"]) for x in scores.collect()) < 1e-7
         assert max(abs(want_infl[x["tournament_id"]] - x["strength"]) for x in infl.collect()) < 1e-7
+
+
+def test_no_player_is_lost_by_stores(spark, data):
+    con = oracle.connection(data)
+    p = {r[0]: r[1:] for r in con.execute(domain.sql("p", "SELECT player_id, name, country FROM p")).fetchall()}
+    on = {r[0] for r in con.execute(domain.sql("r", "SELECT DISTINCT user_id FROM r")).fetchall()}
+    played = {r[0] for r in con.execute(domain.sql("a", "SELECT DISTINCT user_id FROM a")).fetchall()}
+    capitals = lambda x: x and x.upper()
+    upserted = {k: (capitals(n) if k in played or k not in on else n, c) for k, (n, c) in p.items()}
+    absent = {k: (n if k in on else capitals(n), c) for k, (n, c) in p.items()}
+    for query, want in ((pipelines.upsert_players, upserted), (pipelines.insert_absent_players, absent)):
+        got = [tuple(r) for r in query(spark, data).select("player_id", "name", "country").collect()]
+        assert len(got) == len(p) and {r[0]: r[1:] for r in got} == want
