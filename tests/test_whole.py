@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import oracle
+import pytest
+from pyspark.sql import functions as F
 
-from podium.operators import graph, queue
+from podium.operators import convert, graph, loo, queue
 from podium.plans import analytics, pipelines, reference
 from podium.sources import domain
 
@@ -101,3 +103,47 @@ def test_no_player_is_lost_by_stores(spark, data):
     for query, want in ((pipelines.upsert_players, upserted), (pipelines.insert_absent_players, absent)):
         got = [tuple(r) for r in query(spark, data).select("player_id", "name", "country").collect()]
         assert len(got) == len(p) and {r[0]: r[1:] for r in got} == want
+
+
+def test_impact_on_every_player(spark, data):
+    con = oracle.connection(data)
+    x = con.execute(domain.sql("c", "SELECT u AS id, is_win, least(count(*), 10) AS n FROM (SELECT unnest(winners) AS u, true AS is_win FROM c UNION ALL SELECT unnest(losers), false FROM c) GROUP BY 1, 2")).fetchdf().groupby("id").n
+    got = pipelines.exact_match_impact(spark, data).select("player_id", "match_id").toPandas()
+    n = got.groupby("player_id").match_id.nunique()
+    # A match counts once for one who played on both sides.
+    assert n.sum() == len(got) and (n.sort_index() >= x.max().sort_index()).all() and (n.sort_index() <= x.sum().sort_index()).all()
+
+
+@pytest.mark.parametrize("dense", [loo.DENSE, 0])
+def test_every_match_without_as_solved_again(spark, dense):
+    g = np.random.default_rng(5)
+    # Teams share players from one tournament to the next; 40 to 43 have a single match, 50 to 53 only lose.
+    rosters = {(t, k): [int(x) for x in (4 * k + 2 * t) % 32 + np.arange(4)] for t in range(3) for k in range(8)} | {(0, 8): [40, 41, 42, 43], (0, 9): [50, 51, 52, 53]}
+    rows = [(i, int(t), int(w), int(l), 1_700_000_000 - 86400 * i) for i, (t, w, l) in enumerate(zip(g.integers(0, 3, 40), g.integers(0, 8, 40), g.integers(0, 8, 40), strict=True)) if abs(w - l) > 1]
+    rows += [(100, 0, 8, 1, 1_700_000_000), (101, 0, 2, 9, 1_700_000_000), (102, 0, 3, 9, 1_700_000_000)]
+    m = spark.createDataFrame(rows, "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    r = spark.createDataFrame([(t, k, u) for (t, k), us in rosters.items() for u in us], "tournament_id long, team_id long, user_id long")
+    c = convert.compact(convert.weighted(m, 1_700_000_000, 0.01), r)
+    ids = sorted({u for _, t, w, l, _ in rows for u in rosters[t, w] + rosters[t, l]})
+    at = {u: i for i, u in enumerate(ids)}
+
+    def scores(without=None):
+        lo, wi, sh, e = [], [], [], np.zeros(len(ids))
+        for i, t, w, l, ts in rows:
+            if i != without:
+                share = np.exp(-(1_700_000_000 - ts) / 86400 * 0.01) / 16
+                e[[at[x] for x in rosters[t, w] + rosters[t, l]]] += share
+                for x in rosters[t, w]:
+                    for y in rosters[t, l]:
+                        lo.append(at[y]), wi.append(at[x]), sh.append(share)
+        rho = (e + 1e-12) / (e + 1e-12).sum()
+        win, loss = (solved(np.array(a), np.array(b), np.array(sh), rho) + 0.025 * rho for a, b in ((lo, wi), (wi, lo)))
+        return np.log(win / loss)
+
+    wanted = c.select("match_id", F.explode(F.array_union("winners", "losers")).alias("id"))
+    got = loo.exact(c, wanted, 0.025, dense=dense).collect()
+    assert len(got) == 8 * len(rows)
+    base, new = scores(), {i: scores(i) for i, *_ in rows}
+    for x in got:
+        i = at[x["id"]]
+        assert abs(x["old_score"] - base[i]) < 1e-8 and abs(x["new_score"] - new[x["match_id"]][i]) < 1e-6, x
