@@ -238,9 +238,10 @@ def normalized_influence(s, d):
 
 @query(sql("te last", """SELECT winner AS id, round(sum(s.score * weight_sum * exp(-0.005 * weight_sum)), 6) AS strength FROM te JOIN (SELECT DISTINCT loser AS id, 1.0 / (1 + loser % 7) AS score FROM te) s ON s.id = te.loser GROUP BY 1"""))
 def retrospective_strength(s, d):
-    e = convert.team_edges(_weights(s, d))
-    scores = e.select(F.col("loser").alias("id")).distinct().withColumn("score", 1.0 / (1 + F.col("id") % 7))
-    return graph.retrospective(e, scores).withColumn("strength", F.round("strength", 6))
+    """Teams' strength from the PageRank of those they beat."""
+    e = written(convert.team_edges(_weights(s, d)), "edges")
+    scores = graph.pagerank(e, "weight_sum", graph.teleport(e))
+    return graph.retrospective(e, scores)
 
 
 @query()

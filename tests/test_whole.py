@@ -33,16 +33,28 @@ def solved(lo, wi, w, v, alpha=0.85):
     return x / x.sum()
 
 
-def test_team_pagerank_settles(spark, data):
+def settled_teams(data):
     e = oracle.connection(data).execute(domain.sql("te", "SELECT loser, winner, weight_sum FROM te")).fetchdf()
     ids = np.unique(np.concatenate([e.loser, e.winner]))
     lo, wi = np.searchsorted(ids, e.loser), np.searchsorted(ids, e.winner)
     v = 1 / np.sqrt(np.maximum(np.bincount(lo, minlength=len(ids)), 1))
-    want = solved(lo, wi, e.weight_sum.to_numpy(), v / v.sum())
+    return ids, lo, wi, e.weight_sum.to_numpy(), solved(lo, wi, e.weight_sum.to_numpy(), v / v.sum())
+
+
+def test_team_pagerank_settles(spark, data):
+    ids, _, _, _, want = settled_teams(data)
     got = {r["team_id"]: r["score"] for r in reference.team_pagerank(spark, data).collect()}
     assert np.abs(want - [got[i] for i in ids]).sum() < 1e-6
 
 
+def test_retrospective_strength_from_pagerank(spark, data):
+    ids, lo, wi, w, x = settled_teams(data)
+    want = np.bincount(wi, weights=x[lo] * w * np.exp(-0.005 * w), minlength=len(ids))
+    got = {r["id"]: r["strength"] for r in reference.retrospective_strength(spark, data).collect()}
+    assert set(got) == set(ids[np.unique(wi)])
+    assert all(abs(want[i] - got[k]) < 1e-6 for i, k in enumerate(ids) if k in got)
+
+
 def ttl(rows, rosters, now, rate, ticks, tol):
     """Log-odds in a loop with influence as the reference runs it, over plain arrays; every player plays."""
     ids = sorted({u for us in rosters.values() for u in us})
