@@ -135,7 +135,7 @@ def temporal_cross_validation(s, d):
     """Loss and accuracy per temporal fold: players rated on what came before, teams by their rated members."""
     out = None
     m, r, a = (written(f(s, d), "cv") for f in (domain.played, domain.rosters, domain.appearances))
-    for i, (train, test) in enumerate(evaluate.folds(m, 3)):
+    for i, (train, test) in enumerate(evaluate.folds(m, 5)):
         c = convert.compact(convert.weighted(train, NOW, RATE), r, a)
         rated = graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
         teams = written(r.join(rated, "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating")), "teams")
@@ -150,7 +150,7 @@ def edge_dropout_robustness(s, d):
     e = written(convert.team_edges(convert.weighted(domain.played(s, d), NOW, RATE)), "edges")
     base = graph.pagerank(e, "weight_sum", graph.teleport(e)).withColumnRenamed("score", "x")
     out = None
-    for seed in (1, 2):
+    for seed in range(1, 6):
         f = written(evaluate.edge_dropout(e, 0.1, seed), "dropped")
         other = graph.pagerank(f, "weight_sum", graph.teleport(f)).withColumnRenamed("score", "y")
         c = evaluate.spearman(written(base.join(other, "id"), "both"), "x", "y").withColumn("seed", F.lit(seed))
@@ -162,7 +162,7 @@ def edge_dropout_robustness(s, d):
 def accuracy_interval(s, d):
     """Accuracy of predictions with a bootstrap interval."""
     p = _pred(s, d).select("match_id", (F.col("p") > 0.5).cast("double").alias("hit"))
-    return evaluate.bootstrap(p, "hit", 100)
+    return evaluate.bootstrap(p, "hit", 500)
 
 
 # ---- prediction
@@ -215,7 +215,7 @@ def match_calibration(s, d):
 
 @query()
 def monte_carlo_places(s, d):
-    return predict.monte_carlo(predict.team_log_rating(_members(s, d)), runs=100)
+    return predict.monte_carlo(predict.team_log_rating(_members(s, d)), runs=10_000)
 
 
 # ---- queue, over the events table: purchases are wins, errors cancelled matches

@@ -6,7 +6,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from podium.operators import convert, graph, loo, queue
+from podium.operators import convert, evaluate, graph, loo, predict, queue
 from podium.plans import analytics, pipelines, reference
 from podium.sources import domain
 
@@ -159,3 +159,18 @@ def test_every_match_without_as_solved_again(spark, dense):
     for x in got:
         i = at[x["id"]]
         assert abs(x["old_score"] - base[i]) < 1e-8 and abs(x["new_score"] - new[x["match_id"]][i]) < 1e-6, x
+
+
+def test_repetitions_are_the_references(spark, data, monkeypatch):
+    seen = {}
+
+    def note(module, name, at, key):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: (seen.setdefault(name, []).append(k[key] if key in k else a[at]), f(*a, **k))[1])
+
+    for x in ((predict, "monte_carlo", 1, "runs"), (evaluate, "bootstrap", 2, "replicates"), (evaluate, "folds", 1, "n"), (evaluate, "edge_dropout", 2, "seed")):
+        note(*x)
+    for q in (analytics.monte_carlo_places, analytics.accuracy_interval, analytics.edge_dropout_robustness):
+        q(spark, data).collect()
+    assert {r["fold"] for r in analytics.temporal_cross_validation(spark, data).collect()} == set(range(5))
+    assert seen == {"monte_carlo": [10_000], "bootstrap": [500], "folds": [5], "edge_dropout": [1, 2, 3, 4, 5]}
