@@ -3,8 +3,8 @@
 A word's acquisition grade is the level by which half of its use in graded texts has come, every level weighted alike.
 A text's features are quantiles of its known words' grades; regressions on the graded texts calibrate them to the
 chance of reaching each level. Words that the graded texts don't know (formulas, scanning faults) don't count.
-The graded texts are a sample of at most `GRADED` documents, their words a lexicon of at most `LEXICON` words, which is
-what goes to the executors; everything else covers all documents. Grades and features are cross-fitted: a graded
+The graded texts are a sample of at most `GRADED` documents; all their words that occur in `LEAST_TEXTS` of them are the
+lexicon, which goes to the executors and is bounded by that sample; everything else covers all documents. Grades and features are cross-fitted: a graded
 text's features come from grades that other texts gave.
 
 Defined results: null, blank and claims-only texts have no level, nor have texts without any known word; of several
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from podium.runtime import written
 
-#: Bounds of the sample of graded texts and of the lexicon, texts that a word must occur in, folds.
-GRADED, LEXICON, LEAST_TEXTS, FOLDS = 20_000, 200_000, 3, 4
+#: Bound of the sample of graded texts, texts that a word must occur in, folds.
+GRADED, LEAST_TEXTS, FOLDS = 20_000, 3, 4
 LEVELS = 5
 QUANTILES = (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 
@@ -131,11 +131,11 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text") -> dict | N
         F.count(F.lit(1)).alias("texts"),
         F.array(*[F.sum(F.when((F.col("fold") == f) & (F.col("level") == k), F.col("w.n")).otherwise(0)) for f in range(FOLDS) for k in range(1, LEVELS + 1)]).alias("c"),
     )
-    rows = per.where(F.col("texts") >= LEAST_TEXTS).orderBy(F.desc("texts"), "word").limit(LEXICON).collect()
-    if not rows:
+    rows = per.where(F.col("texts") >= LEAST_TEXTS).select("word", "c").toArrow()
+    if not rows.num_rows:
         return None
-    index = {r["word"]: i for i, r in enumerate(rows)}
-    cube = np.array([r["c"] for r in rows], float).reshape(len(rows), FOLDS, LEVELS)
+    index = {w: i for i, w in enumerate(rows["word"].to_pylist())}
+    cube = rows["c"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(index), FOLDS, LEVELS)
     total = cube.sum(1)
     by_fold = np.stack([grades_of(total - cube[:, f]) for f in range(FOLDS)])
     seen = np.stack([(total - cube[:, f]).sum(1) > 0 for f in range(FOLDS)])
