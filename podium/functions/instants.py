@@ -11,7 +11,8 @@ Parsing runs on Arrow batches: numbers as whole arrays, texts by compiled patter
 uncompiled, and minutes to plan; this takes about 0.2 us a number and 15 us a text.
 
 Results that are defined here: null, NaN, zero, negative, blank and impossible values denote no instant; an instant
-must lie in the plausible window; a value whose parses differ and whose best posterior is under `sure` is
+must lie in the plausible window (a parameter); texts and numbers of any length are read, and what no layout fits denotes
+none; a value whose parses differ and whose best posterior is under `sure` is
 `ambiguous` and gets no instant; a day without time is its last millisecond; of a local time that occurs twice the
 first one counts, one that doesn't occur is moved on by the length of the gap. An unknown zone of a row counts as none,
 one within a text makes the parse invalid.
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Plausible window in epoch milliseconds: 2021-01-01 to 2026-01-01, end excluded.
+#: The usual plausible window in epoch milliseconds: 2021-01-01 to 2026-01-01, end excluded.
 WINDOW = (1609459200000, 1767225600000)
 NONE = np.iinfo(np.int64).min
+#: Counts beyond this are no times in any unit; staying below keeps the sums within 64 bits.
+MOST = 9 * 10**18
 
 # Zone abbreviations and their minutes east of UTC.
 ABBREVIATIONS = {
@@ -44,13 +47,13 @@ ABBREVIATIONS = {
 }
 _MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
-_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?"
+_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?"
 _ZONE = r"(?P<z>[+-]\d{2}(?::?\d{2})?|\[?[A-Za-z]+(?:[/_+-][A-Za-z0-9]+)*\]?)?"
 #: Layouts of texts that give a calendar time, in no order: a text takes every layout whose pattern and values fit.
 CALENDAR = {
     "iso": rf"(?P<y>\d{{4}})-(?P<m>\d{{2}})-(?P<d>\d{{2}})(?:[Tt ]{_TIME})? ?{_ZONE}",
     "zone_first": rf"(?P<z>[A-Za-z]+(?:[/_][A-Za-z]+)+) (?P<y>\d{{4}})-(?P<m>\d{{2}})-(?P<d>\d{{2}}) {_TIME}",
-    "basic": r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})[Tt](?P<h>\d{2})(?P<mi>\d{2})(?:(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?P<z>[Zz]|[+-]\d{2}(?::?\d{2})?)?",
+    "basic": r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})[Tt](?P<h>\d{2})(?P<mi>\d{2})(?:(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?P<z>[Zz]|[+-]\d{2}(?::?\d{2})?)?",
     "ymd_slash": rf"(?P<y>\d{{4}})/(?P<m>\d{{1,2}})/(?P<d>\d{{1,2}})(?: {_TIME})? ?{_ZONE}",
     "ydm_slash": rf"(?P<y>\d{{4}})/(?P<d>\d{{1,2}})/(?P<m>\d{{1,2}})(?: {_TIME})? ?{_ZONE}",
     "dmy": rf"(?P<d>\d{{1,2}})[./](?P<m>\d{{1,2}})[./](?P<y>\d{{4}})(?:,? {_TIME})? ?{_ZONE}",
@@ -67,12 +70,12 @@ _PATTERNS = {k: re.compile(p) for k, p in CALENDAR.items()}
 #: Seconds that one value of a layout covers, for its likelihood.
 RESOLUTION = defaultdict(lambda: 1.0, epoch_ms=1e-3, epoch_us=1e-6, epoch_ns=1e-9, serial_days=1e-3, ymd_digits=86400.0, ydm_digits=86400.0, ymdhm_digits=60.0)
 _SPACE = re.compile("[\\s\u00a0\u1680\u2000-\u200d\u202f\u205f\u3000\ufeff]+")
-_NUMBER = re.compile(r"\d{1,19}(\.\d{1,9})?")
+_NUMBER = re.compile(r"\d+(\.\d+)?")
 
 
 @lru_cache(4096)
 def known_zone(name: str | None) -> zoneinfo.ZoneInfo | None:
-    if not name or "/" not in name and name != "UTC":
+    if not name or "/" not in name and name != "UTC" or len(name) > 255:  # no file of zone rules has a longer name
         return None
     try:
         return zoneinfo.ZoneInfo(name)
@@ -92,7 +95,7 @@ def _zone(text: str, default: str | None) -> int | zoneinfo.ZoneInfo | None:
     return ABBREVIATIONS[z.upper()] if z.upper() in ABBREVIATIONS else known_zone(z)
 
 
-def _instant(y: int, mo: int, d: int, h: int, mi: int, s: int, ms: int, zone: int | zoneinfo.ZoneInfo) -> int:
+def _instant(y: int, mo: int, d: int, h: int, mi: int, s: int, ms: int, zone: int | zoneinfo.ZoneInfo, window: tuple[int, int]) -> int:
     try:
         t = datetime(y, mo, d, h, mi, s, tzinfo=UTC)
         base = int(t.timestamp()) * 1000 + ms
@@ -100,19 +103,21 @@ def _instant(y: int, mo: int, d: int, h: int, mi: int, s: int, ms: int, zone: in
     except (ValueError, OverflowError):
         return NONE
     at = base - east * 1000
-    return at if WINDOW[0] <= at < WINDOW[1] else NONE
+    return at if window[0] <= at < window[1] else NONE
 
 
-def parse_text(value: str | None, default_zone: str | None = None) -> dict[str, int]:
+def parse_text(value: str | None, default_zone: str | None = None, window: tuple[int, int] = WINDOW) -> dict[str, int]:
     """layout -> instant of each valid parse of a text."""
     v = _SPACE.sub(" ", value).strip() if value else ""
     out: dict[str, int] = {}
-    if not v or len(v) > 80:
+    if not v:
         return out
     if _NUMBER.fullmatch(v):
         whole, _, part = v.partition(".")
-        counted = counts(np.array([int(whole)]), np.array([float("0." + part) if part else 0.0]))
-        out = {k: int(a[0]) for k, a in counted.items()}
+        whole = whole.lstrip("0")
+        if len(whole) < 20 and int(whole or 0) <= MOST:
+            counted = counts(np.array([int(whole or 0)], np.int64), np.array([float("0." + part) if part else 0.0]), window)
+            out = {k: int(a[0]) for k, a in counted.items()}
     for name, pattern in _PATTERNS.items():
         if m := pattern.fullmatch(v):
             g = m.groupdict()
@@ -121,19 +126,19 @@ def parse_text(value: str | None, default_zone: str | None = None) -> dict[str,
             if zone is None:
                 continue
             if not g.get("h"):
-                out[name] = _instant(int(g["y"]), mo, int(g["d"]), 23, 59, 59, 999, zone)
+                out[name] = _instant(int(g["y"]), mo, int(g["d"]), 23, 59, 59, 999, zone, window)
                 continue
             h = int(g["h"])
             if g.get("ap"):
                 h = h % 12 + 12 * (g["ap"].lower() == "pm") if 1 <= h <= 12 else 99
-            ms = (int((g.get("f") or "").ljust(9, "0")) + 500_000) // 1_000_000
-            out[name] = _instant(int(g["y"]), mo, int(g["d"]), h, int(g["mi"]), int(g.get("s") or 0), ms, zone)
+            ms = (int((g.get("f") or "")[:9].ljust(9, "0")) + 500_000) // 1_000_000
+            out[name] = _instant(int(g["y"]), mo, int(g["d"]), h, int(g["mi"]), int(g.get("s") or 0), ms, zone, window)
     return {k: ms for k, ms in out.items() if ms != NONE}
 
 
-def counts(whole: np.ndarray, part: np.ndarray) -> dict[str, np.ndarray]:
+def counts(whole: np.ndarray, part: np.ndarray, window: tuple[int, int] = WINDOW) -> dict[str, np.ndarray]:
     """layout -> instants of whole + part as counts from an epoch in s, ms, us, ns, or as spreadsheet days from 1899-12-30."""
-    n = np.where(whole > 0, whole, 0)
+    n = np.where((whole > 0) & (whole <= MOST), whole, 0)
     small = lambda k: np.where(n < 10**k, n, 0)
     out = {
         "epoch_s": small(12) * 1000 + np.floor(part * 1000 + 0.5).astype(np.int64),
@@ -142,41 +147,43 @@ def counts(whole: np.ndarray, part: np.ndarray) -> dict[str, np.ndarray]:
         "epoch_ns": (n - n % 1_000_000) // 1_000_000 + (n % 1_000_000 >= 500_000),
         "serial_days": np.floor((small(6) + part - 25569) * 86400000 + 0.5).astype(np.int64),
     }
-    return {k: np.where((n > 0) & (ms >= WINDOW[0]) & (ms < WINDOW[1]), ms, NONE) for k, ms in out.items()}
+    return {k: np.where((n > 0) & (ms >= window[0]) & (ms < window[1]), ms, NONE) for k, ms in out.items()}
 
 
-def parse_numbers(values: pa.Array, zones: list[str | None] | None) -> dict[str, np.ndarray]:
+def parse_numbers(values: pa.Array, zones: list[str | None] | None, window: tuple[int, int] = WINDOW) -> dict[str, np.ndarray]:
     """layout -> instants of a whole batch of numbers, NONE where that is no valid parse."""
+    if pa.types.is_decimal(values.type):
+        values = values.cast(pa.float64())
     if pa.types.is_floating(values.type):
         v = values.to_numpy(zero_copy_only=False).astype(float)
-        v = np.where(np.isfinite(v) & (np.abs(v) < 9e18), v, 0.0)
+        v = np.where(np.isfinite(v) & (np.abs(v) < MOST), v, 0.0)
         whole = np.floor(v)
         part, whole = v - whole, whole.astype(np.int64)
     else:
         whole = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.zeros(len(whole))
-    out = counts(whole, part)
+    out = counts(whole, part, window)
     for name, digits in (("ymd_digits", 8), ("ydm_digits", 8), ("ymdhm_digits", 12), ("ymdhms_digits", 14)):
         ms = np.full(len(whole), NONE)
         for i in np.flatnonzero((whole >= 19 * 10 ** (digits - 2)) & (whole < 21 * 10 ** (digits - 2)) & (part == 0)):
-            ms[i] = parse_digits(str(whole[i]), name, zones[i] if zones else None)
+            ms[i] = parse_digits(str(whole[i]), name, zones[i] if zones else None, window)
         out[name] = ms
     return out
 
 
-def parse_digits(v: str, layout: str, default_zone: str | None) -> int:
+def parse_digits(v: str, layout: str, default_zone: str | None, window: tuple[int, int] = WINDOW) -> int:
     g = _PATTERNS[layout].fullmatch(v).groupdict()
     zone = _zone("", default_zone)
     if not g.get("h"):
-        return _instant(int(g["y"]), int(g["m"]), int(g["d"]), 23, 59, 59, 999, zone)
-    return _instant(int(g["y"]), int(g["m"]), int(g["d"]), int(g["h"]), int(g["mi"]), int(g.get("s") or 0), 0, zone)
+        return _instant(int(g["y"]), int(g["m"]), int(g["d"]), 23, 59, 59, 999, zone, window)
+    return _instant(int(g["y"]), int(g["m"]), int(g["d"]), int(g["h"]), int(g["mi"]), int(g.get("s") or 0), 0, zone, window)
 
 
-def em(counted: list[tuple[tuple[str, ...], int]], rounds: int = 200) -> dict[tuple[str, ...], dict[str, float]]:
+def em(counted: list[tuple[tuple[str, ...], int]], rounds: int = 200, window: tuple[int, int] = WINDOW) -> dict[tuple[str, ...], dict[str, float]]:
     """Posterior of each layout for each set of valid layouts, from how often each set occurs in a source."""
     rows = [(layouts, n) for layouts, n in counted if layouts]
     names = sorted({x for layouts, _ in rows for x in layouts})
-    like = {x: RESOLUTION[x] * 1000 / (WINDOW[1] - WINDOW[0]) for x in names}
+    like = {x: RESOLUTION[x] * 1000 / (window[1] - window[0]) for x in names}
     weight = dict.fromkeys(names, 1 / max(1, len(names)))
     post: dict = {}
     for _ in range(rounds):
@@ -193,18 +200,23 @@ def em(counted: list[tuple[tuple[str, ...], int]], rounds: int = 200) -> dict[tu
     return post
 
 
-def _batch_parser(index: int, zone_index: int | None, text: bool) -> Callable[[pa.RecordBatch], tuple[list[str], np.ndarray, np.ndarray]]:
+def _batch_parser(index: int, zone_index: int | None, text: bool, window: tuple[int, int]) -> Callable[[pa.RecordBatch], tuple[list[str], np.ndarray, np.ndarray]]:
     """Of a batch: the layouts, whether each is valid (layout x row), and the instants."""
 
     def parse(b: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
         col = b.column(index)
         zones = b.column(zone_index).to_pylist() if zone_index is not None else None
         if not text:
-            by = parse_numbers(col, zones)
+            by = parse_numbers(col, zones, window)
             names = sorted(by)
             ms = np.stack([by[k] for k in names])
         else:
-            rows = [parse_text(v, zones[i] if zones else None) for i, v in enumerate(col.to_pylist())]
+            seen: dict = {}  # a batch's distinct values are parsed once
+            rows = []
+            for key in zip(col.to_pylist(), zones or [None] * len(col), strict=True):
+                if key not in seen:
+                    seen[key] = parse_text(*key, window)
+                rows.append(seen[key])
             names = sorted({k for r in rows for k in r})
             ms = np.full((len(names), len(rows)), NONE)
             for i, r in enumerate(rows):
@@ -224,16 +236,16 @@ def _sets(names: list[str], valid: np.ndarray) -> tuple[list[tuple[str, ...]], n
     return [tuple(n for i, n in enumerate(names) if c >> i & 1) for c in distinct.tolist()], which
 
 
-def resolve(df: DataFrame, value: str, zone: str | None = None, sure: float = 0.95, prefix: str = "") -> DataFrame:
+def resolve(df: DataFrame, value: str, zone: str | None = None, sure: float = 0.95, prefix: str = "", window: tuple[int, int] = WINDOW) -> DataFrame:
     """`df` with `{prefix}utc_ms`, `{prefix}layout`, `{prefix}posterior` and `{prefix}status` (resolved, ambiguous, none).
 
     The values of `value` are one source: its layouts' weights are estimated over all of them. `zone` names a column
-    with the zone of calendar times that give none. One pass over value and zone counts the sets of valid layouts, the
+    with the zone of calendar times that give none; instants lie in `window` (epoch ms, end excluded). One pass over value and zone counts the sets of valid layouts, the
     second resolves.
     """
     text = isinstance(df.schema[value].dataType, T.StringType)
     narrow = df.select(value, *([zone] if zone else []))
-    parse_narrow = _batch_parser(0, 1 if zone else None, text)
+    parse_narrow = _batch_parser(0, 1 if zone else None, text, window)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -245,10 +257,10 @@ def resolve(df: DataFrame, value: str, zone: str | None = None, sure: float = 0.
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
     counted = narrow.mapInArrow(count, "s string, n long").groupBy("s").agg(F.sum("n")).collect()
-    post = em([(tuple(sorted(r[0].split(","))), r[1]) for r in counted if r[0]])
+    post = em([(tuple(sorted(r[0].split(","))), r[1]) for r in counted if r[0]], window=window)
     best = {k: max(p.items(), key=lambda x: (x[1], x[0])) for k, p in post.items()}
     at = df.columns.index(value)
-    parse = _batch_parser(at, df.columns.index(zone) if zone else None, text)
+    parse = _batch_parser(at, df.columns.index(zone) if zone else None, text, window)
     fields = [T.StructField(prefix + n, t) for n, t in (("utc_ms", T.LongType()), ("layout", T.StringType()), ("posterior", T.DoubleType()), ("status", T.StringType()))]
     schema = T.StructType([*df.schema.fields, *fields])
     names_out = schema.names

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86400.0
-#: Plausible epoch seconds, and the units that a count may be in.
+#: The usual plausible window of epoch seconds, end excluded.
 FIRST_S, LAST_S = 1609459200, 1767225600
 
 
-def epoch_seconds(x: Column) -> Column:
-    """A count in s, ms, us or ns as seconds, by which unit makes it plausible; null if none does."""
+def epoch_seconds(x: Column, window: tuple[int, int] = (FIRST_S, LAST_S)) -> Column:
+    """A count in s, ms, us or ns as seconds, by which unit puts it into the window; null if none does."""
     out = F.lit(None).cast("double")
     for unit in (1e9, 1e6, 1e3, 1.0):
-        out = F.when((x >= FIRST_S * unit) & (x < LAST_S * unit), x / unit).otherwise(out)
+        out = F.when((x >= window[0] * unit) & (x < window[1] * unit), x / unit).otherwise(out)
     return F.when(~F.isnan(x), out)
 
 

@@ -1,8 +1,9 @@
 """The general problems' operators on small fixtures: nulls, blanks, ties, repeats, empty tables, clashing columns."""
 
 import json
-from datetime import datetime
+from datetime import UTC, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from podium.functions import instants
@@ -25,6 +26,11 @@ def test_parse_text_layouts():
     assert one("2021-03-28 02:30:00", "Europe/Berlin") == {ms(2021, 3, 28, 1, 30)}  # never: moved on by an hour
     assert one("2021-10-31 02:30:00 CET") == {ms(2021, 10, 31, 1, 30)}
     assert one("2024-01-31 09:30:00", "Nowhere/Land") == {ms(2024, 1, 31, 9, 30)}
+    assert one("2024-01-31T09:30:00." + "1" * 40 + "Z") == {ms(2024, 1, 31, 9, 30) + 111}
+    assert one("2024-01-31" + " " * 500 + "09:30:00Z") == {ms(2024, 1, 31, 9, 30)}  # length alone drops nothing
+    assert one("1672711950." + "4" * 30) == {1672711950444} and one("0" * 30 + "1672711950") == {1672711950000}
+    assert one("9999999999999999999") == one("9223372036854775807") == one("18446744073709551615") == one("2024-01-31 09:30:00 " + "a/b" * 9000) == set()
+    assert set(instants.parse_text("1999-12-31T00:00:00Z", window=(0, 10**15)).values()) == {ms(1999, 12, 31)}
     for s in (None, "", "   ", "unknown", "0", "-1", "0000-00-00 00:00:00", "2024-02-30", "2019-01-01", "2024-01-31 09:30:00 Nowhere/Land", "9" * 500):
         assert one(s) == set(), s
 
@@ -34,7 +40,7 @@ def test_resolve_by_mixture(spark):
     df = spark.createDataFrame(rows, "v string, layout string")
     r = {x["v"]: x for x in instants.resolve(df, "v", prefix="t_").collect()}
     assert r["05.06.2023"]["t_layout"] == "dmy" and r["05.06.2023"]["t_status"] == "resolved"
-    assert datetime.utcfromtimestamp(r["05.06.2023"]["t_utc_ms"] / 1000).month == 6
+    assert datetime.fromtimestamp(r["05.06.2023"]["t_utc_ms"] / 1000, UTC).month == 6
     assert r[""]["t_status"] == r["nope"]["t_status"] == "none" and r[None]["t_utc_ms"] is None
     alone = instants.resolve(spark.createDataFrame([("05.06.2023",), ("03.03.2023",)], "v string"), "v").collect()
     assert sorted(x["status"] for x in alone) == ["ambiguous", "resolved"]  # nothing tells day from month
@@ -50,6 +56,15 @@ def test_resolve_numbers(spark):
     assert instants.resolve(df.limit(0), "v", "zone").count() == 0
 
 
+def test_resolve_counts_out_of_range(spark):
+    df = spark.createDataFrame([("9999999999999999999",), ("1672711950",), (str(2**63 - 1),)], "v string")
+    assert [(r["utc_ms"], r["status"]) for r in instants.resolve(df, "v").collect()] == [(None, "none"), (1672711950000, "resolved"), (None, "none")]
+    n = spark.createDataFrame([(2**63 - 1,), (-(2**63),), (1672711950,)], "v long")
+    assert [r["utc_ms"] for r in instants.resolve(n, "v").collect()] == [None, None, 1672711950000]
+    old = instants.resolve(spark.createDataFrame([(946684800,)], "v long"), "v", window=(0, 1_000_000_000_000))
+    assert old.first()["utc_ms"] == 946684800000
+
+
 def _org(spark, apps, matches, tours):
     a = spark.createDataFrame(apps, "appearance_id long, tournament_id long, match_id long, player_id long, team_id long, org_slug string")
     m = spark.createDataFrame(matches, "match_id long, tournament_id long, last_game_finished_at double, total_games int, entity int")
@@ -113,3 +128,26 @@ def test_nested(spark):
             assert not inside or b["path"].startswith(a["path"])
     assert len({r["pre"] for r in n}) == len(n) == len({r["post"] for r in n})
     assert nested.linked(nested.shred(df.limit(0), "id", "text", lists[0], lists), paths).count() == 0
+
+
+def test_nested_oddities(spark):
+    lists = ("groups", "rounds", "maps")
+    path = "$.groups"
+    doc = {"groups": [{"rounds": 1}]}
+    wrapped = doc
+    for k in ("data", "payload", "result") * 5:
+        wrapped = {k: wrapped}
+    deep = "[" * 60_000 + "]" * 60_000
+    pydeep = "{'a': " * 20_000 + "None" + "}" * 20_000
+    texts = ["{'groups': [b'x']}", "{'groups': [{1, 2}]}", "{'groups': [...]}", '{"groups": ["\\ud800x"]}', json.dumps(wrapped), '{"groups": [1], "more": ' + deep + "}", "{'groups': (1, 2), 'more': " + pydeep + "}", '{"groups": [1], "more": ' + deep, "{'groups': [1j]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in nested.shred(df, "id", "text", "groups", lists, (path,)).collect():
+        got.setdefault(r["record_id"], []).append(r["value"])
+    assert got == {3: ["\ufffdx"], 4: [None], 5: ["1"], 6: ["1", "2"]}
+    # The loop reads what the parsers read, and refuses what they refuse.
+    for s in ('{"a": [1, {"b": "c,]"}, null, true], "d": {}}', "[]", '"x"', "3", "{'a': (1, None), 2: 'it\\'s'}"):
+        assert json.dumps(nested.read_deep(s)) == json.dumps(nested.read_text(s))
+    for s in ("[1", "[1]]", "[1 2]", '{"a"}', '{"a": }', '{"a" 1}', "1 2", "", "{[]: 1}", ":", ",", "[,]", '["a]', "x"):
+        with pytest.raises(nested.Unreadable):
+            nested.read_deep(s)
