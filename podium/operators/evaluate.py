@@ -6,8 +6,10 @@ Predictions are frames with `p`, the chance given to what happened (the actual w
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,8 +125,7 @@ def fitted_alpha(matches: DataFrame, ratings: DataFrame, low: float = 0.05, high
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of competition ranks averaged over ties."""
     for c in (a, b):
-        df = competition_rank(df, c, f"__{c}")
-        df = df.withColumn(f"__{c}", F.col(f"__{c}") + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2)
+        df = competition_rank(df, c, f"__{c}", mean=True)
     return df.agg(F.corr(f"__{a}", f"__{b}").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
@@ -133,8 +134,7 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     d = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).select(F.col(score).alias("s"), F.col(positive).cast("int").alias("y"))
     # One row per distinct score, cumulated by ranges.
     g = written(d.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "auc")
-    n = competition_rank(d, "s", "r")
-    mid = n.withColumn("mid", F.col("r") + (F.count(F.lit(1)).over(Window.partitionBy("s")) - 1) / 2)
+    mid = competition_rank(d, "s", "mid", mean=True)
     total, pos = g.agg(F.sum(F.col("pos") + F.col("neg")), F.sum("pos")).first()
     if not pos or total == pos:
         return d.sparkSession.createDataFrame([(None, int(total or 0))], "auc double, n long")
@@ -166,14 +166,13 @@ def folds(matches: DataFrame, n: int = 5) -> list[tuple[DataFrame, DataFrame]]:
 
 def gini(df: DataFrame, value: str) -> DataFrame:
     """Inequality of non-negative values."""
-    n = written(competition_rank(df.where(F.col(value).isNotNull()), value, "r"), "gini")
-    # Equal values may share any order within the tie: the mean of their places from the smallest.
-    place = n.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(value)))
+    # Equal values may share any order within the tie: the mean of their places.
+    n = written(competition_rank(df.where(F.col(value).isNotNull()), value, "r", mean=True), "gini")
     count, total = n.agg(F.count(F.lit(1)), F.sum(value)).first()
     if not total:
         return df.sparkSession.createDataFrame([(0.0, count)], "gini double, n long")
-    up = F.lit(count + 1.0) - (F.col("r") + (F.col("k") - 1) / 2)
-    return place.agg((F.sum((2 * up - count - 1) * F.col(value)) / (count * total)).alias("gini"), F.count(F.lit(1)).alias("n"))
+    up = F.lit(count + 1.0) - F.col("r")
+    return n.agg((F.sum((2 * up - count - 1) * F.col(value)) / (count * total)).alias("gini"), F.count(F.lit(1)).alias("n"))
 
 
 def edge_dropout(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
@@ -182,18 +181,28 @@ def edge_dropout(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, value: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Mean with a 95 % interval by Poisson bootstrap: every row draws its copies per replicate from its own hash."""
-    u = F.pmod(F.xxhash64("row", F.lit(seed), "rep"), F.lit(1 << 53)) / float(1 << 53)
-    cdf, term, k = 0.0, math.exp(-1), F.lit(9)
-    steps = []
-    for i in range(9):
-        cdf += term
-        steps.append((cdf, i))
-        term /= i + 1
-    for c, i in reversed(steps):
-        k = F.when(u < c, i).otherwise(k)
-    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(*df.columns).alias("row"), F.col(value).alias("v"))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", k)
-    means = reps.groupBy("rep").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("m"))
+    """Mean with a 95 % interval by Poisson bootstrap: every row draws its copies per replicate from its own hash.
+
+    A batch draws its rows' copies as a matrix and a task gives one pair of sums per replicate, so rows aren't multiplied.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(*df.columns).alias("row"), F.col(value).cast("double").alias("v"))
+    cdf = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
+    rep = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(replicates), np.zeros(replicates)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x = part.column(0).to_numpy().astype(np.uint64)[:, None] ^ rep[None, :]
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+                k = np.searchsorted(cdf, u, side="right")
+                n += k.sum(0)
+                total += part.column(1).to_numpy() @ k
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(n), pa.array(total)], names=["rep", "n", "total"])
+
+    sums = rows.mapInArrow(draw, "rep long, n double, total double").groupBy("rep").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m"))
     mean = rows.agg(F.avg("v")).first()[0]
-    return means.agg(F.lit(mean).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return sums.agg(F.lit(mean).cast("double").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

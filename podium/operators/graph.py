@@ -11,12 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions import scalar
 from podium.operators import convert
-from podium.runtime import broadcast_if_small, written
+from podium.runtime import broadcast_if_small, dropped, quantile, ranked, written
 
 #: Edges that may come to the driver: 24 bytes each.
 EDGES = 4_000_000
@@ -91,9 +91,32 @@ class PageRank:
 
 def pagerank(edges: DataFrame, weight: str, v: DataFrame, cfg: PageRank = PageRank(), edges_bound: int = EDGES) -> DataFrame:
     """(id, score): mass goes from `loser` to `winner` in proportion to `weight` of the loser's edges."""
-    e = edges.select("loser", "winner", F.col(weight).cast("double").alias("w"))
-    e, v = written(e, "edges"), written(v.select("id", F.col("v").cast("double").alias("v")), "teleport")
-    return _pagerank_arrays(e, v, cfg) if e.count() <= edges_bound else _pagerank_frames(e, v, cfg)
+    e, v = _narrow(edges, weight), _once(v.select("id", F.col("v").cast("double").alias("v")), v, "teleport")
+    if e.count() > edges_bound:
+        return _pagerank_frames(e, v, cfg)
+    ids, src, dst, w, tv = _arrays(e, v)
+    return _scored(v, ids, score=step_arrays(src, dst, w, tv, cfg) if len(ids) else np.zeros(0))
+
+
+def pagerank_both(edges: DataFrame, v: DataFrame, cfg: PageRank = PageRank(), edges_bound: int = EDGES) -> DataFrame:
+    """(id, win_pr, loss_pr): PageRank along the edges and against them, the edges read once."""
+    e, v = _narrow(edges, "weight_sum"), _once(v.select("id", F.col("v").cast("double").alias("v")), v, "teleport")
+    if e.count() > edges_bound:
+        back = e.select(F.col("winner").alias("loser"), F.col("loser").alias("winner"), "w")
+        win, loss = _pagerank_frames(e, v, cfg), _pagerank_frames(back, v, cfg)
+        return win.withColumnRenamed("score", "win_pr").join(loss.withColumnRenamed("score", "loss_pr"), "id")
+    ids, src, dst, w, tv = _arrays(e, v)
+    win, loss = (step_arrays(a, b, w, tv, cfg) if len(ids) else np.zeros(0) for a, b in ((src, dst), (dst, src)))
+    return _scored(v, ids, win_pr=win, loss_pr=loss)
+
+
+def _once(df: DataFrame, source: DataFrame, name: str) -> DataFrame:
+    """`df`, written unless it only picks columns of `source`, which is written already."""
+    return df if hasattr(source, "_podium_path") else written(df, name)
+
+
+def _narrow(edges: DataFrame, weight: str) -> DataFrame:
+    return _once(edges.select("loser", "winner", F.col(weight).cast("double").alias("w")), edges, "edges")
 
 
 def step_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, v: np.ndarray, cfg: PageRank) -> np.ndarray:
@@ -118,14 +141,19 @@ def step_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, v: np.ndarray,
     return r
 
 
-def _pagerank_arrays(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
+def _arrays(e: DataFrame, v: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted ids, sources and destinations as places in them, weights, teleport."""
     vt, et = v.toArrow(), e.toArrow()
     ids = vt["id"].to_numpy()
     order = np.argsort(ids)
     ids, tv = ids[order], vt["v"].to_numpy()[order]
-    src, dst = (np.searchsorted(ids, et[c].to_numpy()) for c in ("loser", "winner"))
-    r = step_arrays(src, dst, et["w"].to_numpy(), tv, cfg) if len(ids) else np.zeros(0)
-    return v.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "score": pa.array(r, pa.float64())}))
+    src, dst = (np.searchsorted(ids, et[c].to_numpy()).astype(np.int32) for c in ("loser", "winner"))
+    return ids, src, dst, et["w"].to_numpy(), tv
+
+
+def _scored(v: DataFrame, ids: np.ndarray, **scores: np.ndarray) -> DataFrame:
+    cols = {"id": pa.array(ids, pa.int64())} | {n: pa.array(x, pa.float64()) for n, x in scores.items()}
+    return v.sparkSession.createDataFrame(pa.table(cols))
 
 
 def _pagerank_frames(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
@@ -135,7 +163,7 @@ def _pagerank_frames(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
     base = written(v.join(sums, "id", "left").na.fill(0.0, ["s"]), "nodes")
     n, tv = base.agg(F.count(F.lit(1)), F.sum("v")).first()
     start = F.lit(1.0 / max(n, 1)) if cfg.deficit else F.col("v") / F.lit(tv)
-    r = written(base.withColumn("score", start), "rank")
+    r = last = written(base.withColumn("score", start), "rank")
     for _ in range(cfg.max_iter):
         mass = F.sum((1 - F.col("s")) * F.col("score")) if cfg.deficit else F.sum(F.when(F.col("s") <= 0, F.col("score")))
         lost = r.agg(mass).first()[0] or 0.0
@@ -143,7 +171,8 @@ def _pagerank_frames(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
         new = cfg.alpha * F.coalesce("in", F.lit(0.0)) + (1 - cfg.alpha + cfg.alpha * lost) * F.col("v")
         nxt = written(r.withColumnRenamed("score", "was").join(got, "id", "left").withColumn("score", new).drop("in"), "rank")
         total, change = nxt.agg(F.sum("score"), F.sum(F.abs(F.col("score") - F.col("was")))).first()
-        r = nxt.drop("was") if cfg.deficit else nxt.drop("was").withColumn("score", F.col("score") / F.lit(total))
+        dropped(last)
+        last, r = nxt, nxt.drop("was") if cfg.deficit else nxt.drop("was").withColumn("score", F.col("score") / F.lit(total))
         if change < cfg.tol:
             break
     return r.select("id", "score")
@@ -152,33 +181,57 @@ def _pagerank_frames(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
 # ---- influence of tournaments
 
 
-def influence(scores: DataFrame, participants: DataFrame, method: str = "arithmetic", prior: float | None = None, eps: float = 1e-10) -> DataFrame:
-    """(tournament_id, strength) with mean 1 from the participants' scores; unrated ones have the 5 % quantile."""
+METHODS = ("arithmetic", "mean", "sum", "median", "geometric", "top_20_sum", "log_top_20_sum", "sqrt_top_20_sum", "top_10_sum", "top_20_mean", "top_20_geom")
+
+
+def influences(scores: DataFrame, participants: DataFrame, methods: tuple[str, ...] = METHODS, prior: float | None = None, eps: float = 1e-10) -> DataFrame:
+    """(tournament_id, one column per method), each with mean 1, from the participants' scores; unrated ones have the 5 % quantile.
+
+    One aggregation gives means and sums. The k best come from row numbers, of which every task keeps at most k per
+    tournament before rows move; medians from places in one order over all tournaments. No task holds a whole one.
+    """
     if prior is None:
-        prior = scores.agg(F.percentile("score", 0.05)).first()[0] or 0.0
+        prior = quantile(scores, "score", 0.05) or 0.0
     p = participants.select("tournament_id", "user_id").distinct().join(scores.withColumnRenamed("id", "user_id"), "user_id", "left")
     p = p.withColumn("score", F.coalesce("score", F.lit(prior)))
-    k = {"top_20_sum": 20, "log_top_20_sum": 20, "sqrt_top_20_sum": 20, "top_10_sum": 10, "top_20_mean": 20, "top_20_geom": 20}.get(method)
-    if k:
-        # Ties at the cut have equal scores, so any k of them will do; the heap of max_by keeps k per partition.
-        p = p.groupBy("tournament_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("x"))
-        total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
-        geo = F.exp(F.aggregate("x", F.lit(0.0), lambda a, x: a + F.log(x + eps)) / F.size("x"))
-        raw = {"top_20_mean": total / F.size("x"), "sqrt_top_20_sum": F.sqrt(F.greatest(total, F.lit(0.0))), "top_20_geom": geo}.get(method, total)
-        g = p.select("tournament_id", raw.alias("raw"))
-    else:
-        how = {"arithmetic": F.avg("score"), "mean": F.avg("score"), "sum": F.sum("score"), "median": F.median("score"), "geometric": scalar.geometric_mean(F.col("score"), eps)}
-        g = p.groupBy("tournament_id").agg(how[method].alias("raw"))
-    g = written(g, "influence")
-    mean = g.agg(F.avg("raw")).first()[0] or 1.0
-    g = g.select("tournament_id", (F.col("raw") / F.lit(mean)).alias("strength"))
-    if method == "log_top_20_sum":
-        g = g.select("tournament_id", F.log1p(F.greatest("strength", F.lit(0.0))).alias("strength"))
-        mean = g.agg(F.avg("strength")).first()[0] or 1.0
-        g = g.select("tournament_id", (F.col("strength") / F.lit(mean)).alias("strength"))
+    tops = [m for m in methods if "top_" in m]
+    if tops or "median" in methods:
+        p = written(p, "members")
+    x = F.col("score")
+    plain = {"arithmetic": F.avg(x), "mean": F.avg(x), "sum": F.sum(x), "geometric": scalar.geometric_mean(x, eps)}
+    g = p.groupBy("tournament_id").agg(F.count(F.lit(1)).alias("__n"), *[plain[m].alias(m) for m in methods if m in plain])
+    if tops:
+        n = F.col("n")
+        best = p.withColumn("n", F.row_number().over(Window.partitionBy("tournament_id").orderBy(F.desc("score"), "user_id"))).where(n <= 20)
+        sums = {
+            "top_20_sum": F.sum(x), "log_top_20_sum": F.sum(x), "sqrt_top_20_sum": F.sqrt(F.greatest(F.sum(x), F.lit(0.0))), "top_10_sum": F.sum(F.when(n <= 10, x)),
+            "top_20_mean": F.avg(x), "top_20_geom": scalar.geometric_mean(x, eps),
+        }
+        g = g.join(best.groupBy("tournament_id").agg(*[sums[m].alias(m) for m in tops]), "tournament_id")
+    if "median" in methods:
+        r = ranked(p.select("tournament_id", "score", "user_id"), [F.asc("tournament_id"), F.asc("score"), F.asc("user_id")], "place")
+        at = r.groupBy("tournament_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("k"))
+        at = broadcast_if_small(written(at, "firsts"))
+        i = F.col("place") - F.col("first")
+        mid = r.join(at, "tournament_id").where((i == F.floor((F.col("k") - 1) / 2)) | (i == F.floor(F.col("k") / 2)))
+        g = g.join(mid.groupBy("tournament_id").agg(F.avg("score").alias("median")), "tournament_id")
+    g = written(g.drop("__n"), "influence")
+    g = _mean_one(g, methods)
+    if "log_top_20_sum" in methods:
+        g = _mean_one(g.withColumn("log_top_20_sum", F.log1p(F.greatest("log_top_20_sum", F.lit(0.0)))), ("log_top_20_sum",))
     return g
 
 
+def _mean_one(g: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    means = g.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    return g.withColumns({c: F.col(c) / F.lit(means[c] or 1.0) for c in cols})
+
+
+def influence(scores: DataFrame, participants: DataFrame, method: str = "arithmetic", prior: float | None = None, eps: float = 1e-10) -> DataFrame:
+    """(tournament_id, strength) by one method of `influences`."""
+    return influences(scores, participants, (method,), prior, eps).withColumnRenamed(method, "strength")
+
+
 def rescaled(infl: DataFrame, method: str = "minmax") -> DataFrame:
     """Influence brought to [0.5, 2] (minmax), around 1 by clipped z-scores, or to a range of one doubling (log)."""
     x = F.col("strength")
@@ -266,10 +319,11 @@ def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine()) ->
     for _ in range(cfg.max_ticks):
         w = F.col("weight_sum") * F.pow(F.coalesce("strength", F.lit(1.0)), F.lit(cfg.beta))
         e = base.join(broadcast_if_small(infl), "tournament_id", "left").groupBy("loser", "winner").agg(F.sum(w).alias("weight_sum"))
-        scores = written(row_pagerank(e, v, cfg), "scores")
+        last, scores = scores, written(row_pagerank(e, v, cfg), "scores")
         new = written(influence(scores, who, cfg.influence_method), "influence")
         both = new.withColumnRenamed("strength", "new").join(infl, "tournament_id", "full")
         change = both.agg(F.avg(F.abs(F.coalesce("new", F.lit(1.0)) - F.coalesce("strength", F.lit(1.0))))).first()[0] or 0.0
+        dropped(last, infl)
         infl = new
         if change < cfg.tick_tol:
             break
@@ -288,14 +342,11 @@ def _log_odds(compacted: DataFrame, cfg: Engine) -> DataFrame:
     total = ex.agg(F.sum(F.col("e_share") + 1e-12)).first()[0] or 1.0
     ex = ex.withColumn("rho", (F.col("e_share") + 1e-12) / F.lit(total))
     edges = written(convert.share_edges(compacted), "edges")
-    v = ex.select("id", F.col("rho").alias("v"))
-    win = pagerank(edges, "weight_sum", v, cfg.pagerank)
-    loss = pagerank(edges.select(F.col("winner").alias("loser"), F.col("loser").alias("winner"), "weight_sum"), "weight_sum", v, cfg.pagerank)
-    out = ex.join(win.withColumnRenamed("score", "win_pr"), "id").join(loss.withColumnRenamed("score", "loss_pr"), "id")
-    out = written(out, "log_odds")
+    ex = written(ex, "rho")
+    out = written(ex.join(pagerank_both(edges, ex.select("id", F.col("rho").alias("v")), cfg.pagerank), "id"), "log_odds")
     lam = cfg.fixed_lambda
     if lam is None:
-        w, r = out.agg(F.percentile("win_pr", 0.5), F.percentile("rho", 0.5)).first()
+        w, r = quantile(out, "win_pr", 0.5), quantile(out, "rho", 0.5)
         lam = 0.025 * w / r if r else 0.0
     win, loss = F.col("win_pr") + lam * F.col("rho"), F.col("loss_pr") + lam * F.col("rho")
     out = out.withColumn("quality_mass", win / (win + loss))

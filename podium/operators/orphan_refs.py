@@ -1,9 +1,9 @@
 """References to records that are missing, removed, or arrive after the record that names them.
 
-Keys are range-partitioned at quantiles of the parents' keys, each range's parents are one sorted array, and batches
-of references are probed against it by vectorised binary search. A range that holds many references (a hot key) is
-split into several batches, each with the range's parents beside it, so no task meets more than a bounded batch. Only
-misses leave the probe.
+Keys are range-partitioned at quantiles of the parents' keys, each range's parents are stored once as one row of sorted
+arrays, and batches of references are probed against it by vectorised binary search. A range that holds many references
+(a hot key) is split into several batches, each with the range's row beside it. Every batch is a partition of its own,
+by its number and not by a hash, so no task meets more than one bounded batch. Only misses leave the probe.
 
 Defined results: a null reference is none; a null time of arrival is unknown and never makes a reference late; a
 target with rows in its table is neither deleted nor missing, whatever removals say; a record that names two targets is
@@ -20,10 +20,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.runtime import broadcast_if_small, written
+
 #: Parents per range and references per batch: what one task holds.
 RANGE_PARENTS, BATCH_REFS = 100_000, 400_000
 KINDS = ("deleted", "missing", "late")
 _NEVER = np.iinfo(np.int64).min
+_MISS = "code int, record_id long, seen long, kind int"
 
 
 @dataclass(frozen=True)
@@ -45,16 +48,13 @@ def _micros(c: str) -> F.Column:
 
 
 def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: references (code, record_id, target, seen); right: parents (target, first_seen, present)."""
-    order = np.argsort(right["target"].to_numpy(), kind="stable")
-    keys = right["target"].to_numpy()[order]
-    first = right["first_seen"].to_numpy()[order]
-    here = right["present"].to_numpy(zero_copy_only=False)[order]
+    """left: references (code, record_id, target, seen); right: one row of sorted arrays (targets, first_seen, present), or none."""
     target, seen = left["target"].to_numpy(), left["seen"].to_numpy()
+    keys, first, here = (right[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("targets", "first_seen", "present"))
     if len(keys):
         at = np.minimum(np.searchsorted(keys, target), len(keys) - 1)
         known = keys[at] == target
-        present = known & here[at]
+        present = known & here[at].astype(bool)
         late = present & (seen != _NEVER) & (first[at] != _NEVER) & (seen < first[at])
     else:
         known = present = late = np.zeros(len(target), bool)
@@ -82,18 +82,27 @@ def find(references: list[Reference], removed: DataFrame, range_parents: int = R
         both, own = _ranged(both, bounds, code), _ranged(own, bounds, code)
         parents = both if parents is None else parents.unionByName(both)
         refs = own if refs is None else refs.unionByName(own)
-    # One row per range comes to the driver: as many as the parents fill.
-    heavy = {(r[0], r[1]): -(-r[2] // batch_refs) for r in refs.groupBy("code", "range").count().where(F.col("count") > batch_refs).collect()}
-    if heavy:
-        splits = F.create_map(*[F.lit(x) for (c, g), n in heavy.items() for x in (c * (1 << 32) + g, n)])
-        n = F.coalesce(F.try_element_at(splits, F.col("code").cast("long") * (1 << 32) + F.col("range")), F.lit(1))
-        # A row's batch follows from the whole row, which spreads the copies of a record too.
-        refs = refs.withColumn("batch", F.pmod(F.xxhash64("record_id", "seen"), n).cast("int"))
-        parents = parents.withColumn("batch", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
+    # One row per range comes to the driver, as many as the parents fill: how many batches it takes, and their numbers.
+    rows, batches = [], 0
+    for r in refs.groupBy("code", "range").count().collect():
+        n = -(-r[2] // batch_refs)
+        rows.append((r[0], r[1], batches, n))
+        batches += n
+    spark = removed.sparkSession
+    plan = broadcast_if_small(spark.createDataFrame(rows, "code int, range int, first_batch int, n int"))
+    # A row's batch follows from the whole row, which spreads the copies of a record too.
+    batch = F.col("first_batch") + F.pmod(F.xxhash64("record_id", "seen"), F.col("n")).cast("int")
+    refs = refs.join(plan, ["code", "range"]).select("code", "record_id", "target", "seen", batch.alias("batch"))
+    arrays = F.array_sort(F.collect_list(F.struct("target", "first_seen", "present")))
+    stored = parents.groupBy("code", "range").agg(arrays.alias("p"))
+    stored = written(stored.select("code", "range", *[F.col(f"p.{a}").alias(b) for a, b in (("target", "targets"), ("first_seen", "first_seen"), ("present", "present"))]), "parents")
+    each = stored.join(plan, ["code", "range"]).withColumn("batch", F.explode(F.sequence(F.col("first_batch"), F.col("first_batch") + F.col("n") - 1)))
+    each = each.select("batch", "targets", "first_seen", "present")
+    if not batches:
+        misses = spark.createDataFrame([], _MISS)
     else:
-        refs, parents = (x.withColumn("batch", F.lit(0)) for x in (refs, parents))
-    by = ["code", "range", "batch"]
-    misses = refs.groupBy(by).cogroup(parents.groupBy(by)).applyInArrow(_probe, "code int, record_id long, seen long, kind int")
+        refs, each = (x.repartitionById(batches, F.col("batch")) for x in (refs, each))
+        misses = refs.groupBy("batch").cogroup(each.groupBy("batch")).applyInArrow(_probe, _MISS)
     return misses.select(
         F.element_at(F.array(*[F.lit(r.name) for r in references]), F.col("code") + 1).alias("reference"), "record_id",
         F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1).alias("kind"),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions import scalar
-from podium.operators import convert
-from podium.runtime import ranked, written
+from podium.runtime import broadcast_if_small, cumulated, ranked, written
 
 # Grading systems, right-closed breaks and labels from low to high (percentiles: from the best).
 SCORE_BREAKS = [-5, -4, -3, -2, -1, 0, 0.8, 1.5, 2.4, 4, 5]
@@ -24,10 +23,16 @@ def numbered(df: DataFrame, order: list, col: str) -> DataFrame:
     return ranked(df, order, col).withColumn(col, F.col(col) + 1)
 
 
-def competition_rank(df: DataFrame, value: str, col: str) -> DataFrame:
-    """Rank 1, 2, 2, 4 by falling value: the smallest number of the equal ones."""
-    n = numbered(df, [F.desc(value)], "__n")
-    return n.withColumn(col, F.min("__n").over(Window.partitionBy(value))).drop("__n") if df.columns else n
+def competition_rank(df: DataFrame, value: str, col: str, mean: bool = False) -> DataFrame:
+    """Rank 1, 2, 2, 4 by falling value, nulls last: the smallest number of the equal ones, or the mean of theirs.
+
+    Distinct values are counted, ordered by ranges and their counts cumulated, so equal values never meet in one task.
+    """
+    n = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    c = cumulated(n, [F.desc_nulls_last("__v")], "__n", "__before")
+    at = F.col("__before") + ((F.col("__n") + 1) / 2 if mean else 1)
+    c = written(c.select("__v", at.alias(col)), "ranks")
+    return df.join(broadcast_if_small(c), F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def post_processed(run: DataFrame, stats: DataFrame, now: float, min_tournaments: int = 3, inactive_days: float | None = None) -> DataFrame:
@@ -80,6 +85,11 @@ def history(compacted: DataFrame, tournaments: DataFrame) -> DataFrame:
     return h.select("player_id", "match_id", "is_win", "ts", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("match_date"), "tournament", "opponents")
 
 
+# What each tier of confidence asks for, and the composite's weights.
+TIERS = {"high": {"tournaments": 15, "connected": 10}, "medium": {"tournaments": 10, "few": 5, "opponents": 100, "connectivity": 2}, "low": {"tournaments": 5, "few": 3, "opponents": 50}}
+COMPOSITE = {"tournaments": 0.4, "opponents": 0.4, "connectivity": 0.2}
+
+
 def confidence(compacted: DataFrame, high_tournaments: int = 20, high_opponents: int = 200, high_connectivity: float = 5.0) -> DataFrame:
     """How well a rating is founded: events, matches, opponents met, composite and tier."""
     e = compacted.select("match_id", "tournament_id", F.explode("winners").alias("a"), "losers").select("match_id", "tournament_id", "a", F.explode("losers").alias("b"))
@@ -93,11 +103,13 @@ def confidence(compacted: DataFrame, high_tournaments: int = 20, high_opponents:
     players = g.count() or 1
     t, o, c = F.col("tournaments"), F.col("opponents"), F.col("connectivity")
     g = g.withColumn("connectivity", 100.0 * F.col("opponents") / F.lit(players))
-    score = 0.4 * F.least(t / high_tournaments, F.lit(1)) + 0.4 * F.least(o / high_opponents, F.lit(1)) + 0.2 * F.least(c / high_connectivity, F.lit(1))
+    parts = {"tournaments": t / high_tournaments, "opponents": o / high_opponents, "connectivity": c / high_connectivity}
+    score = sum((w * F.least(parts[k], F.lit(1)) for k, w in COMPOSITE.items()), F.lit(0.0))
+    h, m, l = (TIERS[k] for k in ("high", "medium", "low"))
     tier = (
-        F.when((t >= high_tournaments) | ((t >= 15) & (o >= high_opponents)) | ((t >= 10) & (c >= high_connectivity)), "high")
-        .when((t >= 10) | ((t >= 5) & (o >= 100)) | ((t >= 5) & (c >= 2)), "medium")
-        .when((t >= 5) | ((t >= 3) & (o >= 50)), "low")
+        F.when((t >= high_tournaments) | ((t >= h["tournaments"]) & (o >= high_opponents)) | ((t >= h["connected"]) & (c >= high_connectivity)), "high")
+        .when((t >= m["tournaments"]) | ((t >= m["few"]) & ((o >= m["opponents"]) | (c >= m["connectivity"]))), "medium")
+        .when((t >= l["tournaments"]) | ((t >= l["few"]) & (o >= l["opponents"])), "low")
         .otherwise("provisional")
     )
     effective = F.floor(F.col("matches") * F.least(F.col("opponents") / F.col("matches"), F.lit(1.0))).cast("long")
@@ -118,5 +130,3 @@ def scaled(df: DataFrame, value: str) -> DataFrame:
     s = 100 * (F.col(value) - F.lit(low)) / F.lit(width) if width else F.lit(0.0)
     return competition_rank(df.withColumn("scaled", s), value, "rank")
 
-
-__all__ = ["convert"]

@@ -213,11 +213,7 @@ def tournament_influence(s, d):
     """Tournaments' strength from their participants' win mass, by eight methods."""
     who = written(graph.participants(domain.played(s, d), domain.rosters(s, d)), "who")
     scores = written(domain.latest_run(s, d).where("win_pr is not null").select(F.col("player_id").alias("id"), F.col("win_pr").alias("score")), "scores")
-    out = None
-    for m in _METHODS:
-        x = graph.influence(scores, who, m).select("tournament_id", F.round("strength", 7).alias(m))
-        out = x if out is None else out.join(x, "tournament_id")
-    return out
+    return graph.influences(scores, who, tuple(_METHODS)).select("tournament_id", *[F.round(m, 7).alias(m) for m in _METHODS])
 
 
 _MEAN = "SELECT tournament_id, x / avg(x) OVER () AS x FROM (SELECT tournament_id, avg(x) AS x FROM z GROUP BY 1)"
