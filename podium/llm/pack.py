@@ -1,93 +1,123 @@
 """Items in containers of fixed capacity with little room left, by bulk-synchronous best fit.
 
-Rounds: items and gaps are held in the order of size, every item looks for its successor gap (the smallest that
-holds it), conflicts between items that want the same gap are resolved by rank, the rest sweep on to the next gap;
-then the gaps shrink and the next round begins, at most one item per container and round. When no gap holds any item,
-new containers are opened: as many as the rest needs at least, and one for each item over half the capacity.
+Rounds over frames: the items that are left and the gaps of the containers are range-sorted together by falling size, gaps
+before items of the same size. One sweep through that order gives every item its successor gap, the smallest open one that
+holds it, larger items first: gaps open like brackets, and each item closes the latest one that is still open. Every range
+sweeps by itself; what it leaves (items that found no gap in it, then gaps no item took) is matched between ranges by rank:
+the ranges' counts alone tell which of a range's open gaps go to which later items. Then the taken gaps shrink, and the next
+round begins, at most one item per container and round. When no gap holds any item, new containers are opened: as many as
+the rest needs at least, and one for each item over half the capacity.
 
-Sizes are whole numbers up to the capacity, so the sorted items are runs of equal size and the sorted gaps runs of
-equal room. A round is a merge of two lists of at most `capacity` runs, whatever the number of items; what is per item
-(ranks within a run, the container of a rank) is distributed. Ranks are given per (size, block of items), with the
-blocks' counts as offsets, so a size that a third of all items share is spread.
+A range holds at most about `RANGE` rows whatever the sizes are, equal sizes being told apart by a hash; the driver holds
+two counts per range and a few figures per round; nothing grows with the capacity.
 
 Defined results: items of size 0 or null need no room and get no container; an item over the capacity is split into
-full pieces and a rest, no other item is; equal sizes go by identifier within a block; an empty input packs nothing.
+full pieces and a rest, no other item is; equal sizes go by a hash of the item; an empty input packs nothing.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.runtime import broadcast_if_small, written
+from podium.runtime import dropped, parallelism, written
 
-#: Items per block of ranks.
-BLOCK = 200_000
+#: Rows of a range, at most and about, and rows that are worth a range of their own.
+RANGE, LEAST = 1_000_000, 20_000
+PLACED, ITEM, GAP = 0, 1, 2
 
 
-def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
-    """Runs (size, first rank, count, first container): items of a size with these ranks go to containers in a row.
+def sweep(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of matched gaps and of their items, of items without a gap, and of gaps without an item, in the order given.
 
-    `histogram` holds how many items have each size from 1 to `capacity`.
+    In the order of falling size each gap opens a level and each item closes the latest; of a level's rows every item
+    whose forerunner is a gap has it.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for s, n in histogram.items():
-        left[s] = n
-    rank = np.zeros(capacity + 1, np.int64)
-    gaps: dict[int, deque] = defaultdict(deque)
-    opened, runs = 0, []
-    sizes = np.arange(capacity + 1)
-    while (rest := int(left.sum())) > 0:
-        room = sorted(g for g in gaps if gaps[g])
-        free = {g: sum(n for _, n in gaps[g]) for g in room}
-        smallest = int(np.flatnonzero(left)[0])
-        if not room or room[-1] < smallest:
-            tokens = int((left * sizes).sum())
-            n = min(rest, max(-(-tokens // capacity), int(left[capacity // 2 + 1 :].sum())))
-            gaps[capacity].append((opened, n))
-            opened += n
-            continue
-        # One sweep: sizes from the largest, gaps by union-find of those used up in this round.
-        nxt = {g: i for i, g in enumerate(room)}
-        parent = list(range(len(room) + 1))
-
-        def find(i: int, parent: list[int] = parent) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        made: list[tuple[int, int, int]] = []
-        order = np.searchsorted(room, np.arange(capacity + 1))
-        for s in np.flatnonzero(left)[::-1].tolist():
-            while left[s]:
-                i = find(int(order[s]))
-                if i == len(room):
-                    break
-                g = room[i]
-                n = int(min(left[s], free[g]))
-                free[g] -= n
-                left[s] -= n
-                while n:
-                    start, many = gaps[g].popleft()
-                    k = min(n, many)
-                    runs.append((s, int(rank[s]), k, start))
-                    rank[s] += k
-                    if g > s:
-                        made.append((g - s, start, k))
-                    if many > k:
-                        gaps[g].appendleft((start + k, many - k))
-                    n -= k
-                if not free[g]:
-                    parent[nxt[g]] = find(nxt[g] + 1)
-        for g, start, k in made:
-            gaps[g].append((start, k))
-    return np.array(runs, np.int64).reshape(-1, 4)
+    after = np.cumsum(np.where(is_gap, 1, -1))
+    level = np.where(is_gap, after, after + 1)
+    order = np.lexsort((np.arange(len(level)), level))
+    g, l = is_gap[order], level[order]
+    hit = np.flatnonzero(g[:-1] & ~g[1:] & (l[:-1] == l[1:]))
+    gaps, items = order[hit], order[hit + 1]
+    free = np.ones(len(level), bool)
+    free[gaps] = free[items] = False
+    return gaps, items, np.flatnonzero(free & ~is_gap), np.flatnonzero(free & is_gap)
+
+
+def between(items: dict[int, int], gaps: dict[int, int]) -> tuple[list[tuple], list[tuple]]:
+    """Which items left by a range take which gaps left by larger ranges, by rank.
+
+    Runs (range, first rank, number, first match) of items in rising and (range, end of ranks, number, first match) of gaps
+    in falling rank; the same match is a pair.
+    """
+    open_, of_items, of_gaps, match = [], [], [], 0
+    for p in range(max([-1, *items, *gaps]) + 1):
+        need, first = items.get(p, 0), 0
+        while need and open_:
+            q, end = open_.pop()
+            n = min(need, end)
+            of_items.append((p, first, n, match))
+            of_gaps.append((q, end, n, match))
+            need, first, match = need - n, first + n, match + n
+            if end > n:
+                open_.append((q, end - n))
+        if gaps.get(p):
+            open_.append((p, gaps[p]))
+    return of_items, of_gaps
+
+
+def _round(items: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
+    """(state, item, piece, size, container, room): after one round, what is placed (with the room that is left), still to
+    be placed, and open."""
+    spark, kind = items.sparkSession, items.schema["item"].dataType.simpleString()
+    n = max(min(-(-rows // LEAST), parallelism(items)), -(-rows // RANGE), 1)
+    both = items.select(F.col("size").alias("at"), F.lit(False).alias("gap"), "item", "piece", F.lit(None).cast("long").alias("container"))
+    both = both.unionByName(gaps.select(F.col("room").alias("at"), F.lit(True).alias("gap"), F.lit(None).cast(kind).alias("item"), F.lit(None).cast("int").alias("piece"), "container"))
+    order = [F.desc("at"), F.desc("gap"), F.xxhash64("item", "piece", "container"), F.col("container"), F.col("item"), F.col("piece")]
+    both = both.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = list(batches)
+        if not t:
+            return
+        t = pa.Table.from_batches(t).combine_chunks()
+        if not t.num_rows:
+            return
+        at, part = t["at"].to_numpy(), t["part"][0].as_py()
+        g, i, alone, open_ = sweep(t["gap"].to_numpy(zero_copy_only=False))
+        state = np.repeat(np.array([PLACED, ITEM, GAP], np.int32), [len(g), len(alone), len(open_)])
+        rank = np.concatenate([np.zeros(len(g), np.int64), np.arange(len(alone)), np.arange(len(open_))])
+        mine, theirs = pa.array(np.concatenate([i, alone, open_])), pa.array(np.concatenate([g, alone, open_]))
+        size = np.where(state == GAP, 0, at[mine.to_numpy()]).astype(np.int32)
+        room = np.where(state == ITEM, 0, at[theirs.to_numpy()]).astype(np.int32)
+        cols = [state, np.full(len(state), part, np.int32), rank, t["item"].take(mine), t["piece"].take(mine), size, t["container"].take(theirs), room]
+        yield from pa.table(dict(zip(("state", "part", "rank", "item", "piece", "size", "container", "room"), cols, strict=True))).to_batches(65_536)
+
+    swept = written(both.mapInArrow(run, f"state int, part int, rank long, item {kind}, piece int, size int, container long, room int"), "swept")
+    cols = ["state", "item", "piece", "size", "container", "room"]
+    left = {(r[0], r[1]): r[2] for r in swept.where(F.col("state") != PLACED).groupBy("state", "part").count().collect()}  # two rows per range
+    of_items, of_gaps = between({p: k for (s, p), k in left.items() if s == ITEM}, {p: k for (s, p), k in left.items() if s == GAP})
+    placed = swept.where(F.col("state") == PLACED).select(*cols)
+    alone, open_ = (swept.where(F.col("state") == s) for s in (ITEM, GAP))
+    if of_items:
+        runs = lambda r: F.broadcast(spark.createDataFrame(r, "p int, first long, n long, match long"))
+        a, b = runs(of_items), runs(of_gaps)
+        alone = alone.join(a, (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left")
+        open_ = open_.join(b, (F.col("part") == F.col("p")) & (F.col("rank") < F.col("first")) & (F.col("rank") >= F.col("first") - F.col("n")), "left")
+        alone = alone.withColumn("id", F.col("match") + F.col("rank") - F.col("first"))
+        open_ = open_.withColumn("id", F.col("match") + F.col("first") - 1 - F.col("rank"))
+        pairs = alone.where("id is not null").select("id", "item", "piece", "size").join(open_.where("id is not null").select("id", "container", "room"), "id")
+        placed = placed.unionByName(pairs.select(F.lit(PLACED).alias("state"), *cols[1:]))
+        alone, open_ = alone.where("id is null"), open_.where("id is null")
+    done = placed.withColumn("room", F.col("room") - F.col("size")).unionByName(alone.select(*cols)).unionByName(open_.select(*cols))
+    done = written(done, "round")
+    dropped(swept)
+    return done
 
 
 def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
@@ -95,33 +125,25 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
 
     `items` holds one row per item; `item` may be any column that tells items apart.
     """
+    spark = items.sparkSession
     src = written(items.select(F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")), "sizes")
     full = F.when(F.col("size") > capacity, F.floor((F.col("size") - 1) / capacity)).otherwise(0)
     pieces = src.where("size > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), full.cast("int"))))
-    pieces = pieces.select("item", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("size"))
-    by_size = {r[0]: r[1] for r in pieces.groupBy("size").count().collect()}  # at most `capacity` rows
-    blocks = max(1, -(-sum(by_size.values()) // BLOCK))
-    runs = plan(by_size, capacity)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    keys, first, start = (runs[:, 0] << 44) + runs[:, 1], runs[:, 1], runs[:, 3]
-
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)).cast("int"))
-    counts = pieces.groupBy("size", "block").count()
-    before = F.sum("count").over(Window.partitionBy("size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("size", "block", F.coalesce(before, F.lit(0)).alias("offset"))
-    w = Window.partitionBy("size", "block").orderBy("item", "piece")
-    numbered = pieces.withColumn("rank", F.row_number().over(w) - 1)
-    if blocks > 1:
-        numbered = numbered.join(broadcast_if_small(written(offsets, "offsets")), ["size", "block"]).withColumn("rank", F.col("rank") + F.col("offset"))
-    numbered = numbered.select("item", "piece", "size", F.col("rank").cast("long").alias("rank"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r = b.column(3).to_numpy()
-            at = np.searchsorted(keys, (b.column(2).to_numpy().astype(np.int64) << 44) + r, side="right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(start[at] + r - first[at])], names=["item", "piece", "size", "container"])
-
-    kind = src.schema["item"].dataType.simpleString()
-    placed = numbered.mapInArrow(place, f"item {kind}, piece int, size int, container long")
+    left = pieces.select("item", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("size"))
+    gaps, opened, rounds = None, 0, []
+    while True:
+        n, tokens, over, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.count_if(F.col("size") > capacity // 2), F.min("size")).first()
+        if not n:
+            break
+        gaps = None if gaps is None else gaps.where(F.col("room") >= least)  # the others hold nothing any more
+        free = 0 if gaps is None else gaps.count()
+        if not free:
+            free = min(n, max(-(-tokens // capacity), over))
+            gaps = spark.range(opened, opened + free).select(F.col("id").alias("container"), F.lit(capacity).alias("room"))
+            opened += free
+        rounds.append(_round(left, gaps, n + free))
+        left = rounds[-1].where(F.col("state") == ITEM).select("item", "piece", "size")
+        gaps = rounds[-1].where(F.col("state") != ITEM).select("container", "room")
     none = src.where("size <= 0").select("item", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("container"))
-    return placed.unionByName(none).withColumnRenamed("item", item)
+    placed = [r.where(F.col("state") == PLACED).select("item", "piece", "size", "container") for r in rounds]
+    return reduce(DataFrame.unionByName, placed, none).withColumnRenamed("item", item)

@@ -8,8 +8,8 @@ odds, as members mostly play beside and against their like, so a pair's result i
 
 Pairs are never made: within a match the sum over pairs factors into a sum per side. Two physical ways give the same
 numbers. Up to `PLAYERS` players and `SIDE` members a side, matches are packed as index arrays and the two vectors,
-of proven size, go to the executors each half-round, which return partial vectors that are summed by chunk. Beyond
-either bound a half-round is two joins and two aggregations of rows, whose sums start on the map side.
+of proven size, go to the executors each half-round, which return partial vectors that are summed by chunk up a tree of
+`FAN` parts a node. Beyond either bound a half-round is two joins and two aggregations of rows, whose sums start on the map side.
 
 Defined results: byes, undecided matches and rows without player or match are left out; of several decided rows of a
 match the latest arrived counts (ties: larger winner, then larger loser); an appearance without team takes its roster's
@@ -19,17 +19,21 @@ rate nobody; players without a rated match have no strength and no rank.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.runtime import broadcast_if_small, ranked, written
+from podium.runtime import broadcast_if_small, dropped, quantile, ranked, written
 
 #: Bounds of the vector way: players (two vectors of 8 MB) and members of one side of a match.
 PLAYERS, SIDE, CHUNK = 1_000_000, 1_000, 65_536
+#: Parts of a chunk (512 KB each) that one task sums.
+FAN = 32
 SMOOTH, TOLERANCE, ROUNDS = 0.05, 0.005, 40
 
 
@@ -78,7 +82,7 @@ def strengths(side_rows: DataFrame, smooth: float = SMOOTH, players_bound: int =
         lists = rated.groupBy("match_id").agg(F.collect_list(F.when(F.col("won"), F.col("player_id"))).alias("ws"), F.collect_list(F.when(~F.col("won"), F.col("player_id"))).alias("ls"))
         lists = written(lists.where("size(ws) > 0 and size(ls) > 0").select("ws", "ls"), "lists")
         ids = lists.select(F.explode(F.concat("ws", "ls")).alias("player_id")).distinct()
-        known = np.sort(np.array([r[0] for r in ids.limit(players_bound + 1).collect()], np.int64))
+        known = np.sort(ids.limit(players_bound + 1).toArrow()["player_id"].to_numpy())
         if len(known) <= players_bound:
             o, d = _by_vectors(lists, known, smooth)
             frame = pa.table({"player_id": known, "offence": o, "defence": d, "strength": o / d})
@@ -100,6 +104,7 @@ def _by_vectors(lists: DataFrame, known: np.ndarray, smooth: float) -> tuple[np.
             yield pa.RecordBatch.from_arrays(cols, names=["ws", "ls"])
 
     packed = written(lists.mapInArrow(index, "ws array<int>, ls array<int>"), "packed")
+    tasks = packed.rdd.getNumPartitions()
 
     def half(vector: np.ndarray, give: int) -> np.ndarray:
         """smooth + for every player of side `give`, the weighted sum of 1 / vector over the other side."""
@@ -115,15 +120,23 @@ def _by_vectors(lists: DataFrame, known: np.ndarray, smooth: float) -> tuple[np.
             for c in range(0, n, CHUNK):
                 part = out[c : c + CHUNK]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([part.tobytes()], pa.binary())], names=["chunk", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "slot", "v"])
 
         def add(t: pa.Table) -> pa.Table:
-            v = np.sum([np.frombuffer(x.as_py()) for x in t["v"]], axis=0)
-            return pa.table({"chunk": t["chunk"][:1], "v": pa.array([v.tobytes()], pa.binary())})
-
-        kind = "chunk long, v binary"
+            v = np.zeros(len(t["v"][0].as_py()) // 8)
+            for x in t["v"]:
+                v += np.frombuffer(x.as_py())
+            return pa.table({"chunk": t["chunk"][:1], "slot": t["slot"][:1], "v": pa.array([v.tobytes()], pa.binary())})
+
+        kind = "chunk long, slot long, v binary"
+        parts, slots = packed.mapInArrow(run, kind), tasks
+        while True:
+            slots = -(-slots // FAN)
+            parts = parts.withColumn("slot", F.floor(F.col("slot") / FAN)).groupBy("chunk", "slot").applyInArrow(add, kind)
+            if slots <= 1:
+                break
         got = np.full(n, smooth)
-        for r in packed.mapInArrow(run, kind).groupBy("chunk").applyInArrow(add, kind).collect():
+        for r in parts.collect():  # one row per chunk
             v = np.frombuffer(r["v"])
             got[r["chunk"] : r["chunk"] + len(v)] += v
         shared.destroy()
@@ -136,10 +149,16 @@ def _by_vectors(lists: DataFrame, known: np.ndarray, smooth: float) -> tuple[np.
         change, o = np.abs(np.log(new / o)).max(), new
         if change < TOLERANCE:
             break
+    else:
+        _unsettled(change)
     ids.destroy()
     return o, d
 
 
+def _unsettled(change: float) -> None:
+    warnings.warn(f"strengths still change by a factor of up to {np.exp(change):.4f} after {ROUNDS} rounds", stacklevel=2)
+
+
 def _by_frames(rated: DataFrame, smooth: float) -> DataFrame:
     """The same by joins: `rated` holds (match_id, player_id, won, w)."""
     rated = written(rated, "rated")
@@ -151,17 +170,24 @@ def _by_frames(rated: DataFrame, smooth: float) -> DataFrame:
         got = got.groupBy("player_id").agg(F.sum("s").alias("s"))
         raw = written(players.join(got, "player_id", "left").select("player_id", (F.lit(smooth) + F.coalesce("s", F.lit(0.0))).alias("v")), "half")
         scale = raw.agg(F.exp(F.avg(F.log("v")))).first()[0]
-        return raw.select("player_id", (F.col("v") / F.lit(scale)).alias("v"))
+        out = raw.select("player_id", (F.col("v") / F.lit(scale)).alias("v"))
+        made[id(out)] = raw
+        return out
 
+    made: dict[int, DataFrame] = {}
     o = written(players.select("player_id", F.lit(1.0).alias("v")), "ones")
     d = o
     for _ in range(ROUNDS):
         new = half(d, True)
-        d = half(new, False)
+        was, d = d, half(new, False)
+        dropped(made.pop(id(was), None))
         change = new.join(o.withColumnRenamed("v", "was"), "player_id").agg(F.max(F.abs(F.log(F.col("v") / F.col("was"))))).first()[0]
+        dropped(made.pop(id(o), None))
         o = new
         if change < TOLERANCE:
             break
+    else:
+        _unsettled(change)
     both = o.withColumnRenamed("v", "offence").join(d.withColumnRenamed("v", "defence"), "player_id")
     return written(both.withColumn("strength", F.col("offence") / F.col("defence")), "strengths")
 
@@ -174,7 +200,7 @@ def rating(appearances: DataFrame, matches: DataFrame, rosters: DataFrame) -> Da
     s = written(sides(appearances, matches, rosters), "sides")
     played = s.groupBy("player_id").agg(F.count(F.lit(1)).alias("matches"))
     rated = strengths(s)
-    middle = rated.agg(F.percentile_approx("strength", 0.5, 100_000)).first()[0]
+    middle = quantile(rated, "strength", 0.5)
     odds = F.col("strength") / F.lit(float(middle)) if middle else F.lit(None).cast("double")
     return played.join(rated.withColumn("odds", odds), "player_id", "left")
 

@@ -67,6 +67,22 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return c.select(n.alias("containers"), F.ceil(t / CAPACITY).alias("at_least"), t.alias("tokens"), F.try_divide(t.cast("double"), n * CAPACITY).alias("fill"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing keeps its promises: every document whole and in order of pieces, no container over its capacity,
+    only documents beyond it in several pieces, and at most 5 % (and one) more containers than must be."""
+    docs, got = _tokens(spark, d), written(p7_packing(spark, d), "packing")
+    per = got.groupBy("doc_id").agg(F.sum("size").alias("packed"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"))
+    j = docs.join(per, "doc_id", "full")
+    least = F.greatest(F.ceil(F.col("tokens") / CAPACITY), F.lit(1))
+    whole = (F.col("packed") == F.col("tokens")) & (F.col("pieces") == least) & (F.col("last") == F.col("pieces") - 1)
+    a = j.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("not_whole"))
+    room = got.where("container is not null").groupBy("container").agg(F.sum("size").alias("n"))
+    b = room.agg(F.count(F.lit(1)).alias("containers"), F.count_if(F.col("n") > CAPACITY).alias("over_capacity"))
+    ab = a.join(F.broadcast(b))  # two single rows
+    must = F.ceil(F.col("tokens") / CAPACITY)
+    return ab.select("documents", "tokens", "pieces", "not_whole", "over_capacity", must.alias("at_least"), (F.col("containers") <= must * 1.05 + 1).alias("near_least"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that the packing split."""
     return p7_packing(spark, d).where("piece = 1 and container is not null").select("doc_id")
@@ -89,6 +105,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(*_mixed(spark, d))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Each listed source's target, what it has and wants, whether it is short, and whether its draw keeps to that: within
+    one record of what it wants, or all of its permitted copies if it is short."""
+    docs = _tokens(spark, d).select(F.col("doc_id").alias("item"), mix.source_key(F.col("source")).alias("key"), F.col("tokens").alias("size"))
+    largest = docs.groupBy("key").agg(F.max("size").alias("largest"))
+    drawn, q = mix.mixed(docs, table(spark, d, "mix_targets"))
+    s = mix.shares(drawn, q).withColumn("key", mix.source_key(F.col("source"))).join(largest, "key", "left")
+    near = F.abs(F.col("drawn_tokens") - F.col("wanted")) <= F.coalesce("largest", F.lit(0))
+    kept = F.when(F.col("short"), F.col("drawn_tokens") == F.col("max_repeats") * F.col("tokens")).otherwise(near) & (F.col("most_repeats") <= F.col("max_repeats"))
+    return s.select("source", F.round("target", 9).alias("target"), "records", "tokens", F.round("wanted", 3).alias("wanted"), F.col("max_repeats").cast("long").alias("max_repeats"), "short", kept.alias("kept"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The listed sources that can't reach their share."""
     return p8_shares(spark, d).where("short").select("source")
@@ -117,7 +145,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    q = [p2_found, p2_ranking, p5_found, p5_top, p7_found, p7_packing, p7_fill, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_profile]
+    q = [p2_found, p2_ranking, p5_found, p5_top, p7_found, p7_packing, p7_fill, p7_check, p8_found, p8_mix, p8_shares, p8_check, p9_found, p9_levels, p9_profile]
     return {f.__name__: f for f in q}
 
 
@@ -132,6 +160,11 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"SELECT tournament_id, player_id FROM ({_TOP}) WHERE position <= {TOP}",
         "p5_top": f"SELECT tournament_id, player_id, score, CAST(position AS INTEGER) AS position FROM ({_TOP}) WHERE position <= {TOP}",
         "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CAPACITY}",
+        "p7_check": f"""SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(greatest(ceil(n / {CAPACITY}.0), 1)) AS BIGINT) AS pieces, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS over_capacity, CAST(ceil(sum(n) / {CAPACITY}.0) AS BIGINT) AS at_least, true AS near_least
+          FROM (SELECT coalesce(strlen(text), 0) AS n FROM documents)""",
+        "p8_check": f"""SELECT source, round(share, 9) AS target, records, tokens, round(share * total, 3) AS wanted, CAST(max_repeats AS BIGINT) AS max_repeats, max_repeats * tokens < share * total AS short, true AS kept FROM (
+          SELECT t.source, t.max_repeats, t.target_share / sum(t.target_share) OVER () AS share, coalesce(d.records, 0) AS records, CAST(coalesce(d.tokens, 0) AS BIGINT) AS tokens, sum(coalesce(d.tokens, 0)) OVER () AS total FROM
+          (SELECT *, {_KEY} AS k FROM mix_targets) t LEFT JOIN (SELECT {_KEY} AS k, count(*) AS records, sum(coalesce(strlen(text), 0)) AS tokens FROM documents GROUP BY 1) d ON d.k = t.k)""",
         "p8_found": f"""SELECT source FROM (SELECT t.source, t.max_repeats, t.target_share / sum(t.target_share) OVER () AS share, coalesce(d.tokens, 0) AS tokens, sum(coalesce(d.tokens, 0)) OVER () AS total FROM
           (SELECT *, {_KEY} AS k FROM mix_targets) t LEFT JOIN (SELECT {_KEY} AS k, sum(coalesce(strlen(text), 0)) AS tokens FROM documents GROUP BY 1) d ON d.k = t.k) WHERE max_repeats * tokens < share * total""",
     }

@@ -53,6 +53,24 @@ def test_vectors_and_frames_agree(spark):
     assert max(abs(np.log(x[k] / y[k])) + abs(np.log(y[k] / z[k])) for k in x) < 1e-9
 
 
+def test_parts_are_summed_up_a_tree(spark, monkeypatch):
+    a, m, r, _ = _league(spark, games=120)
+    s = pairwise.sides(a, m, r)
+    x = {q["player_id"]: q["strength"] for q in pairwise.strengths(s).collect()}
+    monkeypatch.setattr(pairwise, "FAN", 2)
+    monkeypatch.setattr(pairwise, "CHUNK", 7)
+    y = {q["player_id"]: q["strength"] for q in pairwise.strengths(s.repartition(7)).collect()}
+    assert x.keys() == y.keys() and max(abs(np.log(x[k] / y[k])) for k in x) < 1e-9
+
+
+def test_unsettled_strengths_are_told(spark, monkeypatch):
+    a, m, r, _ = _league(spark, games=120)
+    monkeypatch.setattr(pairwise, "ROUNDS", 1)
+    for bound in (pairwise.PLAYERS, 5):
+        with pytest.warns(UserWarning, match="still change"):
+            pairwise.strengths(pairwise.sides(a, m, r), players_bound=bound).count()
+
+
 def test_strength_follows_skill(spark):
     a, m, r, skill = _league(spark)
     got = {q["player_id"]: q["strength"] for q in pairwise.rating(a, m, r).collect()}
@@ -106,9 +124,9 @@ def _packed(spark, sizes, capacity):
     return [tuple(r) for r in pack.pack(df, "doc", "n", capacity).collect()]
 
 
-@pytest.mark.parametrize("block", [50, 200_000])
-def test_packing_is_valid_and_tight(spark, block, monkeypatch):
-    monkeypatch.setattr(pack, "BLOCK", block)
+@pytest.mark.parametrize("least", [50, 20_000])
+def test_packing_is_valid_and_tight(spark, least, monkeypatch):
+    monkeypatch.setattr(pack, "LEAST", least)  # one range or several
     g = np.random.default_rng(4)
     sizes = [int(x) for x in g.lognormal(3.3, 0.9, 600)] + [100] * 20 + [0, None, 101, 250]
     got = _packed(spark, sizes, 100)
@@ -130,13 +148,45 @@ def test_packing_of_nothing(spark):
     assert pack.pack(df, "doc", "n", 10).count() == 0
 
 
-def test_plan_uses_each_gap_once():
-    runs = pack.plan({60: 3, 40: 5, 10: 4}, 100)
-    fill = collections.Counter()
-    for s, _, n, c in runs.tolist():
-        for k in range(n):
-            fill[c + k] += s
-    assert max(fill.values()) <= 100 and len(fill) == 5
+def _plain_sweep(rows):
+    """Larger items first, each to the smallest open gap that holds it."""
+    open_, pairs = [], []
+    for i, (gap, _) in enumerate(rows):
+        if gap:
+            open_.append(i)
+        elif open_:
+            pairs.append((open_.pop(), i))
+    return pairs
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sweep_takes_the_successor(seed):
+    g = np.random.default_rng(seed)
+    rows = sorted(((bool(g.random() < 0.4 + 0.1 * seed), int(s)) for s in g.integers(1, 40, 300)), key=lambda r: (-r[1], not r[0]))
+    gaps, items, alone, open_ = pack.sweep(np.array([r[0] for r in rows]))
+    assert sorted(zip(gaps.tolist(), items.tolist(), strict=True)) == sorted(_plain_sweep(rows))
+    assert len(gaps) * 2 + len(alone) + len(open_) == 300
+    # Swept by parts and matched between them by rank it is the same.
+    cuts = [0, 40, 41, 150, 260, 300]
+    left_i, left_g, pairs = {}, {}, []
+    for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        x, y, i, o = pack.sweep(np.array([r[0] for r in rows[a:z]]))
+        pairs += [(a + u, a + v) for u, v in zip(x.tolist(), y.tolist(), strict=True)]
+        left_i[p], left_g[p] = [a + k for k in i.tolist()], [a + k for k in o.tolist()]
+    of_items, of_gaps = pack.between({p: len(v) for p, v in left_i.items()}, {p: len(v) for p, v in left_g.items()})
+    for (p, first, n, m), (q, end, k, m2) in zip(of_items, of_gaps, strict=True):
+        assert (n, m) == (k, m2)
+        pairs += [(left_g[q][end - 1 - j], left_i[p][first + j]) for j in range(n)]
+    assert sorted(pairs) == sorted(_plain_sweep(rows))
+
+
+def test_packing_of_equal_sizes(spark, monkeypatch):
+    monkeypatch.setattr(pack, "LEAST", 40)
+    got = _packed(spark, [30] * 400 + [100] * 30 + [1] * 17, 100)
+    room = collections.Counter()
+    for _, _, n, c in got:
+        room[c] += n
+    assert len(got) == 447 and max(room.values()) <= 100 and len(room) == 164
 
 
 # ---- mixing
