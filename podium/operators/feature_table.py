@@ -98,7 +98,7 @@ def tournament_zones(tournaments: DataFrame) -> DataFrame:
 
 def match_instants(matches: DataFrame, tournaments: DataFrame) -> DataFrame:
     """Every match row with `utc_ms` of its end; calendar times are in the zone of the row's tournament."""
-    zone = broadcast_if_small(tournament_zones(tournaments))
+    zone = broadcast_if_small(written(tournament_zones(tournaments), "zones"))
     m = matches.select("match_id", "tournament_id", "last_game_finished_at", "total_games")
     m = m.join(zone, "tournament_id", "left")
     return instants.resolve(m, "last_game_finished_at", "zone")
@@ -117,8 +117,8 @@ def organiser_vectors(appearances: DataFrame, matches: DataFrame, tournaments: D
     copies and hot matches are split; the join itself is a checked broadcast, else a shuffle with skew handling.
     """
     types = type_index(tournaments, "org_slug")
-    owner = tournaments.select("tournament_id", "org_slug").distinct().join(F.broadcast(types) if types.count() < 100_000 else types, "org_slug")
-    owner = broadcast_if_small(owner.select("tournament_id", "type_idx"))
+    owner = tournaments.select("tournament_id", "org_slug").distinct().join(broadcast_if_small(types), "org_slug")
+    owner = broadcast_if_small(written(owner.select("tournament_id", "type_idx"), "owners"))
     ends = broadcast_if_small(written(match_ends(matches, tournaments), "ends"))
     seen = appearances.select("player_id", "match_id", "tournament_id").dropna()
     seen = seen.join(owner, "tournament_id").select(F.col("player_id").alias("entity"), "match_id", "type_idx").distinct()

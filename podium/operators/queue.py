@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.runtime import ranked, written
+from podium.runtime import broadcast_if_small, written
 
 SEASON_BREAK_S = 2 * 86400
 
@@ -28,7 +28,7 @@ def seasons(matches: DataFrame, gap_s: int = SEASON_BREAK_S) -> DataFrame:
     w = Window.orderBy("day")
     d = d.withColumn("season", F.sum(F.coalesce((F.col("lo") - F.lag("hi").over(w) > gap_s).cast("long"), F.lit(0))).over(w))
     # With a break of two days or more no gap lies within a day.
-    return matches.withColumn("day", day).join(F.broadcast(d.select("day", "season")) if d.count() < 100_000 else d.select("day", "season"), "day").drop("day")
+    return matches.withColumn("day", day).join(broadcast_if_small(d.select("day", "season")), "day").drop("day")
 
 
 def season_metadata(matches: DataFrame) -> DataFrame:
@@ -112,5 +112,3 @@ def against_group(rows: DataFrame, value: str, mates: int = 3, enemies: int = 4)
     x = own.join(enemy, ["match_id", "enemy_group_id"], "left")
     return x.withColumns({"teammate_diff": F.col(value) - (F.col("own_sum") - F.col(value)) / mates, "enemy_diff": F.col(value) - F.col("enemy_sum") / enemies})
 
-
-__all__ = ["ranked"]

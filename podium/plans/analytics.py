@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.operators import convert, evaluate, graph, predict, queue, summary
+from podium.operators import convert, evaluate, graph, predict, queue
 from podium.runtime import table, written
 from podium.sources import domain
 from podium.sources.domain import NOW, RATE, sql
@@ -234,7 +234,7 @@ def _queue(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(sql("", "SELECT season, count(*) AS matches, min(created_s) AS first_s, max(created_s) AS last_s FROM (SELECT *, sum(CASE WHEN gap > 172800 THEN 1 ELSE 0 END) OVER (ORDER BY created_s, match_id) AS season FROM (SELECT *, created_s - lag(created_s) OVER (ORDER BY created_s, match_id) AS gap FROM q WHERE created_s % 1209600 < 864000)) GROUP BY 1", q=_Q).replace("SELECT season,", "SELECT CAST(season AS BIGINT) AS season,"))
+@query(sql("", "SELECT season, count(*) AS matches, min(created_s) AS first_s, max(created_s) AS last_s FROM (SELECT *, sum(CASE WHEN gap > 172800 THEN 1 ELSE 0 END) OVER (ORDER BY created_s, match_id) AS season FROM (SELECT *, created_s - lag(created_s) OVER (ORDER BY created_s, match_id) AS gap FROM q)) GROUP BY 1", q=_Q).replace("SELECT season,", "SELECT CAST(season AS BIGINT) AS season,"))
 def queue_seasons(s, d):
     """Seasons by gaps of more than two days, over all events."""
     return queue.season_metadata(queue.seasons(_queue(s, d)))
@@ -290,5 +290,3 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
-
-__all__ = ["summary"]

@@ -32,24 +32,96 @@ def query(text: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(s: SparkSession, d: str) -> DataFrame:
-    """(doc): tournaments with their matches as nested texts, several of one tournament if it is large."""
+    """(doc): tournaments with their stages, teams and matches as nested texts, several of one tournament if it is large."""
     m = domain.matches(s, d).where("tournament_id is not null")
     opp = lambda i: F.struct(F.col(f"team{i}_id").alias("id"), F.col(f"team{i}_score").alias("score"), F.when(F.col("winner_team_id") == F.col(f"team{i}_id"), "win").when(F.col("loser_team_id") == F.col(f"team{i}_id"), "loss").alias("result"))
+    n = written(m.groupBy("tournament_id").agg(F.ceil(F.count(F.lit(1)) / DOC_MATCHES).alias("parts")), "parts")
+    part = lambda df, key: df.join(n, "tournament_id", "left").withColumn("part", F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1)))).drop("parts")
     match = F.struct(F.col("match_id").alias("id"), "stage_id", F.col("ts").cast("double").alias("lastGameFinishedAt"), opp(1).alias("opponent1"), opp(2).alias("opponent2"))
-    n = m.groupBy("tournament_id").agg(F.ceil(F.count(F.lit(1)) / DOC_MATCHES).alias("parts"))
-    m = m.join(n, "tournament_id").withColumn("part", F.pmod(F.xxhash64("match_id"), F.col("parts")))
-    g = m.groupBy("tournament_id", "part").agg(F.collect_list(match).alias("match"))
-    doc = F.struct(F.struct(F.struct("match").alias("data"), F.struct(F.col("tournament_id").alias("id")).alias("ctx")).alias("tournament"))
-    return g.select(F.to_json(doc).alias("doc"))
-
-
-@query(sql("mm", "SELECT tournament_id, match_id, team1_id, team2_id, CASE WHEN winner_team_id IN (team1_id, team2_id) THEN winner_team_id WHEN loser_team_id = team1_id AND false THEN team2_id END AS winner_team_id, team1_id IS NULL OR team2_id IS NULL AS is_bye FROM mm WHERE tournament_id IS NOT NULL"))
+    pieces = part(m, "match_id").select("tournament_id", "part", match.alias("match"))
+    st = table(s, d, "stages").where("stage_id is not null and tournament_id is not null").groupBy("stage_id").agg(F.max("tournament_id").alias("tournament_id"), F.max("stage_name").alias("name"), F.max("stage_number").alias("number"), F.max("stage_type").alias("type"))
+    pieces = pieces.unionByName(part(st, "stage_id").select("tournament_id", "part", F.struct(F.col("stage_id").alias("id"), "name", "number", "type").alias("stage")), allowMissingColumns=True)
+    r = table(s, d, "roster_entries").dropna(subset=["tournament_id", "team_id", "player_id"]).groupBy("tournament_id", "team_id", "player_id").agg(F.max(F.coalesce("is_owner", F.lit(False))).alias("isOwner"))
+    r = r.groupBy("tournament_id", "team_id").agg(F.collect_list(F.struct(F.col("player_id").alias("userId"), "isOwner")).alias("members"))
+    flag = lambda c, name: F.max(c).alias(name)
+    tt = table(s, d, "tournament_teams").dropna(subset=["tournament_id", "team_id"]).groupBy("tournament_id", "team_id")
+    tt = tt.agg(F.max("team_name").alias("name"), F.max("seed").alias("seed"), flag("prefers_not_to_host", "prefersNotToHost"), flag("no_screen", "noScreen"), flag("dropped_out", "droppedOut"), F.max("created_at_ms").alias("createdAt"))
+    tt = part(tt.join(r, ["tournament_id", "team_id"], "full"), "team_id")
+    team = F.struct(F.col("team_id").alias("id"), "name", "seed", "prefersNotToHost", "noScreen", "droppedOut", "createdAt", "members")
+    pieces = pieces.unionByName(tt.select("tournament_id", "part", team.alias("team")), allowMissingColumns=True)
+    t = domain.tournaments(s, d)
+    pieces = pieces.unionByName(t.select("tournament_id", F.lit(0).cast("long").alias("part")), allowMissingColumns=True)
+    g = pieces.groupBy("tournament_id", "part").agg(F.collect_list("match").alias("match"), F.collect_list("stage").alias("stage"), F.collect_list("team").alias("teams")).join(t, "tournament_id", "left")
+    group = F.transform("stage", lambda x: F.struct(x["id"].alias("id"), x["id"].alias("stage_id"), F.lit(1).alias("number")))
+    two = lambda k: F.transform("stage", lambda x: F.struct((x["id"] * 2 + k).alias("id"), x["id"].alias("stage_id"), x["id"].alias("group_id"), F.lit(k + 1).alias("number"), F.struct(F.lit(3 + 2 * k).alias("count"), F.lit("BEST_OF").alias("type")).alias("maps")))
+    data = F.struct("match", "stage", group.alias("group"), F.concat(two(0), two(1)).alias("round"))
+    org, settings = F.struct(F.col("org_slug").alias("slug")), F.struct(F.col("is_ranked").alias("isRanked"), F.col("settings_timezone").alias("timezone"))
+    ctx = F.struct(F.col("tournament_id").alias("id"), "name", F.col("is_finalized").alias("isFinalized"), org.alias("organization"), settings.alias("settings"), "teams")
+    return g.select(F.to_json(F.struct(F.struct(data.alias("data"), ctx.alias("ctx")).alias("tournament"))).alias("doc"))
+
+
+def _stored_documents(s: SparkSession, d: str) -> DataFrame:
+    """The documents as they come back from files, with a file that is cut off beside them."""
+    where = incremental.scratch(s, "documents")
+    ingest.write_documents(documents(s, d), where)
+    store.Folder(s, where).write_text("tournament_broken.json", '{"tournament": {"data": {"match": [{"id": 1')
+    return ingest.read_documents(s, where)
+
+
+@query(sql("mm", "SELECT tournament_id, match_id, team1_id, team2_id, CASE WHEN winner_team_id IN (team1_id, team2_id) THEN winner_team_id END AS winner_team_id, team1_id IS NULL OR team2_id IS NULL AS is_bye FROM mm WHERE tournament_id IS NOT NULL"))
 def ingested_matches(s, d):
-    """Matches read back from nested documents."""
-    m = ingest.tables(documents(s, d))["matches"]
+    """Matches read back from files of nested documents."""
+    m = ingest.tables(_stored_documents(s, d))["matches"]
     return m.select("tournament_id", "match_id", "team1_id", "team2_id", "winner_team_id", "is_bye")
 
 
+_ST = "SELECT stage_id, max(tournament_id) AS tournament_id, max(stage_name) AS stage_name, max(stage_number) AS stage_number, max(stage_type) AS stage_type FROM stages WHERE stage_id IS NOT NULL AND tournament_id IS NOT NULL GROUP BY 1"
+_TT = """SELECT coalesce(x.tournament_id, r.tournament_id) AS tournament_id, coalesce(x.team_id, r.team_id) AS team_id, team_name, seed, coalesce(host, false) AS prefers_not_to_host, coalesce(screen, false) AS no_screen, coalesce(dropped, false) AS dropped_out, created_at FROM
+  (SELECT tournament_id, team_id, max(team_name) AS team_name, max(seed) AS seed, bool_or(prefers_not_to_host) AS host, bool_or(no_screen) AS screen, bool_or(dropped_out) AS dropped, max(created_at_ms) AS created_at FROM tournament_teams WHERE tournament_id IS NOT NULL AND team_id IS NOT NULL GROUP BY ALL) x
+  FULL JOIN (SELECT DISTINCT tournament_id, team_id FROM r) r ON r.tournament_id = x.tournament_id AND r.team_id = x.team_id"""
+_IDS = "SELECT tournament_id FROM t UNION SELECT tournament_id FROM mm WHERE tournament_id IS NOT NULL UNION SELECT tournament_id FROM st UNION SELECT tournament_id FROM tt"
+_COUNTED = "SELECT tournament_id, count(*) AS n FROM {} GROUP BY 1"
+
+
+@query(sql("t mm r", f"""SELECT i.tournament_id, name, coalesce(is_finalized, false) AS is_finalized, org_slug, is_ranked, settings_timezone, coalesce(a.n, 0) AS team_count, coalesce(b.n, 0) AS match_count, coalesce(c.n, 0) AS stage_count FROM ids i LEFT JOIN t USING (tournament_id)
+  LEFT JOIN ({_COUNTED.format("tt")}) a USING (tournament_id) LEFT JOIN ({_COUNTED.format("mm")}) b USING (tournament_id) LEFT JOIN ({_COUNTED.format("st")}) c USING (tournament_id)""", st=_ST, tt=_TT, ids=_IDS))
+def ingested_tournaments(s, d):
+    t = ingest.tables(_stored_documents(s, d))["tournaments"]
+    return t.select("tournament_id", "name", "is_finalized", "org_slug", "is_ranked", "settings_timezone", "team_count", "match_count", "stage_count")
+
+
+@query(sql("", "SELECT tournament_id, stage_id, stage_name, stage_number, stage_type FROM st", st=_ST))
+def ingested_stages(s, d):
+    return ingest.tables(_stored_documents(s, d))["stages"].drop("settings")
+
+
+@query(sql("", "SELECT tournament_id, stage_id, stage_id AS group_id, 1 AS group_number FROM st", st=_ST))
+def ingested_groups(s, d):
+    return ingest.tables(_stored_documents(s, d))["groups"]
+
+
+@query(sql("", "SELECT tournament_id, stage_id, stage_id AS group_id, stage_id * 2 + k AS round_id, CAST(k + 1 AS INTEGER) AS round_number, CAST(3 + 2 * k AS INTEGER) AS maps_count, 'BEST_OF' AS maps_type FROM st, range(2) x(k)", st=_ST))
+def ingested_rounds(s, d):
+    return ingest.tables(_stored_documents(s, d))["rounds"]
+
+
+@query(sql("r", "SELECT * FROM tt", tt=_TT))
+def ingested_teams(s, d):
+    return ingest.tables(_stored_documents(s, d))["teams"]
+
+
+@query(sql("", "SELECT tournament_id, team_id, player_id AS user_id, bool_or(coalesce(is_owner, false)) AS is_owner FROM roster_entries WHERE tournament_id IS NOT NULL AND team_id IS NOT NULL AND player_id IS NOT NULL GROUP BY ALL"))
+def ingested_players(s, d):
+    return ingest.tables(_stored_documents(s, d))["players"].select("tournament_id", "team_id", "user_id", "is_owner")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS corrupt, true AS some_read")
+def ingested_corrupt(s, d):
+    """Unreadable documents are counted, not lost silently: there is the one that was cut off."""
+    x = ingest.readable(_stored_documents(s, d))
+    return x.agg(F.count_if(~F.col("ok")).alias("corrupt"), (F.count_if("ok") > 0).alias("some_read"))
+
+
 @query(sql("a", "SELECT tournament_id, match_id, user_id, team_id FROM a"))
 def ingested_appearances(s, d):
     """Appearances read back from payloads listed by match, wrapped twice."""
@@ -70,13 +142,14 @@ def _batches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return p.where("on").select("player_id", "name", "country"), new
 
 
-_OLD = "SELECT player_id, name, country FROM p WHERE player_id % 3 != 0"
-_NEW = "SELECT player_id, CASE WHEN player_id % 5 = 0 THEN NULL ELSE upper(name) END AS name, country FROM p WHERE player_id % 2 = 0"
+_ON = "SELECT DISTINCT user_id AS player_id FROM r"
+_NEW = "SELECT player_id, upper(name) AS name, country FROM p WHERE player_id IN (SELECT user_id FROM a) OR player_id NOT IN (SELECT player_id FROM onroster)"
+_OLD = "SELECT player_id, name, country FROM p WHERE player_id IN (SELECT player_id FROM onroster)"
 
 
-@query(sql("p", "SELECT coalesce(n.player_id, o.player_id) AS player_id, coalesce(n.name, o.name) AS name, CASE WHEN o.player_id IS NULL THEN n.country ELSE o.country END AS country FROM o FULL JOIN n ON n.player_id = o.player_id", o=_OLD, n=_NEW))
+@query(sql("p r a", "SELECT coalesce(n.player_id, o.player_id) AS player_id, CASE WHEN n.player_id IS NOT NULL THEN n.name ELSE o.name END AS name, CASE WHEN o.player_id IS NULL THEN n.country ELSE o.country END AS country FROM o FULL JOIN n ON n.player_id = o.player_id", onroster=_ON, o=_OLD, n=_NEW))
 def upsert_players(s, d):
-    """An upsert that may only change the name."""
+    """An upsert that may only change the name, to null as well."""
     old, new = _batches(s, d)
     t = store.Versioned(s, incremental.scratch(s, "upsert"))
     t.upsert(old, ["player_id"])
@@ -84,7 +157,7 @@ def upsert_players(s, d):
     return t.read()
 
 
-@query(sql("p", "SELECT player_id, name, country FROM o UNION ALL SELECT player_id, name, country FROM n WHERE player_id NOT IN (SELECT player_id FROM o)", o=_OLD, n=_NEW))
+@query(sql("p r a", "SELECT player_id, name, country FROM o UNION ALL SELECT player_id, name, country FROM n WHERE player_id NOT IN (SELECT player_id FROM o)", onroster=_ON, o=_OLD, n=_NEW))
 def insert_absent_players(s, d):
     """Insert if absent."""
     old, new = _batches(s, d)

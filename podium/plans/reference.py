@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from podium.functions import scalar
 from podium.operators import convert, graph, summary
 from podium.runtime import written
 from podium.sources import domain
@@ -118,27 +117,26 @@ def teleport_vectors(s, d):
     return v.join(u, "id").select("id", F.round("v", 10).alias("volume_inverse"), F.round("u", 10).alias("uniform"))
 
 
-STEPS = 12
+def settled(name: str, edges: str, v: str, src: str = "loser", dst: str = "winner", tol: float = 1e-8, steps: int = 200) -> dict[str, str]:
+    """PageRank as SQL, from `src` to `dst` of the edges' table with the teleport table (id, v): every step follows from the
+    one before until the scores move by less than `tol` in all. The last step is the table `name` (id, x)."""
+    return {
+        f"{name}_p": f"SELECT e.{src} AS src, e.{dst} AS dst, e.weight_sum / o.s AS p FROM {edges} e JOIN (SELECT {src} AS id, sum(weight_sum) AS s FROM {edges} GROUP BY 1) o ON o.id = e.{src}",
+        f"{name}_z": f"SELECT id FROM {v} WHERE id NOT IN (SELECT src FROM {name}_p)",
+        f"{name}_r": f"""SELECT 0 AS i, id, v / sum(v) OVER () AS x, NULL::DOUBLE AS was FROM {v} UNION ALL SELECT i + 1, id, x / sum(x) OVER (), was FROM (
+          SELECT r.i, r.id, r.x AS was, 0.85 * coalesce(g.x, 0) + (0.15 + 0.85 * (SELECT coalesce(sum(x), 0) FROM {name}_r WHERE id IN (SELECT id FROM {name}_z))) * t.v AS x
+          FROM {name}_r r JOIN {v} t ON t.id = r.id LEFT JOIN (SELECT p.dst AS id, sum(q.x * p.p) AS x FROM {name}_r q JOIN {name}_p p ON p.src = q.id GROUP BY 1) g ON g.id = r.id
+          WHERE r.i < {steps} AND (SELECT sum(abs(x - was)) IS NULL OR sum(abs(x - was)) >= {tol} FROM {name}_r))""",
+        name: f"SELECT id, x FROM {name}_r WHERE i = (SELECT max(i) FROM {name}_r)",
+    }
 
 
-def _pagerank_sql() -> str:
-    more = {
-        "n": _NODES,
-        "o": "SELECT loser AS id, sum(weight_sum) AS s FROM te GROUP BY 1",
-        "v": "SELECT id, raw / sum(raw) OVER () AS v FROM (SELECT n.id, 1 / sqrt(coalesce(deg, 1)) AS raw FROM n LEFT JOIN (SELECT loser AS id, count(*) AS deg FROM te GROUP BY 1) g ON g.id = n.id)",
-        "r0": "SELECT id, v AS x FROM v",
-    }
-    for i in range(1, STEPS + 1):
-        p = f"r{i - 1}"
-        more[f"u{i}"] = f"""SELECT v.id, 0.85 * coalesce(g.x, 0) + (0.15 + 0.85 * (SELECT coalesce(sum(x), 0) FROM {p} WHERE id NOT IN (SELECT id FROM o))) * v.v AS x FROM v LEFT JOIN
-          (SELECT winner AS id, sum({p}.x * weight_sum / o.s) AS x FROM te JOIN {p} ON {p}.id = te.loser JOIN o ON o.id = te.loser GROUP BY 1) g ON g.id = v.id"""
-        more[f"r{i}"] = f"SELECT id, x / sum(x) OVER () AS x FROM u{i}"
-    return sql("te", f"SELECT id AS team_id, round(x, 9) AS score, row_number() OVER (ORDER BY round(x, 9) DESC, id) AS rank FROM r{STEPS}", **more)
+_TELEPORT = {"n": _NODES, "v": "SELECT id, raw / sum(raw) OVER () AS v FROM (SELECT n.id, 1 / sqrt(coalesce(deg, 1)) AS raw FROM n LEFT JOIN (SELECT loser AS id, count(*) AS deg FROM te GROUP BY 1) g ON g.id = n.id)"}
 
 
-@query(_pagerank_sql())
+@query(sql("te", "SELECT id AS team_id, round(x, 9) AS score, row_number() OVER (ORDER BY round(x, 9) DESC, id) AS rank FROM pr", **_TELEPORT, **settled("pr", "te", "v")))
 def team_pagerank(s, d):
-    """PageRank of teams from losers to winners, run until it settles; the SQL stops after `STEPS` steps."""
+    """PageRank of teams from losers to winners, run until it settles."""
     e = written(convert.team_edges(_weights(s, d)), "edges")
     r = graph.pagerank(e, "weight_sum", graph.teleport(e))
     r = r.select(F.col("id").alias("team_id"), F.round("score", 9).alias("score"))
@@ -232,12 +230,12 @@ def normalized_influence(s, d):
     return out
 
 
-@query(sql("te last", """SELECT winner AS id, round(sum(s.score * weight_sum * exp(-0.005 * weight_sum)), 6) AS strength FROM te JOIN (SELECT DISTINCT loser AS id, 1.0 / (1 + loser % 7) AS score FROM te) s ON s.id = te.loser GROUP BY 1"""))
+@query(sql("te", "SELECT winner AS id, round(sum(x * weight_sum * exp(-0.005 * weight_sum)), 9) AS strength FROM te JOIN pr ON pr.id = te.loser GROUP BY 1", **_TELEPORT, **settled("pr", "te", "v")))
 def retrospective_strength(s, d):
     """Teams' strength from the PageRank of those they beat."""
     e = written(convert.team_edges(_weights(s, d)), "edges")
     scores = graph.pagerank(e, "weight_sum", graph.teleport(e))
-    return graph.retrospective(e, scores)
+    return graph.retrospective(e, scores).withColumn("strength", F.round("strength", 9))
 
 
 @query()
@@ -247,11 +245,17 @@ def tick_tock_ratings(s, d):
     return graph.tick_tock(written(domain.played(s, d), "m"), written(domain.rosters(s, d), "r"), cfg)[0].withColumnRenamed("id", "player_id")
 
 
-@query()
+_RHO = {"rho": "SELECT id, exposure, (e_share + 1e-12) / sum(e_share + 1e-12) OVER () AS v FROM ex", "se": "SELECT loser, winner, sum(share) AS weight_sum FROM pairs GROUP BY ALL"}
+_LAMBDA = "SELECT 0.025 * (SELECT quantile_cont(x, 0.5) FROM win) / (SELECT quantile_cont(v, 0.5) FROM rho) AS lam"
+
+
+@query(sql("pairs ex", "SELECT win.id AS player_id, round(ln((win.x + lam * v) / (loss.x + lam * v)), 5) AS score, round(win.x, 9) AS win_pr, round(loss.x, 9) AS loss_pr, round(exposure, 7) AS exposure FROM win JOIN loss USING (id) JOIN rho USING (id), l",
+  **_RHO, **settled("win", "se", "rho"), **settled("loss", "se", "rho", "winner", "loser"), l=_LAMBDA))
 def exposure_log_odds(s, d):
     """Players' log-odds ratings."""
     cfg = graph.Engine(now=NOW, half_life_days=domain.HALF_LIFE_DAYS)
-    return graph.log_odds(_compact(s, d), cfg).withColumnRenamed("id", "player_id")
+    r = graph.log_odds(_compact(s, d), cfg)
+    return r.select(F.col("id").alias("player_id"), F.round("score", 5).alias("score"), F.round("win_pr", 9).alias("win_pr"), F.round("loss_pr", 9).alias("loss_pr"), F.round("exposure", 7).alias("exposure"))
 
 
 @query()
@@ -366,5 +370,3 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
-
-__all__ = ["oracle_sql", "queries", "scalar"]

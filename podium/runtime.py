@@ -186,3 +186,14 @@ def quantile(df: DataFrame, col: str, q: float, most: int = 100_000, parts: int
         while len(got) < 2 and (r0, r1)[len(got)] < upto:
             got.append(value)
     return got[0] + (got[1] - got[0]) * (at - r0)
+
+
+def ranked_within(df: DataFrame, group: list[str], order: list, col: str = "place") -> DataFrame:
+    """`df` with its position from 0 in the total order `order` among the rows of its group.
+
+    Places are counted in one order over all groups and begin anew at each group's first, so no task holds a large group.
+    """
+    r = ranked(df, [*[F.asc(g) for g in group], *order], "__at")
+    first = written(r.groupBy(*group).agg(F.min("__at").alias("__first")), "firsts")
+    j = r.join(broadcast_if_small(first.withColumnsRenamed({g: f"__g_{g}" for g in group})), [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group])
+    return j.select(*df.columns, (F.col("__at") - F.col("__first")).alias(col))

@@ -113,5 +113,7 @@ def sql(names: str, body: str, **more: str) -> str:
 
     for n in names.split():
         need(n)
-    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in order] + [f"{n} AS MATERIALIZED ({s})" for n, s in more.items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    # A recursive expression can't be materialised; it names itself.
+    kind = lambda n, s: "" if f" {n} " in s else " MATERIALIZED"
+    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in order] + [f"{n} AS{kind(n, s)} ({s})" for n, s in more.items()]
+    return ("WITH " + ("RECURSIVE " if any(not kind(n, s) for n, s in more.items()) else "") + ",\n".join(parts) + "\n" if parts else "") + body
