@@ -239,9 +239,9 @@ def test_places_and_quantiles(spark):
         want = float(np.quantile([x for x in v if x is not None and x == x], q))
         assert runtime.quantile(df, "v", q) == runtime.quantile(df, "v", q, most=5, parts=4) == want
     assert runtime.quantile(df.limit(0), "v", 0.5) is None
-    got = runtime.ranked_within(df.where("not isnan(v)"), ["g"], [F.desc("v")], "at").groupBy("g").agg(F.min("at"), F.max("at"), F.count_distinct("at"), F.count(F.lit(1))).collect()
+    got = runtime.ranked_within(df.where("v is not null and not isnan(v)"), ["g"], [F.desc("v")], "at").groupBy("g").agg(F.min("at"), F.max("at"), F.count_distinct("at"), F.count(F.lit(1))).collect()
     assert all(r[1] == 0 and r[2] == r[3] - 1 == r[4] - 1 for r in got) and len(got) == 3
-    c = {r["v"]: r["before"] for r in runtime.cumulated(df.where("not isnan(v)").groupBy("v").count(), [F.asc("v")], "count", "before").collect()}
+    c = {r["v"]: r["before"] for r in runtime.cumulated(df.where("v is not null and not isnan(v)").groupBy("v").count(), [F.asc("v")], "count", "before").collect()}
     assert all(c[x] == sum(y < x for y in v if y is not None and y == y) for x in c)
 
 
