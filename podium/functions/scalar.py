@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86400.0
@@ -55,6 +55,45 @@ def geometric_mean(x: Column, eps: float = 1e-10) -> Column:
     return F.exp(F.avg(F.log(x + eps)))
 
 
+def log_centered(df: DataFrame, value: str, eps: float = 1e-10) -> DataFrame:
+    """`df` with the value divided by the geometric mean of all."""
+    centre = df.agg(F.avg(F.log(F.col(value) + eps))).first()[0] or 0.0
+    return df.withColumn(value, F.col(value) / F.lit(math.exp(centre)))
+
+
+def points(ordinal: Column) -> Column:
+    """Queue points of a skill ordinal."""
+    return 15 * ordinal + 1000
+
+
+def url_id(x: Column) -> Column:
+    """The first number that is a whole path segment of an address, null without one."""
+    n = F.regexp_extract(x, r"^[^?#]*?/(\d+)(?:[/?#]|$)", 1)
+    return F.when(n != "", n.try_cast("long"))
+
+
+def moment_ms(x: Column) -> Column:
+    """Epoch seconds or milliseconds, a date (its last millisecond) or an ISO time (UTC without a zone) as epoch milliseconds;
+    null for anything else."""
+    t = F.trim(x)
+    n = t.try_cast("long")
+    day = F.unix_millis(F.try_to_timestamp(t, F.lit("yyyy-MM-dd"))) + 86_399_999
+    return F.when(t.rlike(r"^-?\d+$"), F.when(F.abs(n) < 10**11, n * 1000).otherwise(n)).when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), day).otherwise(F.unix_millis(F.try_to_timestamp(t)))
+
+
+def time_windows(spark: SparkSession, start: int, end: int, width: int, stride: int | None = None) -> DataFrame:
+    """(window, first, last): windows of `width` every `stride` (or `width`) from start, the last one cut at the end."""
+    stride = stride or width
+    n = max(0, -(-(end - start) // stride))
+    return spark.range(n).select(F.col("id").alias("window"), (F.lit(start) + F.col("id") * stride).alias("first"), F.least(F.lit(start) + F.col("id") * stride + width, F.lit(end)).alias("last"))
+
+
+def weeks(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """(year, week, monday): the ISO weeks that the days from first to last lie in."""
+    day = F.explode(F.sequence(F.date_trunc("week", F.to_date(F.lit(first))).cast("date"), F.to_date(F.lit(last)), F.expr("interval 7 days"))).alias("monday")
+    return spark.range(1).select(day).select(F.extract(F.lit("YEAROFWEEK"), F.col("monday")).alias("year"), F.weekofyear("monday").alias("week"), "monday")
+
+
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -7,7 +7,7 @@ rows of rosters and appearances count once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions import scalar
@@ -20,12 +20,6 @@ def valid(matches: DataFrame) -> DataFrame:
     return matches.where(ok & ~F.coalesce(F.col("is_bye"), F.lit(False)) if "is_bye" in matches.columns else ok)
 
 
-def event_ts(df: DataFrame, default: float | None = None) -> Column:
-    """The first time there is among the usual columns, else the default."""
-    there = [F.col(c) for c in ("last_game_finished_at", "match_created_at", "timestamp", "ts") if c in df.columns]
-    return F.coalesce(*there, F.lit(default).cast("double")).cast("long")
-
-
 def weighted(matches: DataFrame, now: float, rate: float, influence: DataFrame | None = None, beta: float = 1.0) -> DataFrame:
     """Valid matches with weight = decay x influence^beta; a tournament without influence has 1."""
     m = valid(matches)
@@ -139,6 +133,62 @@ def promoted(appearances: DataFrame, rosters: DataFrame) -> DataFrame:
     return n.groupBy("tournament_id", "user_id").agg(best.alias("team_id"))
 
 
+def legacy_appearances(appearances: DataFrame, matches: DataFrame, rosters: DataFrame) -> DataFrame:
+    """Distinct appearances in the given matches of players on a roster of their tournament, with their team; those whose
+    team isn't known are left out."""
+    a = appearances.join(matches.select("tournament_id", "match_id").dropna().distinct(), ["tournament_id", "match_id"], "left_semi")
+    a = a.join(rosters.select("tournament_id", "user_id").dropna().distinct(), ["tournament_id", "user_id"], "left_semi")
+    return inferred(a, rosters).where("team_id is not null").select("tournament_id", "match_id", "user_id", "team_id").distinct()
+
+
+def enriched(appearances: DataFrame, matches: DataFrame, rosters: DataFrame) -> DataFrame:
+    """Appearances with a team where none is named: the roster's, else the side of the match whose roster has fewer of the
+    match's players; equal sides leave it open.
+
+    `matches` holds (match_id, team1_id, team2_id). Sides are counted per match, players are never compared with each other.
+    """
+    base = inferred(appearances, rosters)
+    sides = matches.select("match_id", "team1_id", "team2_id").where("team1_id is not null and team2_id is not null")
+    r = rosters.select("tournament_id", "user_id", F.col("team_id").alias("__t")).dropna().distinct()
+    seen = appearances.select("tournament_id", "match_id", "user_id").distinct().join(r, ["tournament_id", "user_id"]).join(sides, "match_id")
+    n = seen.groupBy("tournament_id", "match_id").agg(F.count_if(F.col("__t") == F.col("team1_id")).alias("__n1"), F.count_if(F.col("__t") == F.col("team2_id")).alias("__n2"))
+    j = base.join(sides, "match_id", "left").join(n, ["tournament_id", "match_id"], "left").na.fill(0, ["__n1", "__n2"])
+    smaller = F.when(F.col("__n1") < F.col("__n2"), F.col("team1_id")).when(F.col("__n2") < F.col("__n1"), F.col("team2_id"))
+    return j.withColumn("team_id", F.coalesce("team_id", smaller)).select(*base.columns)
+
+
+def from_cache(appearances: DataFrame, cache: DataFrame) -> DataFrame:
+    """Appearances with the cache's team where they name none; of several cached teams the largest counts."""
+    c = cache.dropna(subset=["tournament_id", "match_id", "user_id"]).groupBy("tournament_id", "match_id", "user_id").agg(F.max("team_id").alias("__cached"))
+    j = appearances.join(c, ["tournament_id", "match_id", "user_id"], "left")
+    return j.withColumn("team_id", F.coalesce("team_id", "__cached")).drop("__cached")
+
+
+def unrated_filter(matches: DataFrame, rosters: DataFrame, ratings: DataFrame, most: int = 1) -> DataFrame:
+    """Matches with at most `most` unrated players on either roster; a missing roster has none."""
+    return rated_ratio(matches, rosters, ratings).where((F.col("winner_unrated") <= most) & (F.col("loser_unrated") <= most))
+
+
+def exclusion_impact(matches: DataFrame, rosters: DataFrame, ratings: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Per tournament: matches kept and left out by the rated-share filter, and the share left out."""
+    x = rated_ratio(matches, rosters, ratings)
+    kept = (F.col("winner_ratio") >= threshold) & (F.col("loser_ratio") >= threshold)
+    g = x.groupBy("tournament_id").agg(F.count(F.lit(1)).alias("matches"), F.count_if(kept).alias("kept"))
+    return g.withColumns({"excluded": F.col("matches") - F.col("kept"), "excluded_share": 1 - F.col("kept") / F.col("matches")})
+
+
+def ranked_stats(tournaments: DataFrame, matches: DataFrame, rosters: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(what, total, ranked, percent): tournaments, matches, teams and players, and those of the ranked tournaments."""
+    ids = ranked.select("tournament_id").distinct()
+    parts = {"tournaments": tournaments.select("tournament_id").distinct(), "matches": matches.select("tournament_id", "match_id"), "teams": rosters.select("tournament_id", "team_id").distinct(), "entries": rosters}
+    out = None
+    for name, df in parts.items():
+        all_, some = (x.agg(F.count(F.lit(1)).alias("n")) for x in (df, df.join(ids, "tournament_id", "left_semi")))
+        row = all_.withColumnRenamed("n", "total").join(F.broadcast(some.withColumnRenamed("n", "ranked"))).select(F.lit(name).alias("what"), "total", "ranked")  # two single rows
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("ranked"), "total"), F.lit(0.0)))
+
+
 def player_stats(matches: DataFrame, rosters: DataFrame, appearances: DataFrame | None = None) -> DataFrame:
     """(user_id, tournament_count, last_active_ms): by appearances if there are any, else by rosters."""
     t = matches.groupBy("tournament_id").agg(F.max("ts").alias("last"))
@@ -146,13 +196,16 @@ def player_stats(matches: DataFrame, rosters: DataFrame, appearances: DataFrame
     return who.join(t, "tournament_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("tournament_count"), (F.max("last") * 1000).alias("last_active_ms"))
 
 
-def ranked_tournaments(tournaments: DataFrame, matches: DataFrame, rosters: DataFrame, min_teams: int = 4, min_players: int = 16, min_matches: int = 10, force_include: list[int] | None = None) -> DataFrame:
-    """Ids of tournaments that are large enough and no tests by name, and those that are always included."""
+def ranked_tournaments(tournaments: DataFrame, matches: DataFrame, rosters: DataFrame, min_teams: int = 4, min_players: int = 16, min_matches: int = 10, force_include: list[int] | None = None, before: float | None = None, buffer_weeks: float = 0.0) -> DataFrame:
+    """Ids of tournaments that are large enough and no tests by name, and those that are always included; with `before` (s)
+    only those whose last match ended at least `buffer_weeks` earlier."""
     teams = rosters.groupBy("tournament_id").agg(F.countDistinct("team_id").alias("teams"), F.countDistinct("user_id").alias("players"))
     games = matches.groupBy("tournament_id").agg(F.count(F.lit(1)).alias("matches"))
     named = tournaments.groupBy("tournament_id").agg(F.max(F.coalesce("name", F.lit(""))).alias("name"))
     t = named.join(teams, "tournament_id", "left").join(games, "tournament_id", "left").na.fill(0, ["teams", "players", "matches"])
     ok = (F.col("teams") >= min_teams) & (F.col("players") >= min_players) & (F.col("matches") >= min_matches) & ~F.col("name").rlike("(?i)test|debug|demo|practice")
+    if before is not None:
+        t = t.join(matches.groupBy("tournament_id").agg(F.max("ts").alias("__last")), "tournament_id", "left").where(F.col("__last") <= before - buffer_weeks * 7 * scalar.DAY)
     return t.where(ok | F.col("tournament_id").isin(force_include or [])).select("tournament_id", "teams", "players", "matches")
 
 
@@ -164,9 +217,3 @@ def rated_ratio(matches: DataFrame, rosters: DataFrame, ratings: DataFrame) -> D
     for s in ("winner", "loser"):
         m = m.join(g.withColumnsRenamed({"team_id": f"{s}_team_id", "ratio": f"{s}_ratio", "unrated": f"{s}_unrated"}), ["tournament_id", f"{s}_team_id"], "left")
     return m.na.fill(0.0, ["winner_ratio", "loser_ratio"]).na.fill(0, ["winner_unrated", "loser_unrated"])
-
-
-def top_share(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
-    """Sum and mean of the k largest values of each group."""
-    w = Window.partitionBy(group).orderBy(F.desc(value))
-    return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy(group).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"))

@@ -6,7 +6,7 @@ Predictions are frames with `p`, the chance given to what happened (the actual w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import scalar
 from podium.operators.summary import competition_rank
-from podium.runtime import written
+from podium.runtime import broadcast_if_small, written
 
 PRIOR = 0.05
 SCHEMES = ("none", "entropy", "entropy_sqrt", "entropy_squared", "var_inv", "entropy_exp", "threshold")
@@ -164,6 +164,33 @@ def folds(matches: DataFrame, n: int = 5) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
+def sequential_holdout(matches: DataFrame, rate: Callable[[DataFrame], DataFrame], least: int = 10, splits: int | None = None, fit: bool = True, prior: float = PRIOR) -> DataFrame:
+    """One row per tournament held out: matches, loss, mean chance, exponent and size of the training set.
+
+    Tournaments in the order of their first match; each is predicted from ratings (`rate`: matches -> (id, rating)) of all
+    that began before it, from the `least`-th on. `splits` spaces that many tournaments evenly over them, the last one
+    among them; None holds out every one.
+    """
+    t = matches.where("ts is not null").groupBy("tournament_id").agg(F.min("ts").alias("start"))
+    order = [r[0] for r in t.orderBy("start", "tournament_id").collect()]  # one row per tournament
+    if len(order) <= least:
+        raise ValueError(f"more than {least} tournaments are needed, there are {len(order)}")
+    at = list(range(least, len(order)))
+    if splits is not None and splits < len(at):
+        at = [at[-1]] if splits == 1 else sorted({at[round(i)] for i in np.linspace(0, len(at) - 1, splits)})
+    place = matches.sparkSession.createDataFrame([(x, i) for i, x in enumerate(order)], "tournament_id long, __at int")
+    m = written(matches.join(broadcast_if_small(place), "tournament_id"), "holdout")
+    out = None
+    for i in at:
+        train = m.where(F.col("__at") < i).drop("__at")
+        ratings = written(rate(train), "ratings")
+        alpha = fitted_alpha(train, ratings) if fit else 1.0
+        p = predicted(m.where(F.col("__at") == i), ratings, alpha, prior=prior)
+        row = p.agg(F.lit(order[i]).cast("long").alias("tournament_id"), F.count(F.lit(1)).alias("matches"), F.avg(loss(F.col("p"))).alias("loss"), F.avg("p").alias("mean_p"), F.lit(alpha).alias("alpha"), F.lit(train.count()).alias("train_size"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def gini(df: DataFrame, value: str) -> DataFrame:
     """Inequality of non-negative values."""
     # Equal values may share any order within the tie: the mean of their places.

@@ -7,7 +7,9 @@ result is written to the shared folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import warnings
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ EDGES = 4_000_000
 # ---- denominators
 
 
-def smoothed(mode: str, loss: Column, win: Column, gamma: float = 0.02, cap: float = 1.0, eps: float = 1e-6, base: float = 0.1, scale: float = 100.0) -> Column:
-    """A node's denominator from its summed losses and wins."""
+def smoothed(mode: str | Callable[[Column, Column], Column], loss: Column, win: Column, gamma: float = 0.02, cap: float = 1.0, eps: float = 1e-6, base: float = 0.1, scale: float = 100.0) -> Column:
+    """A node's denominator from its summed losses and wins, by a named way or one's own of (loss, win)."""
+    if callable(mode):
+        return mode(loss, win)
     ways = {
         "none": loss,
         "wins_proportional": loss + F.least(gamma * win, cap * loss),
@@ -59,11 +63,14 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("loser").alias("id")).unionByName(edges.select(F.col("winner").alias("id"))).distinct()
 
 
-def teleport(edges: DataFrame, mode: str = "volume_inverse", custom: DataFrame | None = None, participation: DataFrame | None = None, eta: float = 0.3, gamma: float = 0.5, eps: float = 1.0) -> DataFrame:
+def teleport(edges: DataFrame, mode: str | Callable[[DataFrame], DataFrame] = "volume_inverse", custom: DataFrame | None = None, participation: DataFrame | None = None, eta: float = 0.3, gamma: float = 0.5, eps: float = 1.0) -> DataFrame:
     """(id, v) summing to 1: uniform, volume_inverse (1/sqrt of the number of losing edges), custom (id, w) weights with
-    1 for the rest, or volume_mix of uniform with participation (id, volume) to a negative power."""
+    1 for the rest, volume_mix of uniform with participation (id, volume) to a negative power, or a function from the edges
+    to (id, raw) for nodes that aren't 0; raw weights below 1e-10 count as that."""
     n = nodes(edges)
-    if mode == "volume_inverse":
+    if callable(mode):
+        n = n.join(mode(edges).select("id", "raw"), "id", "left").select("id", F.greatest(F.coalesce("raw", F.lit(0.0)), F.lit(1e-10)).alias("raw"))
+    elif mode == "volume_inverse":
         deg = edges.groupBy(F.col("loser").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
         n = n.join(deg, "id", "left").select("id", (1 / F.sqrt(F.coalesce("deg", F.lit(1)))).alias("raw"))
     elif mode == "custom":
@@ -138,9 +145,16 @@ def step_arrays(src: np.ndarray, dst: np.ndarray, w: np.ndarray, v: np.ndarray,
         r = new
         if change < cfg.tol:
             break
+    else:
+        _unsettled(cfg, change)
     return r
 
 
+def _unsettled(cfg: PageRank, change: float) -> None:
+    if cfg.tol > 0 and cfg.max_iter > 0:
+        warnings.warn(f"scores still change by {change:.3g} in all after {cfg.max_iter} steps", stacklevel=3)
+
+
 def _arrays(e: DataFrame, v: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted ids, sources and destinations as places in them, weights, teleport."""
     vt, et = v.toArrow(), e.toArrow()
@@ -175,6 +189,8 @@ def _pagerank_frames(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
         last, r = nxt, nxt.drop("was") if cfg.deficit else nxt.drop("was").withColumn("score", F.col("score") / F.lit(total))
         if change < cfg.tol:
             break
+    else:
+        _unsettled(cfg, change)
     return r.select("id", "score")
 
 
@@ -281,6 +297,18 @@ class Engine:
     min_exposure: float | None = None
     score_decay_days: float = 30.0
     score_decay_rate: float = 0.0
+    surprisal_rounds: int = 0
+
+    @classmethod
+    def of(cls, base: Engine | None = None, **settings: object) -> Engine:
+        """`base` (or the defaults) with other settings, PageRank's (alpha, tol, max_iter, deficit) among them; unknown ones
+        are an error."""
+        own = {k: v for k, v in settings.items() if k in cls.__dataclass_fields__}
+        inner = {k: v for k, v in settings.items() if k in PageRank.__dataclass_fields__}
+        if unknown := settings.keys() - own.keys() - inner.keys():
+            raise TypeError(f"no such settings: {', '.join(sorted(unknown))}")
+        base = base or cls()
+        return replace(base, **own | ({"pagerank": replace(own.get("pagerank", base.pagerank), **inner)} if inner else {}))
 
     @property
     def rate(self) -> float:
@@ -360,6 +388,32 @@ def _log_odds(compacted: DataFrame, cfg: Engine) -> DataFrame:
     return out.select("id", "score", "win_pr", "loss_pr", "rho", "exposure", "quality_mass")
 
 
+def surprisal(compacted: DataFrame, cfg: Engine = Engine(surprisal_rounds=2), eps: float = 1e-6) -> DataFrame:
+    """`log_odds` in rounds that weight each match by how surprising it was: share x -ln of the chance that the winners' mean
+    standardised score gave them (logistic). Exposure, teleport and lambda stay those of the first round."""
+    c = written(compacted, "compact")
+    first = written(log_odds(c, cfg), "round")
+    lam = cfg.fixed_lambda
+    if lam is None:
+        w, r = quantile(first, "win_pr", 0.5), quantile(first, "rho", 0.5)
+        lam = 0.025 * w / r if r else 0.0
+    scores = first
+    v = written(first.select("id", F.col("rho").alias("v")), "teleport")
+    for _ in range(max(1, cfg.surprisal_rounds) - 1):
+        mean, sd = scores.agg(F.avg("score"), F.stddev_pop("score")).first()
+        z = broadcast_if_small(written(scores.select("id", ((F.col("score") - mean) / (sd + 1e-8)).alias("z")), "z"))
+        side = lambda s: c.select("match_id", F.explode(s).alias("id")).join(z, "id", "left").groupBy("match_id").agg(F.avg(F.coalesce("z", F.lit(0.0))).alias(f"z_{s}"))  # noqa: B023, E731
+        p = 1 / (1 + F.exp(F.col("z_losers") - F.col("z_winners")))
+        e = c.join(side("winners"), "match_id").join(side("losers"), "match_id").withColumn("share", F.col("share") * -F.log(F.greatest(p, F.lit(eps))))
+        edges = written(convert.share_edges(e), "edges")
+        both = pagerank_both(edges, v, cfg.pagerank)
+        score = F.log((F.col("win_pr") + lam * F.col("rho")) / (F.col("loss_pr") + lam * F.col("rho")))
+        last, scores = scores, written(first.select("id", "rho", "exposure").join(both, "id").withColumn("score", score), "round")
+        if last is not first:
+            dropped(last)
+    return scores.select("id", "score", "win_pr", "loss_pr", "rho", "exposure")
+
+
 def tick_tock_log_odds(matches: DataFrame, rosters: DataFrame, appearances: DataFrame | None, cfg: Engine = Engine(), damping: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Log-odds ratings in a loop with influence from the participants' quality mass, brought to [0.5, 2] and damped,
     until its mean change before damping is under `cfg.tick_tol`."""

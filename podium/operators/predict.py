@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.operators.summary import numbered
+from podium.runtime import parallelism, ranked, written
 
 
 def team_log_rating(members: DataFrame, alpha: float = 1.0, top_k: int | None = None) -> DataFrame:
@@ -83,6 +86,120 @@ def calibrate(gaps: DataFrame, gap: str = "gap", rounds: int = 25) -> tuple[floa
     return float(b[0]), float(b[1])
 
 
+def calibrate_by(gaps: DataFrame, by: str, gap: str = "gap", least: int = 20, rounds: int = 25) -> DataFrame:
+    """(by, rows, slope, intercept): a logistic fit of mirrored results per format, all formats at once by Newton steps.
+
+    A format with fewer than `least` mirrored rows (or without spread) has the slope and intercept of all rows. Mirrored
+    rows leave the intercept at 0; per step one aggregation brings two sums per format to the driver, of which there are a
+    handful.
+    """
+    d = written(gaps.where(F.col(gap).isNotNull()).select(F.col(by).alias("by"), F.col(gap).cast("double").alias("x")), "gaps")
+    base = calibrate(d, "x", rounds)
+    n = {r["by"]: 2 * r["count"] for r in d.groupBy("by").count().collect()}
+    slope = {k: 0.0 for k, v in n.items() if v >= least}
+    todo = set(slope)
+    for _ in range(rounds):
+        if not todo:
+            break
+        b = d.sparkSession.createDataFrame([(k, slope[k]) for k in todo], f"by {d.schema['by'].dataType.simpleString()}, b double")
+        p = 1 / (1 + F.exp(-F.col("b") * F.col("x")))
+        sums = d.join(F.broadcast(b), d["by"].eqNullSafe(b["by"])).groupBy(b["by"].alias("k")).agg(F.sum((1 - p) * F.col("x")).alias("g"), F.sum(p * (1 - p) * F.col("x") * F.col("x")).alias("h"))
+        for r in sums.collect():
+            step = float(np.clip(r["g"] / (r["h"] + 1e-9), -5, 5))
+            slope[r["k"]] += step
+            if abs(step) < 1e-8 or abs(slope[r["k"]]) > 1e3:
+                todo.discard(r["k"])
+    rows = [(k, n[k] // 2, *((slope[k], 0.0) if k in slope and abs(slope[k]) <= 1e3 else base)) for k in n]
+    return d.sparkSession.createDataFrame(rows, f"`{by}` {d.schema['by'].dataType.simpleString()}, rows long, slope double, intercept double")
+
+
+def calibration_scores(gaps: DataFrame, order: list, gap: str = "gap", splits: int = 5) -> DataFrame:
+    """(split, train, test, slope, log_loss, brier, accuracy): each of `splits` equal parts in time is predicted by a fit of
+    all rows before it; the first of splits + 1 parts is only learned from."""
+    d = ranked(gaps.where(F.col(gap).isNotNull()), order, "at").select("at", F.col(gap).cast("double").alias("x"))
+    n = d.count()
+    size = n // (splits + 1)
+    out = None
+    for k in range(1, splits + 1 if size else 1):
+        start = n - (splits - k + 1) * size
+        a, b = calibrate(d.where(F.col("at") < start), "x")
+        p = 1 / (1 + F.exp(-(a * F.col("x") + b)))
+        clip = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+        t = d.where((F.col("at") >= start) & (F.col("at") < start + size))
+        row = t.agg(F.lit(k).alias("split"), F.lit(start).cast("long").alias("train"), F.count(F.lit(1)).alias("test"), F.lit(a).alias("slope"), F.avg(-F.log(clip)).alias("log_loss"), F.avg((1 - p) * (1 - p)).alias("brier"), F.avg((p > 0.5).cast("double")).alias("accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else d.sparkSession.createDataFrame([], "split int, train long, test long, slope double, log_loss double, brier double, accuracy double")
+
+
+def adaptive(results: DataFrame, key: str, order: list[str], gap: str = "gap", won: str = "won", rate: float = 0.01, warm: int = 100, slope: float = 1.0, intercept: float = 0.0) -> DataFrame:
+    """Results with `p`, `slope` and `intercept` as they were before each: an online logistic fit per key, a gradient step a
+    result from the `warm`-th on. Keys are spread, a key's rows stream through one task in order; only two numbers are kept."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in results.schema.fields)}, p double, slope double, intercept double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, a, b = object(), 0, slope, intercept
+        for f in frames:
+            got = []
+            for k, x, y in zip(f[key], f[gap], f[won], strict=True):
+                if k != at:
+                    at, n, a, b = k, 0, slope, intercept
+                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, a * x + b))))
+                got.append((p, a, b))
+                n += 1
+                if n >= warm:
+                    e = float(y) - p
+                    a, b = a + rate * e * x, b + rate * e
+            yield f.assign(**dict(zip(("p", "slope", "intercept"), (list(c) for c in zip(*got, strict=True)) if got else ([], [], []), strict=True)))
+
+    d = results.where(F.col(key).isNotNull() & F.col(gap).isNotNull() & F.col(won).isNotNull())
+    return d.repartition(parallelism(d), key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def weighted_strength(members: DataFrame, alpha: float = 1.0, weight: str | None = None) -> DataFrame:
+    """(tournament_id, team_id, strength, members): the sum of weight x exp(alpha x score); without a weight column all have 1."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
+    g = members.where("score is not null").groupBy("tournament_id", "team_id")
+    return g.agg(F.sum(w * F.exp(alpha * F.col("score"))).alias("strength"), F.count(F.lit(1)).alias("members"))
+
+
+def seed_accuracy(seeds: DataFrame, places: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
+    """Per tournament: teams, and the shares whose place is the seed's, within one and within two of it.
+
+    `adjustments` (tournament_id, team_id, seed) replaces seeds by hand.
+    """
+    s = seeds.select("tournament_id", "team_id", F.col("seed").alias("__s"))
+    if adjustments is not None:
+        s = s.join(adjustments.select("tournament_id", "team_id", F.col("seed").alias("__by_hand")), ["tournament_id", "team_id"], "left").withColumn("__s", F.coalesce("__by_hand", "__s"))
+    j = s.join(places.select("tournament_id", "team_id", F.col("place").alias("__p")), ["tournament_id", "team_id"])
+    off = F.abs(F.col("__s") - F.col("__p"))
+    return j.groupBy("tournament_id").agg(F.count(F.lit(1)).alias("teams"), *[F.avg((off <= k).cast("double")).alias(n) for k, n in ((0, "exact"), (1, "within_1"), (2, "within_2"))])
+
+
+def division_statistics(teams: DataFrame, value: str) -> DataFrame:
+    """(division, teams, mean, lowest, highest) of divided teams."""
+    return teams.groupBy("division").agg(F.count(F.lit(1)).alias("teams"), F.avg(value).alias("mean"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+
+
+def brackets(teams: DataFrame, group: str, value: str, key: list[str], sizes: list[tuple[str, int]]) -> DataFrame:
+    """Teams of every division filled into brackets of given sizes in the order of their rating; the rest are in none."""
+    w = Window.partitionBy(group).orderBy(F.desc(value), *key)
+    t = teams.withColumn("seed", F.row_number().over(w))
+    upto, out = 0, F.lit(None).cast("string")
+    cuts = []
+    for name, size in sizes:
+        upto += size
+        cuts.append((upto, name))
+    for n, name in reversed(cuts):
+        out = F.when(F.col("seed") <= n, name).otherwise(out)
+    return t.withColumn("bracket", out)
+
+
+def series_probability(p: Column, best_of: int = 3) -> Column:
+    """Chance to win a series of `best_of` games with the chance `p` of each."""
+    need = best_of // 2 + 1
+    return sum((math.comb(need - 1 + k, k) * F.pow(p, F.lit(need)) * F.pow(1 - p, F.lit(k)) for k in range(need)), F.lit(0.0))
+
+
 def monte_carlo(teams: DataFrame, runs: int = 200, noise: float = 1.0, seed: int = 42) -> DataFrame:
     """Chance of each team to come first and to be among four in noisy orders of its tournament, brackets aside.
 

@@ -264,11 +264,11 @@ def effect_size(df: DataFrame, value: str, positive: str) -> DataFrame:
 
 
 def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
-    """(at, density, peak): a Gaussian kernel estimate with Silverman's width on a grid from the smallest to the largest value;
+    """(x, density, peak): a Gaussian kernel estimate with Silverman's width on a grid from the smallest to the largest value;
     peaks are the points higher than both neighbours. Values are binned on the grid first, so the driver holds `points` counts."""
     x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("x"))
     n, lo, hi, sd = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.stddev_samp("x")).first()
-    schema = "at double, density double, peak boolean"
+    schema = "x double, density double, peak boolean"
     if not n or not sd:
         return df.sparkSession.createDataFrame([], schema)
     step = (hi - lo) / (points - 1)

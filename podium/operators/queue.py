@@ -6,13 +6,16 @@ Null players or times are left out; equal times of a player go by match id.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.runtime import broadcast_if_small, written
+from podium.runtime import broadcast_if_small, ranked, written
 
 SEASON_BREAK_S = 2 * 86400
 
@@ -112,3 +115,86 @@ def against_group(rows: DataFrame, value: str, mates: int = 3, enemies: int = 4)
     x = own.join(enemy, ["match_id", "enemy_group_id"], "left")
     return x.withColumns({"teammate_diff": F.col(value) - (F.col("own_sum") - F.col(value)) / mates, "enemy_diff": F.col(value) - F.col("enemy_sum") / enemies})
 
+
+
+# ---- log-normal points
+
+
+def lognormal(rows: DataFrame, value: str, grid: int = 24, rounds: int = 5) -> tuple[float, float, float] | None:
+    """(shape, location, scale) of a three-parameter log-normal law by maximum likelihood; None without spread.
+
+    For a given location the other two follow from means of logarithms, so the likelihood is a function of the location
+    alone. A grid of locations is evaluated in one pass and closes in around the best; the likelihood's pole at the smallest
+    value is kept out by a distance of a thousandth of the range.
+    """
+    x = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("x")), "points")
+    n, low, high = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n or high <= low:
+        return None
+    near, far = math.log((high - low) * 1e-3), math.log((high - low) * 1e2)
+    for _ in range(rounds):
+        gaps = np.linspace(near, far, grid)
+        logs = [F.log(F.col("x") - (low - math.exp(g))) for g in gaps]
+        got = x.agg(*[f(c) for c in logs for f in (F.avg, F.var_pop)]).first()
+        fit = [0.5 * math.log(max(got[2 * i + 1], 1e-300)) + got[2 * i] for i in range(grid)]
+        best = int(np.argmin(fit))
+        near, far = gaps[max(0, best - 1)], gaps[min(grid - 1, best + 1)]
+    return math.sqrt(got[2 * best + 1]), low - math.exp(gaps[best]), math.exp(got[2 * best])
+
+
+def kolmogorov(rows: DataFrame, value: str, shape: float, location: float, scale: float) -> float | None:
+    """The largest distance between the values' distribution and a log-normal one."""
+    x = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    r = ranked(x, [F.asc("x")], "at")
+    n = r.count()
+    erf = np.vectorize(math.erf, otypes=[float])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worst = 0.0
+        for b in batches:
+            v, at = b.column(0).to_numpy() - location, b.column(1).to_numpy()
+            if len(v):
+                cdf = np.where(v > 0, 0.5 * (1 + erf(np.log(np.where(v > 0, v, 1.0) / scale) / shape / math.sqrt(2))), 0.0)
+                worst = max(worst, float(np.abs(cdf - at / n).max()), float(np.abs(cdf - (at + 1) / n).max()))
+        yield pa.RecordBatch.from_arrays([pa.array([worst])], names=["d"])
+
+    return r.mapInArrow(run, "d double").agg(F.max("d")).first()[0] if n else None
+
+
+def latest_rated(rows: DataFrame) -> DataFrame:
+    """Each player's last reported match that wasn't cancelled, if its points were calculated or enough matches are there."""
+    ok = F.coalesce("skill_difference_calculated", F.lit(False)) | F.coalesce(F.col("skill_difference_matches_count") == F.col("skill_difference_matches_count_needed"), F.lit(False))
+    return latest(rows.withColumn("created_us", F.col("reported_at"))).where(ok)
+
+
+def player_rows(merged: DataFrame, law: tuple[float, float, float] | None = None) -> DataFrame:
+    """The statistics of every player and match: corrected points, their log-z by the fitted law, sums over own and enemy
+    group, differences to mates and enemies, rolling matches and wins, rolling deviations, earlier matches."""
+    x = merged.withColumn("created_us", F.col("created_at") * 1_000_000)
+    x = corrected(x.withColumn("sp_diff", F.col("skill_difference_sp_diff"))).drop("sp_diff")
+    if law is None:
+        law = lognormal(latest_rated(x), "after_sp")
+    shape, _, scale = law or (1.0, 0.0, 1.0)
+    z = lambda c: (F.log(c) - math.log(scale)) / shape
+    x = x.withColumns({"sp_logz": z("sp"), "after_sp_logz": z("after_sp")}).withColumn("sp_diff_logz", F.col("after_sp_logz") - F.col("sp_logz"))
+    sums = [f(c).alias(f"{c}_{n}") for c in ("sp_logz", "sp_diff_logz") for n, f in (("sum", lambda c: F.coalesce(F.sum(c), F.lit(0.0))), ("std", F.stddev_samp))]
+    g = written(x.groupBy("match_id", "group_id").agg(*sums), "groups")
+    x = x.join(g, ["match_id", "group_id"], "left")
+    x = x.join(g.select("match_id", F.col("group_id").alias("enemy_group_id"), *[F.col(c).alias(f"enemy_{c}") for c in g.columns[2:]]), ["match_id", "enemy_group_id"], "left")
+    x = x.withColumns({"teammate_sp_logz_diff": F.col("sp_logz") - (F.col("sp_logz_sum") - F.col("sp_logz")) / 3, "enemy_sp_logz_diff": F.col("sp_logz") - F.col("enemy_sp_logz_sum") / 4})
+    x = rolling(x, {"7D": 7 * 86400, "24H": 86400}).withColumnsRenamed({f"{a}_{n}": f"{b}_{n}" for n in ("7D", "24H") for a, b in (("won", "won_matches"), ("won_prior", "won_matches_prior"))})
+    for c in ("after_sp", "after_sp_logz", "teammate_sp_logz_diff", "enemy_sp_logz_diff"):
+        x = rolling_std(x, c)
+    x = cumulative(x).withColumnRenamed("cum_matches", "cumulative_matches")
+    return x.withColumn("has_calculated_7", F.col("after_sp_std_7").isNotNull()).drop("created_us")
+
+
+def rebuilt(merged_rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """All seasons but the first (0) anew: each season's rows by its own law, with `season`."""
+    s = written(seasons(matches.select("match_id", F.col("created_at").alias("created_s"))).select("match_id", "season"), "seasons")
+    rows = written(merged_rows.join(s, "match_id"), "merged")
+    out = None
+    for r in s.where("season > 0").select("season").distinct().orderBy("season").collect():  # a few seasons
+        part = player_rows(rows.where(F.col("season") == r[0]))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else player_rows(rows.limit(0), (1.0, 0.0, 1.0))

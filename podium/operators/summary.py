@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ PERCENTILE_BREAKS = [0.003, 0.03, 0.10, 0.25, 0.50, 0.75, 0.90, 0.97]
 PERCENTILE_LABELS = ["X★", "X+", "X", "S+", "S", "S-", "A+", "A", "A-"]
 ELO_BREAKS = [1200, 1400, 1600, 1800, 2000, 2200, 2400, 2600]
 ELO_LABELS = ["Beginner", "Novice", "Intermediate", "Advanced", "Expert", "Master", "Grandmaster", "Super GM", "Elite"]
+QUEUE_BREAKS = [-3, -2, -1, 0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5]
+QUEUE_LABELS = ["C", "C+", "B-", "B", "B+", "A-", "A", "A+", "S-", "S", "S+", "X-", "X", "X+", "X★"]
+QUEUE_PERCENTILE_BREAKS = [0.003, 0.03, 0.10, 0.20, 0.35, 0.50, 0.65, 0.80, 0.90]
+QUEUE_PERCENTILE_LABELS = ["X★", "X+", "X", "S+", "S", "S-", "A+", "A", "A-", "B"]
+#: Grading systems by name: what is graded (score, pct from the best, elo), breaks and labels.
+SYSTEMS = {
+    "score": ("score", SCORE_BREAKS, SCORE_LABELS), "percentile": ("pct", PERCENTILE_BREAKS, PERCENTILE_LABELS), "elo": ("elo", ELO_BREAKS, ELO_LABELS),
+    "queue": ("score", QUEUE_BREAKS, QUEUE_LABELS), "queue_percentile": ("pct", QUEUE_PERCENTILE_BREAKS, QUEUE_PERCENTILE_LABELS),
+}
 SYSTEMS_SQL = [("score", "score", SCORE_BREAKS, SCORE_LABELS), ("percentile", "pct", PERCENTILE_BREAKS, PERCENTILE_LABELS), ("elo", "elo", ELO_BREAKS, ELO_LABELS)]
 
 
@@ -59,6 +70,27 @@ def grade_distribution(run: DataFrame) -> DataFrame:
     return g.select("system", "grade", F.round(100.0 * F.col("c") / F.lit(float(total)), 6).alias("percent"))
 
 
+def graded(run: DataFrame, systems: dict[str, tuple] | tuple[str, ...] = tuple(SYSTEMS), prefix: str = "grade_") -> DataFrame:
+    """`run` with a grade per system, named ones or one's own as (column or expression of score, pct, elo; breaks; labels)."""
+    chosen = systems if isinstance(systems, dict) else {n: SYSTEMS[n] for n in systems}
+    n = numbered(run.where("score is not null"), [F.desc("score"), F.asc("player_id")], "__n")
+    total = n.count() or 1
+    n = n.withColumns({"elo": 1500 + 400 * F.col("score"), "pct": F.col("__n") / F.lit(float(total))})
+    cols = {f"{prefix}{name}": scalar.cut(F.col(x) if isinstance(x, str) else x, b, g) for name, (x, b, g) in chosen.items()}
+    return n.withColumns(cols).drop("__n", "elo", "pct")
+
+
+def grade_table(distribution: DataFrame, systems: tuple[str, ...]) -> DataFrame:
+    """Percentages with a row per grade and a column per system, 0 where a system doesn't give it."""
+    return distribution.groupBy("grade").pivot("system", list(systems)).agg(F.first("percent")).na.fill(0.0)
+
+
+def displayed(rankings: DataFrame, now: float, delay_days: float = 30.0, rate: float = 0.01, score: str = "display_score", last: str = "last_active") -> DataFrame:
+    """`rankings` with `display_score_decayed`: the score times exp(-rate x days beyond the delay since the last activity."""
+    idle = (F.lit(now) - F.col(last)) / scalar.DAY
+    return rankings.withColumns({"days_inactive": idle, "display_score_decayed": F.when(idle > delay_days, F.col(score) * F.exp(-(idle - delay_days) * rate)).otherwise(F.col(score))})
+
+
 def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     """Players in both runs with both competition ranks and scores."""
     a = competition_rank(old, "score", "old_rank").select("player_id", "old_rank", F.col("score").alias("old_score"))
@@ -116,17 +148,41 @@ def confidence(compacted: DataFrame, high_tournaments: int = 20, high_opponents:
     return g.select(F.col("id").alias("player_id"), "tournaments", "matches", "opponents", "connectivity", score.alias("confidence"), tier.alias("tier"), effective.alias("effective_comparisons"))
 
 
+AGGREGATES = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "median": F.median, "std": F.stddev_samp, "count": F.count}
+
+
+def team_rating(rosters: DataFrame, ratings: DataFrame, how: str = "log_centered_mean") -> DataFrame:
+    """(team_id, rating) from the members' ratings, which are positive: the geometric mean, the same after dividing all by
+    their geometric mean, or an aggregate by name."""
+    r = ratings.where("score is not null").select(F.col("player_id").alias("user_id"), "score")
+    if how == "log_centered_mean":
+        centre = r.agg(F.avg(F.log(F.col("score") + 1e-10))).first()[0] or 0.0
+        r = r.withColumn("score", F.col("score") / F.lit(math.exp(centre)))
+    j = rosters.select("team_id", "user_id").distinct().join(r, "user_id").groupBy("team_id")
+    x = F.col("score")
+    return j.agg((scalar.geometric_mean(x) if how in ("geometric", "log_centered_mean") else AGGREGATES[how](x)).alias("rating"))
+
+
+def team_summary(rosters: DataFrame, matches: DataFrame, ratings: DataFrame) -> DataFrame:
+    """One row per team: tournaments, members, wins, losses, mean rating."""
+    size = rosters.groupBy("team_id").agg(F.countDistinct("tournament_id").alias("tournaments"), F.countDistinct("user_id").alias("members"))
+    won = matches.select(F.col("winner_team_id").alias("team_id"), F.lit(1).alias("w")).unionByName(matches.select(F.col("loser_team_id").alias("team_id"), F.lit(0).alias("w")))
+    won = won.groupBy("team_id").agg(F.sum("w").alias("wins"), F.sum(1 - F.col("w")).alias("losses"))
+    return size.join(won, "team_id", "left").na.fill(0, ["wins", "losses"]).join(team_rating(rosters, ratings, "mean"), "team_id", "left")
+
+
 def team_ratings(rosters: DataFrame, ratings: DataFrame) -> DataFrame:
     j = rosters.join(ratings.where("score is not null").select(F.col("player_id").alias("user_id"), "score"), "user_id").groupBy("tournament_id", "team_id")
     r7 = lambda c: F.round(c, 7)
     return j.agg(F.count("score").alias("rated"), r7(scalar.geometric_mean(F.exp("score"))).alias("geometric"), r7(F.avg("score")).alias("mean"), r7(F.max("score")).alias("best"), r7(F.median("score")).alias("median"))
 
 
-def scaled(df: DataFrame, value: str) -> DataFrame:
-    """`df` with the value brought to 0..100 by its range, and its competition rank."""
+def scaled(df: DataFrame, value: str, log: bool = False, eps: float = 1e-10) -> DataFrame:
+    """`df` with the value (or its logarithm, from `eps` up) brought to 0..100 by its range, and its competition rank."""
     df = written(df, "scaled")
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    x = F.log(F.greatest(F.col(value), F.lit(eps))) if log else F.col(value)
+    low, high = df.agg(F.min(x), F.max(x)).first()
     width = (high - low) if low is not None and high > low else None
-    s = 100 * (F.col(value) - F.lit(low)) / F.lit(width) if width else F.lit(0.0)
+    s = 100 * (x - F.lit(low)) / F.lit(width) if width else F.lit(0.0)
     return competition_rank(df.withColumn("scaled", s), value, "rank")
 

@@ -101,10 +101,24 @@ def alpha_grid(s, d):
     return _round(evaluate.alpha_losses(domain.played(s, d), _ratings(s, d), _GRID))
 
 
-@query()
+_GRID9 = "SELECT {i} AS i, lo + k * (hi - lo) / 8 AS a, lo, hi FROM {b}, range(9) x(k)"
+_AT = "SELECT a, avg(-ln(least(greatest(1 / (1 + exp(-a * gap)), 1e-15), 1 - 1e-15))) AS loss, any_value(lo) AS lo, any_value(hi) AS hi FROM lg, ({g}) GROUP BY a"
+_CLOSER = "SELECT greatest(lo, a - (hi - lo) / 8) AS lo, least(hi, a + (hi - lo) / 8) AS hi FROM {l} ORDER BY loss, a LIMIT 1"
+
+
+def _alpha_sql() -> str:
+    more = {"lg": "SELECT ln(greatest(coalesce(wr, 0.05), 1e-12)) - ln(greatest(coalesce(lr, 0.05), 1e-12)) AS gap FROM e", "b0": "SELECT 0.05::DOUBLE AS lo, 5.0::DOUBLE AS hi"}
+    for i in range(1, 5):
+        more[f"l{i}"] = _AT.format(g=_GRID9.format(i=i, b=f"b{i - 1}"))
+        more[f"b{i}"] = _CLOSER.format(l=f"l{i}")
+    return evaluated("", "SELECT round((lo + hi) / 2, 6) AS alpha FROM b4", **more)
+
+
+@query(_alpha_sql())
 def alpha_fit(s, d):
+    """The exponent of least loss, by grids that close in around the best point."""
     a = evaluate.fitted_alpha(written(domain.played(s, d), "m"), _ratings(s, d))
-    return s.createDataFrame([(a,)], "alpha double")
+    return s.createDataFrame([(a,)], "alpha double").withColumn("alpha", F.round("alpha", 6))
 
 
 @query(sql("runs", """SELECT round(corr(a, b), 7) AS spearman, count(*) AS n FROM (SELECT (rank() OVER (ORDER BY x DESC)) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, (rank() OVER (ORDER BY y DESC)) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM (
@@ -202,7 +216,8 @@ def team_divisions(s, d):
     return predict.divisions(e, "rating", ["tournament_id", "team_id"]).select("tournament_id", "team_id", F.col("place").cast("long").alias("place"), "division")
 
 
-@query()
+@query(sql("m r last", "SELECT round(b, 5) AS slope, 0.0::DOUBLE AS intercept FROM nw WHERE i = 25", mem=_MEMBERS, lse=_LSE, gp="SELECT w.log_rating - l.log_rating AS gap FROM m JOIN lse w ON w.tournament_id = m.tournament_id AND w.team_id = winner_team_id JOIN lse l ON l.tournament_id = m.tournament_id AND l.team_id = loser_team_id",
+  nw="SELECT 0 AS i, 0.0::DOUBLE AS b UNION ALL SELECT any_value(i) + 1, any_value(b) + greatest(-5, least(5, sum((1 - p) * gap) / (sum(p * (1 - p) * gap * gap) + 5e-10))) FROM (SELECT i, b, gap, 1 / (1 + exp(-b * gap)) AS p FROM nw , gp WHERE i < 25) HAVING count(*) > 0"))
 def match_calibration(s, d):
     """Slope and intercept that turn gaps of team strength into chances."""
     t = predict.team_log_rating(_members(s, d)).select("tournament_id", "team_id", "log_rating")
@@ -210,7 +225,7 @@ def match_calibration(s, d):
     for side in ("winner", "loser"):
         m = m.join(t.withColumnsRenamed({"team_id": f"{side}_team_id", "log_rating": side}), ["tournament_id", f"{side}_team_id"])
     a, b = predict.calibrate(written(m.select((F.col("winner") - F.col("loser")).alias("gap")), "gaps"))
-    return s.createDataFrame([(a, b)], "slope double, intercept double")
+    return s.createDataFrame([(round(a, 5), round(b, 7) + 0.0)], "slope double, intercept double")
 
 
 @query()

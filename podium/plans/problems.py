@@ -133,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_features": p1_features,
+        "p1_cells": p1_cells,
+        "p1_merged": p1_merged,
         "p3_found": p3_found,
         "p3_report": p3_report,
         "p4_found": p4_found,
@@ -144,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_maps": node(_settings_nodes, _SETTINGS_PATHS, 3),
         "p6_found": p6_found,
         "p6_instants": p6_instants,
+        "p6_numbers": p6_numbers,
     }
 
 
@@ -160,8 +163,48 @@ _MISSES = " UNION ALL ".join(
 )
 
 
+# The ends of matches as instants, in SQL: a count in seconds, milliseconds or microseconds, days from 1899-12-30, or a local
+# time in 12 or 14 digits in the tournament's zone. Of a time that occurs twice the first counts: the engine takes the later
+# one, so an hour earlier is tried; one that doesn't occur is moved on by the gap.
+_ZONED = "SELECT tournament_id, arg_max(coalesce(settings_timezone, 'UTC'), (coalesce(ingested_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), settings_timezone IS NOT NULL, coalesce(settings_timezone, ''))) AS zone FROM tournaments WHERE tournament_id IS NOT NULL GROUP BY 1"
+_WITHIN = "CASE WHEN {x} >= 1609459200000 AND {x} < 1767225600000 THEN CAST({x} AS BIGINT) END"
+_ENDS = f"""SELECT *, {_WITHIN.format(x="raw_ms")} AS ms FROM (SELECT *, CASE WHEN layout = 'epoch_s' THEN floor(v) * 1000 + floor((v - floor(v)) * 1000 + 0.5) WHEN layout = 'epoch_ms' THEN floor(v) + floor(v - floor(v) + 0.5) WHEN layout = 'epoch_us' THEN floor((floor(v) + 500) / 1000) WHEN layout = 'serial_days' THEN floor((v - 25569) * 86400000 + 0.5)
+  WHEN layout = 'digits' THEN epoch_ms(CASE WHEN timezone(zone, timezone(zone, l) - INTERVAL 1 HOUR) = l THEN timezone(zone, l) - INTERVAL 1 HOUR ELSE timezone(zone, l) END) END AS raw_ms FROM (SELECT *, CASE WHEN layout = 'digits' THEN coalesce(CASE WHEN len(d) = 14 THEN try_strptime(d, '%Y%m%d%H%M%S') END, CASE WHEN len(d) = 12 THEN try_strptime(d, '%Y%m%d%H%M') END) END AS l FROM (
+  SELECT m.match_id, m.tournament_id, total_games, last_game_finished_at AS v, coalesce(z.zone, 'UTC') AS zone, CAST(CAST(floor(last_game_finished_at) AS HUGEINT) AS VARCHAR) AS d, CASE WHEN v >= 1e9 AND v < 1e10 THEN 'epoch_s' WHEN v >= 1e12 AND v < 1e13 THEN 'epoch_ms' WHEN v >= 1e15 AND v < 1e16 THEN 'epoch_us' WHEN v >= 1e4 AND v < 1e5 THEN 'serial_days'
+    WHEN (v >= 19e10 AND v < 21e10 OR v >= 19e12 AND v < 21e12) AND v = floor(v) THEN 'digits' END AS layout FROM (SELECT *, last_game_finished_at AS v FROM matches WHERE last_game_finished_at > 0 AND NOT isnan(last_game_finished_at) AND last_game_finished_at < 1e18) m LEFT JOIN zoned z ON z.tournament_id = m.tournament_id)))"""
+_P1 = """SELECT player_id, org_slug, count(*) AS n, CAST(sum(coalesce(games, 0)) AS DOUBLE) AS total, max(ms) AS latest FROM (SELECT DISTINCT a.player_id, a.match_id, t.org_slug FROM player_appearances a JOIN tournaments t ON t.tournament_id = a.tournament_id AND t.org_slug IS NOT NULL WHERE a.player_id IS NOT NULL AND a.match_id IS NOT NULL)
+  JOIN (SELECT match_id, max(ms) AS ms, max(games) AS games FROM (SELECT match_id, ms, NULL AS games FROM ends WHERE ms IS NOT NULL UNION ALL SELECT match_id, NULL, total_games FROM matches) GROUP BY 1 HAVING max(ms) IS NOT NULL) USING (match_id) GROUP BY ALL"""
+
+
+def p1_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse vectors' cells: a row per player and organiser with matches, games and the latest end."""
+    vectors, types = _vectors(spark, d)
+    c = feature_table.cells(vectors).join(broadcast_if_small(types), "type_idx")
+    return c.select(F.col("entity").alias("player_id"), "org_slug", "n", "total", F.col("latest_ms").alias("latest"))
+
+
+def p1_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same cells from the vectors of two halves of the appearances, kept apart by match and merged."""
+    a = table(spark, d, "player_appearances")
+    first = F.pmod(F.xxhash64("match_id"), F.lit(2)) == 0
+    halves = [feature_table.organiser_vectors(a.where(w), table(spark, d, "matches"), table(spark, d, "tournaments")) for w in (first, ~first)]
+    both = feature_table.merge(written(halves[0][0], "half"), written(halves[1][0], "half"))
+    c = feature_table.cells(both).join(broadcast_if_small(halves[0][1]), "type_idx")
+    return c.select(F.col("entity").alias("player_id"), "org_slug", "n", "total", F.col("latest_ms").alias("latest"))
+
+
+def p6_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The instants of matches' ends that aren't in the usual form."""
+    return _zoned_matches(spark, d).where("layout != 'epoch_s' and utc_ms is not null").select("match_id", "utc_ms").distinct()
+
+
 def oracle_sql() -> dict[str, str]:
+    ends = f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}), cells AS MATERIALIZED ({_P1}) "
     return {
+        "p1_found": ends + f"SELECT player_id, org_slug FROM cells WHERE n >= {LEAST_MATCHES} AND latest < {ENDED_BEFORE_MS}",
+        "p1_cells": ends + "SELECT * FROM cells",
+        "p1_merged": ends + "SELECT * FROM cells",
+        "p6_numbers": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}) SELECT DISTINCT match_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s'",
         "p3_found": f"SELECT DISTINCT reference, record_id, kind FROM ({_MISSES})",
         "p3_report": f"SELECT reference, period, kind, count(*) AS records FROM (SELECT reference, record_id, kind, coalesce(strftime(min(seen) AT TIME ZONE 'UTC', '%Y-%m'), 'unknown') AS period FROM ({_MISSES}) GROUP BY ALL) GROUP BY ALL",
     }

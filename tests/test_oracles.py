@@ -1,9 +1,9 @@
 import oracle
 import pytest
 
-from podium.plans import analytics, pipelines, problems, reference
+import __spark_entry__
 
-MODULES = (problems, reference, analytics, pipelines)
+MODULES = __spark_entry__.CORE
 CASES = [(n, m) for m in MODULES for n in m.oracle_sql()]
 
 
