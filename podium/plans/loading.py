@@ -279,11 +279,14 @@ def adaptive_calibration(s, d):
     return predict.adaptive(g, "format", ["ts", "match_id"])
 
 
-@query()
+@query(sql("pairs ex", "SELECT win2.id AS player_id, round(ln((win2.x + lam * v) / (loss2.x + lam * v)), 5) AS score FROM win2 JOIN loss2 USING (id) JOIN rho USING (id), l", **reference._RHO, **reference.settled("win", "se", "rho"), **reference.settled("loss", "se", "rho", "winner", "loser"), l=reference._LAMBDA,
+  zs="SELECT id, (s - avg(s) OVER ()) / (stddev_pop(s) OVER () + 1e-8) AS z FROM (SELECT win.id, ln((win.x + lam * v) / (loss.x + lam * v)) AS s FROM win JOIN loss USING (id) JOIN rho USING (id), l)",
+  sur="SELECT match_id, winner, loser, share * -ln(greatest(1 / (1 + exp(avg(zl.z) OVER (PARTITION BY match_id) - avg(zw.z) OVER (PARTITION BY match_id))), 1e-6)) AS share FROM pairs JOIN zs zw ON zw.id = winner JOIN zs zl ON zl.id = loser",
+  se2="SELECT loser, winner, sum(share) AS weight_sum FROM sur GROUP BY ALL", **reference.settled("win2", "se2", "rho"), **reference.settled("loss2", "se2", "rho", "winner", "loser")))
 def surprisal_log_odds(s, d):
     """Log-odds ratings refined by how surprising results were."""
     cfg = graph.Engine.of(now=NOW, half_life_days=domain.HALF_LIFE_DAYS, surprisal_rounds=2)
-    return graph.surprisal(reference._compact(s, d), cfg).withColumnRenamed("id", "player_id")
+    return graph.surprisal(reference._compact(s, d), cfg).select(F.col("id").alias("player_id"), F.round("score", 5).alias("score"))
 
 
 @query()

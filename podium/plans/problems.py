@@ -167,11 +167,19 @@ _MISSES = " UNION ALL ".join(
 # time in 12 or 14 digits in the tournament's zone. Of a time that occurs twice the first counts: the engine takes the later
 # one, so an hour earlier is tried; one that doesn't occur is moved on by the gap.
 _ZONED = "SELECT tournament_id, arg_max(coalesce(settings_timezone, 'UTC'), (coalesce(ingested_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), settings_timezone IS NOT NULL, coalesce(settings_timezone, ''))) AS zone FROM tournaments WHERE tournament_id IS NOT NULL GROUP BY 1"
-_WITHIN = "CASE WHEN {x} >= 1609459200000 AND {x} < 1767225600000 THEN CAST({x} AS BIGINT) END"
-_ENDS = f"""SELECT *, {_WITHIN.format(x="raw_ms")} AS ms FROM (SELECT *, CASE WHEN layout = 'epoch_s' THEN floor(v) * 1000 + floor((v - floor(v)) * 1000 + 0.5) WHEN layout = 'epoch_ms' THEN floor(v) + floor(v - floor(v) + 0.5) WHEN layout = 'epoch_us' THEN floor((floor(v) + 500) / 1000) WHEN layout = 'serial_days' THEN floor((v - 25569) * 86400000 + 0.5)
-  WHEN layout = 'digits' THEN epoch_ms(CASE WHEN timezone(zone, timezone(zone, l) - INTERVAL 1 HOUR) = l THEN timezone(zone, l) - INTERVAL 1 HOUR ELSE timezone(zone, l) END) END AS raw_ms FROM (SELECT *, CASE WHEN layout = 'digits' THEN coalesce(CASE WHEN len(d) = 14 THEN try_strptime(d, '%Y%m%d%H%M%S') END, CASE WHEN len(d) = 12 THEN try_strptime(d, '%Y%m%d%H%M') END) END AS l FROM (
-  SELECT m.match_id, m.tournament_id, total_games, last_game_finished_at AS v, coalesce(z.zone, 'UTC') AS zone, CAST(CAST(floor(last_game_finished_at) AS HUGEINT) AS VARCHAR) AS d, CASE WHEN v >= 1e9 AND v < 1e10 THEN 'epoch_s' WHEN v >= 1e12 AND v < 1e13 THEN 'epoch_ms' WHEN v >= 1e15 AND v < 1e16 THEN 'epoch_us' WHEN v >= 1e4 AND v < 1e5 THEN 'serial_days'
-    WHEN (v >= 19e10 AND v < 21e10 OR v >= 19e12 AND v < 21e12) AND v = floor(v) THEN 'digits' END AS layout FROM (SELECT *, last_game_finished_at AS v FROM matches WHERE last_game_finished_at > 0 AND NOT isnan(last_game_finished_at) AND last_game_finished_at < 1e18) m LEFT JOIN zoned z ON z.tournament_id = m.tournament_id)))"""
+
+
+def _instants_sql(rows: str) -> str:
+    """`ms` for every row of (..., w, f, zone): the whole and the broken part of a number, and the zone of local times."""
+    at = "timezone(zone, l)"
+    return f"""SELECT *, CASE WHEN raw_ms >= 1609459200000 AND raw_ms < 1767225600000 THEN CAST(raw_ms AS BIGINT) END AS ms FROM (SELECT *, CASE layout WHEN 'epoch_s' THEN w * 1000 + floor(f * 1000 + 0.5) WHEN 'epoch_ms' THEN w + floor(f + 0.5) WHEN 'epoch_us' THEN (w + 500) // 1000 WHEN 'epoch_ns' THEN (w + 500000) // 1000000
+      WHEN 'serial_days' THEN floor((w + f - 25569) * 86400000 + 0.5) WHEN 'digits' THEN epoch_ms(CASE WHEN timezone(zone, {at} - INTERVAL 1 HOUR) = l THEN {at} - INTERVAL 1 HOUR ELSE {at} END) END AS raw_ms FROM (
+      SELECT *, CASE WHEN layout = 'digits' THEN coalesce(CASE WHEN len(d) = 14 THEN try_strptime(d, '%Y%m%d%H%M%S') END, CASE WHEN len(d) = 12 THEN try_strptime(d, '%Y%m%d%H%M') END) END AS l FROM (
+      SELECT *, CAST(w AS VARCHAR) AS d, CASE WHEN f = 0 AND len(CAST(w AS VARCHAR)) IN (12, 14) AND substr(CAST(w AS VARCHAR), 1, 2) IN ('19', '20') THEN 'digits' ELSE map {{5: 'serial_days', 10: 'epoch_s', 13: 'epoch_ms', 16: 'epoch_us', 19: 'epoch_ns'}}[len(CAST(w AS VARCHAR))] END AS layout FROM ({rows}) WHERE w > 0)))"""
+
+
+_ENDS = _instants_sql("SELECT m.match_id, m.tournament_id, CAST(floor(v) AS HUGEINT) AS w, v - floor(v) AS f, coalesce(z.zone, 'UTC') AS zone FROM (SELECT *, last_game_finished_at AS v FROM matches WHERE NOT isnan(last_game_finished_at) AND last_game_finished_at BETWEEN 1 AND 9e18) m LEFT JOIN zoned z ON z.tournament_id = m.tournament_id")
+_STARTS = _instants_sql("SELECT tournament_id, CAST(start_time_ms AS HUGEINT) AS w, 0.0::DOUBLE AS f, coalesce(settings_timezone, 'UTC') AS zone FROM tournaments WHERE start_time_ms IS NOT NULL")
 _P1 = """SELECT player_id, org_slug, count(*) AS n, CAST(sum(coalesce(games, 0)) AS DOUBLE) AS total, max(ms) AS latest FROM (SELECT DISTINCT a.player_id, a.match_id, t.org_slug FROM player_appearances a JOIN tournaments t ON t.tournament_id = a.tournament_id AND t.org_slug IS NOT NULL WHERE a.player_id IS NOT NULL AND a.match_id IS NOT NULL)
   JOIN (SELECT match_id, max(ms) AS ms, max(games) AS games FROM (SELECT match_id, ms, NULL AS games FROM ends WHERE ms IS NOT NULL UNION ALL SELECT match_id, NULL, total_games FROM matches) GROUP BY 1 HAVING max(ms) IS NOT NULL) USING (match_id) GROUP BY ALL"""
 
@@ -194,8 +202,10 @@ def p1_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """The instants of matches' ends that aren't in the usual form."""
-    return _zoned_matches(spark, d).where("layout != 'epoch_s' and utc_ms is not null").select("match_id", "utc_ms").distinct()
+    """The instants of p6_found's two numeric fields."""
+    ends = _zoned_matches(spark, d).where("layout != 'epoch_s'").select(F.lit("matches.last_game_finished_at").alias("field"), F.col("match_id").alias("record_id"), "utc_ms")
+    starts = _tournament_starts(spark, d).where("layout != 'epoch_ms'").select(F.lit("tournaments.start_time_ms").alias("field"), F.col("tournament_id").alias("record_id"), "utc_ms")
+    return ends.unionByName(starts).where("utc_ms is not null").distinct()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -204,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": ends + f"SELECT player_id, org_slug FROM cells WHERE n >= {LEAST_MATCHES} AND latest < {ENDED_BEFORE_MS}",
         "p1_cells": ends + "SELECT * FROM cells",
         "p1_merged": ends + "SELECT * FROM cells",
-        "p6_numbers": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}) SELECT DISTINCT match_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s'",
+        "p6_numbers": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}), starts AS MATERIALIZED ({_STARTS}) SELECT DISTINCT 'matches.last_game_finished_at' AS field, match_id AS record_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s' UNION SELECT 'tournaments.start_time_ms', tournament_id, ms FROM starts WHERE ms IS NOT NULL AND layout != 'epoch_ms'",
         "p3_found": f"SELECT DISTINCT reference, record_id, kind FROM ({_MISSES})",
         "p3_report": f"SELECT reference, period, kind, count(*) AS records FROM (SELECT reference, record_id, kind, coalesce(strftime(min(seen) AT TIME ZONE 'UTC', '%Y-%m'), 'unknown') AS period FROM ({_MISSES}) GROUP BY ALL) GROUP BY ALL",
     }

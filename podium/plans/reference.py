@@ -238,11 +238,32 @@ def retrospective_strength(s, d):
     return graph.retrospective(e, scores).withColumn("strength", F.round("strength", 9))
 
 
-@query()
+TICKS = 5
+
+
+def _tick_tock_sql() -> str:
+    more = {
+        "base": "SELECT w.tournament_id, l.user_id AS loser, v.user_id AS winner, sum(weight) AS weight_sum FROM w JOIN r l ON l.tournament_id = w.tournament_id AND l.team_id = loser_team_id JOIN r v ON v.tournament_id = w.tournament_id AND v.team_id = winner_team_id GROUP BY ALL",
+        "v": "SELECT id, raw / sum(raw) OVER () AS v FROM (SELECT n.id, 1 / sqrt(coalesce(deg, 1)) AS raw FROM (SELECT loser AS id FROM base UNION SELECT winner FROM base) n LEFT JOIN (SELECT loser AS id, count(DISTINCT winner) AS deg FROM base GROUP BY 1) g ON g.id = n.id)",
+        "part": _PART,
+        "infl0": "SELECT DISTINCT tournament_id, 1.0::DOUBLE AS strength FROM m WHERE tournament_id IS NOT NULL",
+    }
+    for i in range(1, TICKS + 1):
+        more[f"ed{i}"] = f"SELECT loser, winner, sum(weight_sum * coalesce(strength, 1)) AS weight_sum FROM base LEFT JOIN infl{i - 1} USING (tournament_id) GROUP BY ALL"
+        more |= settled(f"pr{i}", f"ed{i}", "v")
+        more[f"infl{i}"] = f"SELECT tournament_id, x / avg(x) OVER () AS strength FROM (SELECT tournament_id, avg(coalesce(x, (SELECT quantile_cont(x, 0.05) FROM pr{i}))) AS x FROM part LEFT JOIN pr{i} ON id = user_id GROUP BY 1)"
+        more[f"ch{i}"] = f"SELECT {i} AS i, avg(abs(coalesce(n.strength, 1) - coalesce(o.strength, 1))) AS c FROM infl{i} n FULL JOIN infl{i - 1} o USING (tournament_id)"
+    more["stop"] = f"SELECT coalesce(min(i) FILTER (c < 1e-4), {TICKS}) AS at FROM (" + " UNION ALL ".join(f"SELECT * FROM ch{i}" for i in range(1, TICKS + 1)) + ")"
+    more["stop"] = more["stop"].replace(" AS at ", " AS tick ")
+    return sql("w r", " UNION ALL ".join(f"SELECT id AS player_id, round(x, 9) AS score FROM pr{i} WHERE (SELECT tick FROM stop) = {i}" for i in range(1, TICKS + 1)), **more)
+
+
+@query(_tick_tock_sql())
 def tick_tock_ratings(s, d):
     """Players' ratings with tournaments' influence estimated alongside."""
-    cfg = graph.Engine(now=NOW, half_life_days=domain.HALF_LIFE_DAYS)
-    return graph.tick_tock(written(domain.played(s, d), "m"), written(domain.rosters(s, d), "r"), cfg)[0].withColumnRenamed("id", "player_id")
+    cfg = graph.Engine(now=NOW, half_life_days=domain.HALF_LIFE_DAYS, max_ticks=TICKS)
+    r = graph.tick_tock(written(domain.played(s, d), "m"), written(domain.rosters(s, d), "r"), cfg)[0]
+    return r.select(F.col("id").alias("player_id"), F.round("score", 9).alias("score"))
 
 
 _RHO = {"rho": "SELECT id, exposure, (e_share + 1e-12) / sum(e_share + 1e-12) OVER () AS v FROM ex", "se": "SELECT loser, winner, sum(share) AS weight_sum FROM pairs GROUP BY ALL"}
