@@ -30,6 +30,12 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return pairwise.ranking(_rating(spark, d))
 
 
+def p2_strengths(spark: SparkSession, d: str) -> DataFrame:
+    """The logarithms of all rated players' strengths and odds."""
+    r = _rating(spark, d).where("strength is not null")
+    return r.select("player_id", "matches", F.round(F.log("strength"), 6).alias("log_strength"), F.round(F.log("odds"), 6).alias("log_odds"))
+
+
 def _best(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tournaments").select("tournament_id").dropna().distinct()
     a = table(spark, d, "player_appearances").select("tournament_id", "player_id").dropna()
@@ -145,7 +151,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    q = [p2_found, p2_ranking, p5_found, p5_top, p7_found, p7_packing, p7_fill, p7_check, p8_found, p8_mix, p8_shares, p8_check, p9_found, p9_levels, p9_profile]
+    q = [p2_found, p2_ranking, p2_strengths, p5_found, p5_top, p7_found, p7_packing, p7_fill, p7_check, p8_found, p8_mix, p8_shares, p8_check, p9_found, p9_levels, p9_profile]
     return {f.__name__: f for f in q}
 
 
@@ -155,8 +161,34 @@ _TOP = """SELECT tournament_id, player_id, score, row_number() OVER (PARTITION B
 _KEY = "nullif(regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', '', 'g'), '')"
 
 
+# Who won and lost each decided match, a match's factor, and the alternating rescaling until it settles, as SQL.
+_SIDES = """dec AS MATERIALIZED (SELECT match_id, arg_max(winner_team_id, k) AS winner, arg_max(loser_team_id, k) AS loser FROM (SELECT *, (coalesce(ingested_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), winner_team_id, loser_team_id) AS k FROM matches WHERE is_bye IS NOT TRUE AND winner_team_id IS NOT NULL AND loser_team_id IS NOT NULL AND match_id IS NOT NULL) GROUP BY 1),
+  ap AS MATERIALIZED (SELECT a.tournament_id, a.match_id, a.player_id, winner, loser, CASE WHEN team_id = winner THEN true WHEN team_id = loser THEN false END AS own FROM player_appearances a JOIN dec ON dec.match_id = a.match_id WHERE a.player_id IS NOT NULL),
+  ro AS MATERIALIZED (SELECT DISTINCT tournament_id, player_id, team_id FROM roster_entries WHERE tournament_id IS NOT NULL AND player_id IS NOT NULL AND team_id IS NOT NULL),
+  gu AS MATERIALIZED (SELECT ap.match_id, ap.player_id, CASE WHEN own IS NULL THEN CASE WHEN w.team_id IS NOT NULL AND l.team_id IS NULL THEN true WHEN l.team_id IS NOT NULL AND w.team_id IS NULL THEN false END END AS guess, own FROM ap LEFT JOIN ro w ON w.tournament_id = ap.tournament_id AND w.player_id = ap.player_id AND w.team_id = winner LEFT JOIN ro l ON l.tournament_id = ap.tournament_id AND l.player_id = ap.player_id AND l.team_id = loser),
+  si AS MATERIALIZED (SELECT match_id, player_id, CASE WHEN count(own) > 0 THEN CASE WHEN bool_and(own) = bool_or(own) THEN bool_or(own) END ELSE CASE WHEN bool_and(guess) = bool_or(guess) THEN bool_or(guess) END END AS won FROM gu GROUP BY ALL),
+  fa AS MATERIALIZED (SELECT match_id, 1.0 / (count(*) FILTER (won) * count(*) FILTER (NOT won)) AS w FROM si WHERE won IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (won) > 0 AND count(*) FILTER (NOT won) > 0),
+  ra AS MATERIALIZED (SELECT match_id, player_id, won, w FROM si JOIN fa USING (match_id) WHERE won IS NOT NULL)"""
+
+
+def _half(state: str, vector: str, gives: str) -> str:
+    """The vector of the giving side, of geometric mean 1, from the other side's."""
+    other = f"SELECT r.match_id, sum(1 / q.{vector}) AS s FROM ra r JOIN {state} q ON q.id = r.player_id WHERE r.won != {gives} GROUP BY 1"
+    got = f"SELECT r.player_id AS id, sum(r.w * t.s) AS s FROM ra r JOIN ({other}) t ON t.match_id = r.match_id WHERE r.won = {gives} GROUP BY 1"
+    return f"SELECT id, raw / exp(avg(ln(raw)) OVER ()) AS v FROM (SELECT x.id, {pairwise.SMOOTH} + coalesce(g.s, 0) AS raw FROM {state} x LEFT JOIN ({got}) g ON g.id = x.id)"
+
+
+def _rating_sql(body: str) -> str:
+    step = f"""WITH no AS MATERIALIZED ({_half("st", "d", "true")}), nd AS MATERIALIZED ({_half("(SELECT id, v AS o FROM no)", "o", "false")})
+      SELECT st.i + 1, st.id, no.v, nd.v, max(abs(ln(no.v / st.o))) OVER () FROM st JOIN no ON no.id = st.id JOIN nd ON nd.id = st.id WHERE st.i < {pairwise.ROUNDS} AND (st.change IS NULL OR st.change >= {pairwise.TOLERANCE})"""
+    return f"""WITH RECURSIVE {_SIDES}, st AS (SELECT 0 AS i, player_id AS id, 1.0::DOUBLE AS o, 1.0::DOUBLE AS d, NULL::DOUBLE AS change FROM (SELECT DISTINCT player_id FROM ra) UNION ALL ({step})),
+      str AS MATERIALIZED (SELECT id AS player_id, o, d, o / d AS strength, o / d / (SELECT quantile_cont(o / d, 0.5) FROM st WHERE i = (SELECT max(i) FROM st)) AS odds FROM st WHERE i = (SELECT max(i) FROM st)), pl AS MATERIALIZED (SELECT player_id, count(*) AS matches FROM si GROUP BY 1) {body}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _rating_sql(f"SELECT player_id FROM str JOIN pl USING (player_id) WHERE matches >= {LEAST_DECIDED} AND odds > {TOP_ODDS}"),
+        "p2_strengths": _rating_sql("SELECT player_id, matches, round(ln(strength), 6) AS log_strength, round(ln(odds), 6) AS log_odds FROM str JOIN pl USING (player_id)"),
         "p5_found": f"SELECT tournament_id, player_id FROM ({_TOP}) WHERE position <= {TOP}",
         "p5_top": f"SELECT tournament_id, player_id, score, CAST(position AS INTEGER) AS position FROM ({_TOP}) WHERE position <= {TOP}",
         "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CAPACITY}",
