@@ -176,14 +176,12 @@ def interval_coverage(df: DataFrame, low: str, high: str, outcome: str, level: f
 def shuffled(ratings: DataFrame, k: int) -> DataFrame:
     """Ratings dealt out again among the same ids by the k-th of a row of fixed permutations.
 
-    With ids in order, the rating at place i goes to place (i x m) mod n, m a power of a prime that doesn't divide n: a
-    permutation without sorting by random numbers. `ratings` holds (id, rating, at), `at` the place of the id.
+    Ids are ordered by a multiple of theirs modulo 2^32, another multiplier for each k; the rating at place i of the ids'
+    own order goes to place i of that one. `ratings` holds (id, rating, at), `at` the place of the id.
     """
-    n = ratings.count()
-    prime = next((p for p in (48271, 69621) if n % p), 1)
-    m = pow(prime, k, n) if n > 1 else 0
-    moved = ratings.select(F.pmod(F.col("at") * F.lit(m), F.lit(max(n, 1))).alias("at"), "rating")
-    return ratings.select("id", "at").join(moved, "at").select("id", "rating")
+    key = F.pmod(F.pmod(F.col("id"), F.lit(1 << 32)) * F.lit(1103515245 + 15308642 * k), F.lit(1 << 32))
+    order = ranked(ratings.select("id", key.alias("key")), [F.asc("key"), F.asc("id")], "at")
+    return order.select("id", "at").join(ratings.select("at", "rating"), "at").select("id", "rating")
 
 
 def skill(matches: DataFrame, ratings: DataFrame, permutations: int = 10) -> DataFrame:

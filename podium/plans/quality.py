@@ -123,9 +123,9 @@ def strict_concordance(s, d):
     return _round(quality.strict_concordance(analytics._pred(s, d)))
 
 
-_IDS = "SELECT id, rating, row_number() OVER (ORDER BY id) - 1 AS at, count(*) OVER () AS n FROM tr"
-_MULT = "SELECT 1 AS k, (CASE WHEN n % 48271 != 0 THEN 48271 ELSE 69621 END) % n AS f, n, (CASE WHEN n % 48271 != 0 THEN 48271 ELSE 69621 END) % n AS m FROM (SELECT DISTINCT n FROM ids) UNION ALL SELECT k + 1, f, n, m * f % n FROM mult WHERE k < 10"
-_DEALT = "SELECT k, a.id, b.rating FROM mult, ids b JOIN ids a ON a.at = b.at * mult.m % b.n"
+_IDS = "SELECT id, rating, row_number() OVER (ORDER BY id) - 1 AS at FROM tr"
+_MULT = "SELECT x.range AS k FROM range(1, 11) x"
+_DEALT = "SELECT k, o.id, b.rating FROM (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY (id % 4294967296) * (1103515245 + 15308642 * k) % 4294967296, id) - 1 AS at FROM mult, ids) o JOIN ids b ON b.at = o.at"
 _P = "1 / (1 + exp(-(ln(greatest(coalesce(w.rating, 0.05), 1e-12)) - ln(greatest(coalesce(l.rating, 0.05), 1e-12)))))"
 
 
