@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.runtime import written
+from podium.runtime import broadcast_if_small, written
 
 #: Fractional records per block of the lowest level, and residuals per block further up.
 BLOCK, FAN = 50_000, 10_000
@@ -96,7 +96,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFram
     # One row per listed source, a table that an author writes; broadcast after the same size check as elsewhere.
     most = max([1, *(r[0] for r in q.select("records").collect())])
     per = q.select("key", "copies", "records")
-    rows = sizes.join(F.broadcast(per) if per.count() < 100_000 else per, "key")
+    rows = sizes.join(broadcast_if_small(per), "key")
     whole = F.floor("copies")
     rows = rows.select("item", "key", "size", whole.alias("whole"), (F.col("copies") - whole).alias("p"), "records")
     fractional = (F.col("p") > 1e-12) & (F.col("size") > 0)

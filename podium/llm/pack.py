@@ -79,7 +79,8 @@ def _round(items: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
     both = items.select(F.col("size").alias("at"), F.lit(False).alias("gap"), "item", "piece", F.lit(None).cast("long").alias("container"))
     both = both.unionByName(gaps.select(F.col("room").alias("at"), F.lit(True).alias("gap"), F.lit(None).cast(kind).alias("item"), F.lit(None).cast("int").alias("piece"), "container"))
     order = [F.desc("at"), F.desc("gap"), F.xxhash64("item", "piece", "container"), F.col("container"), F.col("item"), F.col("piece")]
-    both = both.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    both = both.repartitionByRange(n, *order) if n > 1 else both.coalesce(1)
+    both = both.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = list(batches)
@@ -98,8 +99,12 @@ def _round(items: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
         cols = [state, np.full(len(state), part, np.int32), rank, t["item"].take(mine), t["piece"].take(mine), size, t["container"].take(theirs), room]
         yield from pa.table(dict(zip(("state", "part", "rank", "item", "piece", "size", "container", "room"), cols, strict=True))).to_batches(65_536)
 
-    swept = written(both.mapInArrow(run, f"state int, part int, rank long, item {kind}, piece int, size int, container long, room int"), "swept")
+    swept = both.mapInArrow(run, f"state int, part int, rank long, item {kind}, piece int, size int, container long, room int")
     cols = ["state", "item", "piece", "size", "container", "room"]
+    shrunk = F.when(F.col("state") == PLACED, F.col("room") - F.col("size")).otherwise(F.col("room")).alias("room")
+    if n == 1:  # one range leaves nothing to others
+        return written(swept.select(*cols[:-1], shrunk), "round")
+    swept = written(swept, "swept")
     left = {(r[0], r[1]): r[2] for r in swept.where(F.col("state") != PLACED).groupBy("state", "part").count().collect()}  # two rows per range
     of_items, of_gaps = between({p: k for (s, p), k in left.items() if s == ITEM}, {p: k for (s, p), k in left.items() if s == GAP})
     placed = swept.where(F.col("state") == PLACED).select(*cols)
@@ -114,8 +119,8 @@ def _round(items: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
         pairs = alone.where("id is not null").select("id", "item", "piece", "size").join(open_.where("id is not null").select("id", "container", "room"), "id")
         placed = placed.unionByName(pairs.select(F.lit(PLACED).alias("state"), *cols[1:]))
         alone, open_ = alone.where("id is null"), open_.where("id is null")
-    done = placed.withColumn("room", F.col("room") - F.col("size")).unionByName(alone.select(*cols)).unionByName(open_.select(*cols))
-    done = written(done, "round")
+    done = placed.unionByName(alone.select(*cols)).unionByName(open_.select(*cols))
+    done = written(done.select(*cols[:-1], shrunk), "round")
     dropped(swept)
     return done
 
@@ -130,20 +135,22 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     full = F.when(F.col("size") > capacity, F.floor((F.col("size") - 1) / capacity)).otherwise(0)
     pieces = src.where("size > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), full.cast("int"))))
     left = pieces.select("item", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("size"))
-    gaps, opened, rounds = None, 0, []
-    while True:
-        n, tokens, over, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.count_if(F.col("size") > capacity // 2), F.min("size")).first()
-        if not n:
-            break
-        gaps = None if gaps is None else gaps.where(F.col("room") >= least)  # the others hold nothing any more
-        free = 0 if gaps is None else gaps.count()
-        if not free:
+    opened, rounds = 0, []
+    figures = [F.count("size"), F.sum("size"), F.count_if(F.col("size") > capacity // 2), F.min("size")]
+    n, tokens, over, least, most, free = *left.agg(*figures).first(), None, 0
+    while n:
+        if most is None or most < least:
             free = min(n, max(-(-tokens // capacity), over))
             gaps = spark.range(opened, opened + free).select(F.col("id").alias("container"), F.lit(capacity).alias("room"))
             opened += free
+        else:
+            gaps = rounds[-1].where((F.col("state") != ITEM) & (F.col("room") >= least)).select("container", "room")  # the others hold nothing any more
         rounds.append(_round(left, gaps, n + free))
         left = rounds[-1].where(F.col("state") == ITEM).select("item", "piece", "size")
-        gaps = rounds[-1].where(F.col("state") != ITEM).select("container", "room")
+        # One pass over the round: what is left, the widest gap, and how many gaps are open.
+        size = F.when(F.col("state") == ITEM, F.col("size"))
+        open_ = (F.col("state") != ITEM) & (F.col("room") > 0)
+        n, tokens, over, least, most, free = rounds[-1].agg(F.count(size), F.sum(size), F.count_if(size > capacity // 2), F.min(size), F.max(F.when(open_, F.col("room"))), F.count_if(open_)).first()
     none = src.where("size <= 0").select("item", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("container"))
     placed = [r.where(F.col("state") == PLACED).select("item", "piece", "size", "container") for r in rounds]
     return reduce(DataFrame.unionByName, placed, none).withColumnRenamed("item", item)

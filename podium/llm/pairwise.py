@@ -206,6 +206,6 @@ def rating(appearances: DataFrame, matches: DataFrame, rosters: DataFrame) -> Da
 
 
 def ranking(rated: DataFrame) -> DataFrame:
-    """The rated players in one order, place from 1; equal strengths go by the smaller player_id."""
-    r = ranked(rated.where("strength is not null"), [F.desc("strength"), F.asc("player_id")], "place")
+    """The rated players in one order, place from 1; strengths that are equal to nine decimals go by the smaller player_id."""
+    r = ranked(rated.where("strength is not null"), [F.desc(F.round("strength", 9)), F.asc("player_id")], "place")
     return r.withColumn("place", F.col("place") + 1)

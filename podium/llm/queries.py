@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import mix, pack, pairwise, reading, top_n
-from podium.runtime import broadcast_if_small, table, written
+from podium.runtime import beside, broadcast_if_small, table, written
 
 #: p2's top class: least decided matches, and odds of four of a kind against four of median strength.
 LEAST_DECIDED, TOP_ODDS = 40, 20
@@ -27,7 +27,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All rated players in one order with their strength."""
-    return pairwise.ranking(_rating(spark, d))
+    r = pairwise.ranking(_rating(spark, d))
+    return r.select("player_id", "matches", "place", *[F.round(c, 6).alias(c) for c in ("offence", "defence", "strength", "odds")])
 
 
 def p2_strengths(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +85,8 @@ def p7_check(spark: SparkSession, d: str) -> DataFrame:
     a = j.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("not_whole"))
     room = got.where("container is not null").groupBy("container").agg(F.sum("size").alias("n"))
     b = room.agg(F.count(F.lit(1)).alias("containers"), F.count_if(F.col("n") > CAPACITY).alias("over_capacity"))
-    ab = a.join(F.broadcast(b))  # two single rows
     must = F.ceil(F.col("tokens") / CAPACITY)
-    return ab.select("documents", "tokens", "pieces", "not_whole", "over_capacity", must.alias("at_least"), (F.col("containers") <= must * 1.05 + 1).alias("near_least"))
+    return beside(a, b).select("documents", "tokens", "pieces", "not_whole", "over_capacity", must.alias("at_least"), (F.col("containers") <= must * 1.05 + 1).alias("near_least"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -188,6 +188,7 @@ def _rating_sql(body: str) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _rating_sql(f"SELECT player_id FROM str JOIN pl USING (player_id) WHERE matches >= {LEAST_DECIDED} AND odds > {TOP_ODDS}"),
+        "p2_ranking": _rating_sql("SELECT player_id, matches, row_number() OVER (ORDER BY round(strength, 9) DESC, player_id) AS place, round(o, 6) AS offence, round(d, 6) AS defence, round(strength, 6) AS strength, round(odds, 6) AS odds FROM str JOIN pl USING (player_id)"),
         "p2_strengths": _rating_sql("SELECT player_id, matches, round(ln(strength), 6) AS log_strength, round(ln(odds), 6) AS log_odds FROM str JOIN pl USING (player_id)"),
         "p5_found": f"SELECT tournament_id, player_id FROM ({_TOP}) WHERE position <= {TOP}",
         "p5_top": f"SELECT tournament_id, player_id, score, CAST(position AS INTEGER) AS position FROM ({_TOP}) WHERE position <= {TOP}",
