@@ -183,8 +183,8 @@ def ranked_stats(tournaments: DataFrame, matches: DataFrame, rosters: DataFrame,
     parts = {"tournaments": tournaments.select("tournament_id").distinct(), "matches": matches.select("tournament_id", "match_id"), "teams": rosters.select("tournament_id", "team_id").distinct(), "entries": rosters}
     out = None
     for name, df in parts.items():
-        all_, some = (x.agg(F.count(F.lit(1)).alias("n")) for x in (df, df.join(ids, "tournament_id", "left_semi")))
-        row = all_.withColumnRenamed("n", "total").join(F.broadcast(some.withColumnRenamed("n", "ranked"))).select(F.lit(name).alias("what"), "total", "ranked")  # two single rows
+        j = df.join(ids.withColumn("__ok", F.lit(True)), "tournament_id", "left")
+        row = j.agg(F.count(F.lit(1)).alias("total"), F.count("__ok").alias("ranked")).select(F.lit(name).alias("what"), "total", "ranked")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("ranked"), "total"), F.lit(0.0)))
 

@@ -5,6 +5,7 @@ Predictions are frames with `p`, the chance given to what happened (the actual w
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -143,15 +144,6 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     return mid.agg(((up - pos * (pos + 1) / 2) / (pos * (total - pos))).alias("auc"), F.count(F.lit(1)).alias("n"))
 
 
-def ndcg(df: DataFrame, group: str, predicted_order: str, gain: str, k: int = 8) -> DataFrame:
-    """Normalised discounted cumulative gain at k per group; ties by the gain's order are the caller's to break."""
-    def dcg(order: Column, name: str) -> DataFrame:
-        w = Window.partitionBy(group).orderBy(order, F.asc(predicted_order))
-        return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy(group).agg(F.sum(F.col(gain) / F.log2(F.col("n") + 1)).alias(name))
-
-    return dcg(F.asc(predicted_order), "dcg").join(dcg(F.desc(gain), "ideal"), group).withColumn("ndcg", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0))
-
-
 def folds(matches: DataFrame, n: int = 5) -> list[tuple[DataFrame, DataFrame]]:
     """Temporal folds: tournaments in the order of their last match in n + 1 parts; each part is tested on all before it."""
     t = written(matches.groupBy("tournament_id").agg(F.max("ts").alias("last")), "folds")
@@ -191,6 +183,32 @@ def sequential_holdout(matches: DataFrame, rate: Callable[[DataFrame], DataFrame
     return out
 
 
+def uncertainty_losses(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the loss under every scheme of the entropy-based weights."""
+    p, x = F.col("p"), loss(F.col("p"))
+    sums = [F.try_divide(F.sum(uncertainty_weight(p, s) * x), F.sum(uncertainty_weight(p, s))).alias(f"loss_{s}") for s in SCHEMES]
+    return pred.where("p is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("matches"), *sums)
+
+
+def sampled(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """n rows that follow from their keys' hash alone, or all if there are fewer."""
+    return df.withColumn("__h", F.xxhash64(*keys, F.lit(seed))).orderBy("__h", *keys).limit(n).drop("__h")
+
+
+def grid_search(objective: Callable[[dict], float], grid: dict[str, list]) -> tuple[dict, list[tuple[dict, float]]]:
+    """The settings of least objective over the product of a grid, and all that were tried; the first of equal ones counts."""
+    tried = [(x, objective(x)) for x in (dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values()))]
+    return min(tried, key=lambda t: t[1])[0], tried
+
+
+def random_search(objective: Callable[[dict], float], ranges: dict[str, tuple[float, float]], n: int = 20, seed: int = 42) -> tuple[dict, list[tuple[dict, float]]]:
+    """The same over n settings drawn evenly from ranges, by the logarithm where both ends are positive and far apart."""
+    g = np.random.default_rng(seed)
+    draw = lambda lo, hi: float(np.exp(g.uniform(np.log(lo), np.log(hi)))) if lo > 0 and hi / lo > 10 else float(g.uniform(lo, hi))
+    tried = [(x, objective(x)) for x in ({k: draw(*r) for k, r in ranges.items()} for _ in range(n))]
+    return min(tried, key=lambda t: t[1])[0], tried
+
+
 def gini(df: DataFrame, value: str) -> DataFrame:
     """Inequality of non-negative values."""
     # Equal values may share any order within the tie: the mean of their places.

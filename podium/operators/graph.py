@@ -334,20 +334,37 @@ def row_pagerank(edges: DataFrame, v: DataFrame, cfg: Engine) -> DataFrame:
     return pagerank(normalized(edges, denominators(edges, cfg.smoothing)), "normalized_weight", v, cfg.pagerank)
 
 
-def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine()) -> tuple[DataFrame, DataFrame]:
+def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine(), edges_bound: int = EDGES) -> tuple[DataFrame, DataFrame]:
     """((id, score), influence): ratings and tournaments' influence re-estimated in turn until it settles.
 
-    The pairs are made once, with their decayed weight per tournament; a tick only scales and sums them.
+    The pairs are made once, with their decayed weight per tournament; a tick only scales and sums them. Up to `EDGES` pairs
+    they come to the driver once for all ticks.
     """
     who = written(participants(matches, rosters), "participants")
     infl = written(matches.select("tournament_id").dropna().distinct().withColumn("strength", F.lit(1.0)), "influence")
     base = written(convert.player_edges(convert.weighted(matches, cfg.now, cfg.rate), rosters, ["tournament_id"]), "pairs")
     v = written(teleport(base.select("loser", "winner").distinct(), "volume_inverse"), "teleport")
-    scores = None
+
+    def by_arrays(infl: DataFrame) -> DataFrame:
+        i = infl.select("tournament_id", "strength").where("tournament_id is not null").toArrow()
+        if not len(ids):
+            return _scored(v, ids, score=np.zeros(0))
+        k, x = i["tournament_id"].to_numpy(), i["strength"].to_numpy()
+        order = np.argsort(k)
+        k, x = k[order], x[order]
+        at = np.minimum(np.searchsorted(k, arrays[0]), max(0, len(k) - 1))
+        strength = np.where(k[at] == arrays[0], x[at], 1.0) if len(k) else np.ones(len(arrays[0]))
+        return _scored(v, ids, score=step_arrays(src, dst, arrays[1] * strength**cfg.beta, tv, cfg.pagerank))
+
+    scores, arrays = None, None
+    if not cfg.pagerank.deficit and base.count() <= edges_bound:
+        ids, src, dst, _, tv = _arrays(base.select("loser", "winner", F.col("weight_sum").alias("w")), v)
+        t = base.select("tournament_id", "weight_sum").toArrow()
+        arrays = t["tournament_id"].to_numpy(), t["weight_sum"].to_numpy()
     for _ in range(cfg.max_ticks):
         w = F.col("weight_sum") * F.pow(F.coalesce("strength", F.lit(1.0)), F.lit(cfg.beta))
         e = base.join(broadcast_if_small(infl), "tournament_id", "left").groupBy("loser", "winner").agg(F.sum(w).alias("weight_sum"))
-        last, scores = scores, written(row_pagerank(e, v, cfg), "scores")
+        last, scores = scores, written(by_arrays(infl) if arrays else row_pagerank(e, v, cfg), "scores")
         new = written(influence(scores, who, cfg.influence_method), "influence")
         both = new.withColumnRenamed("strength", "new").join(infl, "tournament_id", "full")
         change = both.agg(F.avg(F.abs(F.coalesce("new", F.lit(1.0)) - F.coalesce("strength", F.lit(1.0))))).first()[0] or 0.0
@@ -434,6 +451,62 @@ def tick_tock_log_odds(matches: DataFrame, rosters: DataFrame, appearances: Data
     return scores, infl
 
 
+@dataclass(frozen=True)
+class Result:
+    """What an engine gives: (id, score, ...), the tournaments' influence if it estimates it, and its settings."""
+
+    scores: DataFrame
+    influence: DataFrame | None
+    config: Engine
+
+    def top(self, n: int) -> DataFrame:
+        """The n best, equal scores by the smaller id."""
+        return self.scores.orderBy(F.desc("score"), F.asc("id")).limit(n)
+
+
+def rate(engine: str, matches: DataFrame, rosters: DataFrame, appearances: DataFrame | None = None, cfg: Engine | None = None, **settings: object) -> Result:
+    """Ratings by an engine's name: tick_tock, log_odds, tick_tock_log_odds, surprisal, players (PageRank) or teams."""
+    cfg = Engine.of(cfg, **settings)
+    infl = None
+    if engine == "tick_tock":
+        scores, infl = tick_tock(matches, rosters, cfg)
+    elif engine == "tick_tock_log_odds":
+        scores, infl = tick_tock_log_odds(matches, rosters, appearances, cfg)
+    elif engine in ("log_odds", "surprisal"):
+        c = convert.compact(convert.weighted(matches, cfg.now, cfg.rate), rosters, appearances)
+        scores = (log_odds if engine == "log_odds" else surprisal)(c, cfg)
+    elif engine in ("players", "teams"):
+        w = convert.weighted(matches, cfg.now, cfg.rate)
+        e = written(convert.team_edges(w) if engine == "teams" else convert.player_edges(w, rosters), "edges")
+        scores = row_pagerank(e, teleport(e), cfg)
+    else:
+        raise ValueError(f"no engine {engine!r}")
+    return Result(scores, infl, cfg)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that is connected to a node, directions aside.
+
+    Labels are lowered to the smallest of the neighbours', and then to their label's own, until none changes: a few rounds
+    even for long chains, each a join and an aggregation.
+    """
+    a = edges.select(F.col("loser").alias("x"), F.col("winner").alias("y"))
+    both = written(a.unionByName(a.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    label = written(both.select(F.col("x").alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    while True:
+        near = both.join(label.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("c"))
+        low = written(label.join(near, "id").select("id", F.least("component", "c").alias("c"), F.col("component").alias("was")), "lower")
+        # What a node's old label has found out counts for the node too.
+        told = low.groupBy(F.col("was").alias("root")).agg(F.min("c").alias("best"))
+        jump = low.join(told, F.col("was") == F.col("root")).select("id", F.least("c", "best").alias("component"), "was")
+        nxt = written(jump, "labels")
+        changed = nxt.where("component != was").limit(1).count()
+        dropped(label, low)
+        label = nxt
+        if not changed:
+            return label.select("id", "component")
+
+
 def loo_flux(compacted: DataFrame, scores: DataFrame, alpha: float = 0.85) -> DataFrame:
     """(match_id, id, is_win, flux): alpha x score of the source x its edge's share over the source's outgoing weight."""
     e = compacted.select("match_id", F.explode("winners").alias("winner"), "losers", "share").select("match_id", "winner", F.explode("losers").alias("loser"), "share")

@@ -235,11 +235,6 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def node_table(nodes: DataFrame, path: str) -> DataFrame:
-    """The nodes of one type."""
-    return nodes.where(F.col("path") == path).drop("path")
-
-
 def linked(nodes: DataFrame, paths: tuple[str, ...]) -> DataFrame:
     """The nodes of the last path with `pre_i`, `pos_i` of the node of each earlier path whose interval holds theirs.
 

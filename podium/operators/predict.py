@@ -210,3 +210,11 @@ def monte_carlo(teams: DataFrame, runs: int = 200, noise: float = 1.0, seed: int
     w = Window.partitionBy("tournament_id", "run").orderBy(F.desc("x"), "team_id")
     g = t.withColumn("n", F.row_number().over(w)).groupBy("tournament_id", "team_id")
     return g.agg(F.avg((F.col("n") == 1).cast("double")).alias("p_first"), F.avg((F.col("n") <= 4).cast("double")).alias("p_top4"), F.avg("n").alias("mean_place"))
+
+
+def first_chances(teams: DataFrame, noise: float = 1.0) -> DataFrame:
+    """(tournament_id, team_id, p_first) that the simulation approaches: the softmax of the ratings over the noise."""
+    hi = teams.groupBy("tournament_id").agg(F.max("log_rating").alias("__hi"))
+    x = teams.join(hi, "tournament_id").withColumn("__e", F.exp((F.col("log_rating") - F.col("__hi")) / noise))
+    total = x.groupBy("tournament_id").agg(F.sum("__e").alias("__total"))
+    return x.join(total, "tournament_id").select("tournament_id", "team_id", (F.col("__e") / F.col("__total")).alias("p_first"))

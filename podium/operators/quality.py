@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.operators import evaluate
-from podium.runtime import quantile, ranked, ranked_within, written
+from podium.runtime import beside, quantile, ranked, ranked_within, written
 
 #: Rows whose inversions one task counts, and parts that a group is cut into at most for that.
 BLOCK, PARTS = 50_000, 1_000
@@ -79,7 +79,7 @@ def discordant(orders: DataFrame, group: list[str], block: int = BLOCK) -> DataF
         within = within.unionByName(d.groupBy(*group, "i", "j").count().groupBy(*group).applyInArrow(across, schema))
     size = d.groupBy(*group).agg(F.count(F.lit(1)).alias("items"))
     found = within.groupBy(*group).agg(F.sum("n").alias("discordant"))
-    return size.join(found, group) if group else size.join(F.broadcast(found))  # two single rows
+    return size.join(found, group)
 
 
 def order_agreement(orders: DataFrame, group: list[str]) -> DataFrame:
@@ -116,6 +116,17 @@ def weighted_correlations(df: DataFrame, true: str, predicted: str, decay: float
     return a.select("weighting", F.least(F.greatest(1 - F.try_divide(6 * F.col("d") / F.col("w"), m * (m * m - 1)), F.lit(-1.0)), F.lit(1.0)).alias("correlation"))
 
 
+def weighted_spearman(df: DataFrame, true: str, predicted: str, weight: Column, by: list[str] = ()) -> DataFrame:
+    """(by..., correlation, n): correlation of ranks weighted by trust or activity; null without spread, or fewer than two."""
+    t, p = F.col(true).cast("double"), F.col(predicted).cast("double")
+    d = df.where(t.isNotNull() & p.isNotNull()).withColumn("__w", weight).where("__w > 0")
+    w = F.col("__w")
+    sums = {"w": w, "t": w * t, "p": w * p, "tt": w * t * t, "pp": w * p * p, "tp": w * t * p}
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"__{k}") for k, x in sums.items()])
+    cov, vt, vp = (F.col(f"__{x}") / F.col("__w") - F.col(f"__{a}") * F.col(f"__{b}") / (F.col("__w") * F.col("__w")) for x, a, b in (("tp", "t", "p"), ("tt", "t", "t"), ("pp", "p", "p")))
+    return g.select(*by, F.when((F.col("n") > 1) & (vt > 1e-12) & (vp > 1e-12), cov / F.sqrt(vt * vp)).alias("correlation"), "n")
+
+
 def top_k_accuracy(df: DataFrame, true: str, predicted: str, ks: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
     """(k, accuracy, jaccard): of the true first k those predicted among them, weighted by 1 / true rank; and the overlap of
     both first k. Values of k beyond the number of items are left out."""
@@ -194,7 +205,7 @@ def skill(matches: DataFrame, ratings: DataFrame, permutations: int = 10) -> Dat
         one = mean(shuffled(r, k))
         base = one if base is None else base.unionByName(one)
     a, b = mean(r).withColumnRenamed("x", "loss"), base.agg(F.avg("x").alias("shuffled_loss"))
-    return a.join(F.broadcast(b)).withColumn("skill", 1 - F.try_divide("loss", "shuffled_loss"))  # two single rows
+    return beside(a, b).withColumn("skill", 1 - F.try_divide("loss", "shuffled_loss"))
 
 
 # ---- figures of several runs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.runtime import broadcast_if_small, ranked, written
+from podium.runtime import broadcast_if_small, cumulated, ranked, written
 
 SEASON_BREAK_S = 2 * 86400
 
@@ -39,13 +39,18 @@ def season_metadata(matches: DataFrame) -> DataFrame:
 
 
 def rolling(rows: DataFrame, windows: dict[str, int]) -> DataFrame:
-    """Per player and time window (t - w, t]: matches and wins, and wins before the match itself."""
-    out = rows
+    """Per player and time window (t - w, t]: matches and wins, and wins before the match itself.
+
+    A player's time is cut into blocks as long as the longest window; a row counts in its own block and, as what is carried
+    over, in the next one, so a player with very many matches is spread over tasks.
+    """
+    block = F.floor(F.col("created_us") / (max(windows.values()) * 1_000_000))
+    out = rows.withColumn("__carry", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__block", block + F.col("__carry"))
     for name, seconds in windows.items():
-        w = Window.partitionBy("user_id").orderBy("created_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+        w = Window.partitionBy("user_id", "__block").orderBy("created_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
         out = out.withColumns({f"count_{name}": F.count("is_winner").over(w), f"won_{name}": F.sum(F.col("is_winner").cast("long")).over(w)})
         out = out.withColumn(f"won_prior_{name}", F.col(f"won_{name}") - F.col("is_winner").cast("long"))
-    return out
+    return out.where("__carry = 0").drop("__carry", "__block")
 
 
 def rolling_std(rows: DataFrame, value: str, n: int = 7) -> DataFrame:
@@ -55,10 +60,16 @@ def rolling_std(rows: DataFrame, value: str, n: int = 7) -> DataFrame:
 
 
 def cumulative(rows: DataFrame) -> DataFrame:
-    """`cum_matches`: a player's earlier matches that weren't cancelled; 0 for cancelled ones."""
-    w = Window.partitionBy("user_id").orderBy("created_us", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    live = F.col("winner") != "cancelled"
-    return rows.withColumn("cum_matches", F.when(live, F.coalesce(F.sum(live.cast("long")).over(w), F.lit(0))).otherwise(0))
+    """`cum_matches`: a player's earlier matches that weren't cancelled; 0 for cancelled ones.
+
+    Counted in one order over all players by ranges, less what came before a player's first row: no task holds a player.
+    """
+    live = F.coalesce(F.col("winner") != "cancelled", F.lit(False))
+    x = cumulated(rows.withColumn("__live", live.cast("long")), [F.asc("user_id"), F.asc("created_us"), F.asc("match_id")], "__live", "__before")
+    x = written(x, "cumulated")
+    first = written(x.groupBy(F.col("user_id").alias("__user")).agg(F.min("__before").alias("__first")), "firsts")
+    x = x.join(broadcast_if_small(first), F.col("user_id").eqNullSafe(F.col("__user")))
+    return x.withColumn("cum_matches", F.when(F.col("__live") == 1, F.col("__before") - F.col("__first")).otherwise(0).cast("long")).select(*rows.columns, "cum_matches")
 
 
 def corrected(rows: DataFrame) -> DataFrame:

@@ -122,6 +122,25 @@ TIERS = {"high": {"tournaments": 15, "connected": 10}, "medium": {"tournaments":
 COMPOSITE = {"tournaments": 0.4, "opponents": 0.4, "connectivity": 0.2}
 
 
+def last_active(matches: DataFrame, rosters: DataFrame, starts: DataFrame, cutoff: float) -> DataFrame:
+    """(player_id, last_active): the latest of a player's teams' matches and of its tournaments' starts up to the cutoff.
+
+    `matches` holds (tournament_id, team1_id, team2_id, ts), `starts` (tournament_id, ts).
+    """
+    m = matches.where(F.col("ts") <= cutoff).select("tournament_id", F.explode(F.array("team1_id", "team2_id")).alias("team_id"), "ts").dropna()
+    m = m.groupBy("tournament_id", "team_id").agg(F.max("ts").alias("ts"))
+    by_match = rosters.join(m, ["tournament_id", "team_id"]).select("user_id", "ts")
+    by_start = rosters.select("tournament_id", "user_id").distinct().join(starts.where(F.col("ts") <= cutoff), "tournament_id").select("user_id", "ts")
+    return by_match.unionByName(by_start).groupBy(F.col("user_id").alias("player_id")).agg(F.max("ts").alias("last_active"))
+
+
+def with_mates(compacted: DataFrame) -> DataFrame:
+    """(player_id, match_id, mates): the others on a player's side of each match, as text."""
+    side = lambda c: compacted.select("match_id", F.col(c).alias("side"), F.explode(c).alias("player_id"))
+    others = F.array_join(F.transform(F.array_sort(F.array_remove("side", F.col("player_id"))), lambda x: x.cast("string")), ",")
+    return side("winners").unionByName(side("losers")).select("player_id", "match_id", others.alias("mates"))
+
+
 def confidence(compacted: DataFrame, high_tournaments: int = 20, high_opponents: int = 200, high_connectivity: float = 5.0) -> DataFrame:
     """How well a rating is founded: events, matches, opponents met, composite and tier."""
     e = compacted.select("match_id", "tournament_id", F.explode("winners").alias("a"), "losers").select("match_id", "tournament_id", "a", F.explode("losers").alias("b"))

@@ -233,6 +233,24 @@ def monte_carlo_places(s, d):
     return predict.monte_carlo(predict.team_log_rating(_members(s, d)), runs=10_000)
 
 
+@query(sql("r last", "SELECT tournament_id, team_id, true AS near FROM mem GROUP BY ALL", mem=_MEMBERS))
+def monte_carlo_check(s, d):
+    """Whether simulated chances to come first are within 2 % of the softmax of the ratings, which they approach."""
+    t = written(predict.team_log_rating(_members(s, d)), "teams")
+    j = predict.monte_carlo(t, runs=10_000).join(predict.first_chances(t).withColumnRenamed("p_first", "p"), ["tournament_id", "team_id"])
+    return j.select("tournament_id", "team_id", (F.abs(F.col("p_first") - F.col("p")) < 0.02).alias("near"))
+
+
+_H = "((-p * ln(p + 1e-10) - (1 - p) * ln(1 - p + 1e-10)) / ln(2))"
+_WU = {"none": "1.0", "entropy": _H, "entropy_sqrt": f"sqrt({_H})", "entropy_squared": f"({_H} * {_H})", "var_inv": "(1 / (p * (1 - p) + 1e-10))", "entropy_exp": f"pow(2.0, {_H})", "threshold": "(abs(p - 0.5) >= 0.1)::INT"}
+
+
+@query(evaluated("", "SELECT tournament_id, count(*) AS matches, " + ", ".join(f"round(sum({w} * {_LOSS}) / nullif(sum({w}), 0), 6) AS loss_{k}" for k, w in _WU.items()) + " FROM e GROUP BY 1"))
+def uncertainty_losses(s, d):
+    """Losses per tournament under the entropy-based weights."""
+    return _round(evaluate.uncertainty_losses(_pred(s, d), ["tournament_id"]), 6)
+
+
 # ---- queue, over the events table: purchases are wins, errors cancelled matches
 
 _Q = "SELECT event_id AS match_id, user_id, ts, epoch_us(ts) AS created_us, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS created_s, coalesce(value, 0) >= 50 AS is_winner, CASE WHEN event_id % 17 = 0 THEN 'cancelled' WHEN coalesce(value, 0) >= 50 THEN 'alpha' ELSE 'bravo' END AS winner, floor(coalesce(value, 0) / 10.0) * 10 + 1000 AS sp, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 7 - 3) * 1.0 END AS sp_diff FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"

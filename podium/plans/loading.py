@@ -302,6 +302,21 @@ def sequential_holdout(s, d):
     return evaluate.sequential_holdout(m, rate, least=10, splits=10)
 
 
+@query(sql("mm r", "SELECT user_id AS player_id, max(ts) AS last_active FROM (SELECT r.user_id, mm.ts FROM r JOIN mm ON mm.tournament_id = r.tournament_id AND r.team_id IN (mm.team1_id, mm.team2_id) WHERE mm.ts <= 1735689600 UNION ALL SELECT r.user_id, CAST(floor(start_ms / 1000.0) AS BIGINT) FROM r JOIN st ON st.tournament_id = r.tournament_id WHERE start_ms <= 1735689600000) GROUP BY 1", st=_START))
+def last_active_players(s, d):
+    """Each player's last activity before 2025, by matches of its teams and starts of its tournaments."""
+    at = F.struct(F.coalesce("ingested_at", F.timestamp_seconds(F.lit(0))), F.coalesce("start_time_ms", F.lit(-1)))
+    t = table(s, d, "tournaments").where("tournament_id is not null").groupBy("tournament_id").agg(F.max_by("start_time_ms", at).alias("start"))
+    t = t.select("tournament_id", F.floor(F.floor(scalar.epoch_seconds(F.col("start").cast("double")) * 1000) / 1000).alias("ts")).where("ts is not null")
+    return summary.last_active(domain.matches(s, d), domain.rosters(s, d), t, 1735689600)
+
+
+@query(sql("c", "SELECT x AS player_id, match_id, list_aggregate(list_transform(list_sort(list_filter(side, lambda y: y != x)), lambda y: y::VARCHAR), 'string_agg', ',') AS mates FROM (SELECT match_id, winners AS side, unnest(winners) AS x FROM c UNION ALL SELECT match_id, losers, unnest(losers) FROM c)").replace("list_aggregate(", "coalesce(list_aggregate(").replace("'string_agg', ',') AS mates", "'string_agg', ','), '') AS mates"))
+def match_mates(s, d):
+    """Who else was on a player's side of each match."""
+    return summary.with_mates(reference._compact(s, d))
+
+
 # ---- the production run
 
 _BORROWED = reference.SQL["borrowed_rosters"]

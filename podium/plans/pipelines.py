@@ -221,6 +221,25 @@ def synthetic_league(s, d):
     return synth.results(frame.drop("round"), strength)
 
 
+@query()
+def synthetic_circuit(s, d):
+    """Synthetic events as large as the real ones, each in round robin, through documents into the tables of ingestion; their
+    figures beside the real ones'."""
+    t = domain.tournaments(s, d).count()
+    real = synth.patterns(domain.matches(s, d), domain.rosters(s, d)).first()
+    players = synth.pool(s, domain.players(s, d).count())
+    r = written(synth.circuit(s, players, max(1, t), 8), "circuit")
+    teams = written(r.groupBy("tournament_id", "team_id").agg(F.avg("skill").alias("strength")), "teams")
+    a, b = teams.withColumnsRenamed({"team_id": "a", "strength": "sa"}), teams.withColumnsRenamed({"team_id": "b", "strength": "sb"})
+    # Eight teams an event at most: every two of them meet, which is what a round robin is.
+    m = a.join(b, "tournament_id").where("a < b").withColumn("match_id", F.xxhash64("a", "b"))
+    won = synth.uniform(F.col("match_id"), F.lit("won")) < 1 / (1 + F.exp(F.col("sb") - F.col("sa")))
+    m = synth.with_scores(m.select("tournament_id", "match_id", "a", "b", F.when(won, F.col("a")).otherwise(F.col("b")).alias("winner"), (F.col("sa") - F.col("sb")).alias("gap")))
+    got = ingest.tables(synth.documents(r, m))
+    mine = synth.patterns(got["matches"], got["players"])
+    return mine.withColumn("source", F.lit("synthetic")).unionByName(s.createDataFrame([real], mine.schema).withColumn("source", F.lit("real")))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

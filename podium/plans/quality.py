@@ -251,6 +251,34 @@ def special_players(s, d):
     return confidence.special_cases(_asymmetric(s, d))
 
 
+_TRUST = "SELECT z.player_id, seed + 1 AS p, place + 1 AS t, cf.tournaments, cf.opponents, cf.connectivity FROM z JOIN cf ON cf.id = z.player_id"
+_WCOR = "CASE WHEN count(*) > 1 AND sum(w * t * t) / sum(w) - pow(sum(w * t) / sum(w), 2) > 1e-12 AND sum(w * p * p) / sum(w) - pow(sum(w * p) / sum(w), 2) > 1e-12 THEN round((sum(w * t * p) / sum(w) - sum(w * t) * sum(w * p) / (sum(w) * sum(w))) / sqrt((sum(w * t * t) / sum(w) - pow(sum(w * t) / sum(w), 2)) * (sum(w * p * p) / sum(w) - pow(sum(w * p) / sum(w), 2))), 6) END"
+_TIERED = "CASE WHEN tournaments >= 20 OR (tournaments >= 15 AND opponents >= 200) OR (tournaments >= 10 AND connectivity >= 5) THEN 'high' WHEN tournaments >= 10 OR (tournaments >= 5 AND opponents >= 100) OR (tournaments >= 5 AND connectivity >= 2) THEN 'medium' WHEN tournaments >= 5 OR (tournaments >= 3 AND opponents >= 50) THEN 'low' ELSE 'provisional' END"
+
+
+def _trusted(s: SparkSession, d: str) -> DataFrame:
+    c = summary.confidence(written(reference._compact(s, d), "compact"))
+    return _run_orders(s, d).select("player_id", (F.col("place") + 1).alias("t"), (F.col("seed") + 1).alias("p")).join(c, "player_id")
+
+
+@query(sql("pairs runs", f"SELECT {_WCOR} AS correlation, count(*) AS n FROM (SELECT *, sqrt(tournaments) AS w FROM tr2)", e=_E, cf=_CONF, q=_Q2, z=_TWO, tr2=_TRUST))
+def activity_weighted_correlation(s, d):
+    """Correlation of the latest two runs, players weighted by the root of their tournaments."""
+    return _round(quality.weighted_spearman(_trusted(s, d), "t", "p", F.sqrt("tournaments")), 6)
+
+
+@query(sql("pairs runs", f"SELECT tier, {_WCOR} AS correlation, count(*) AS n FROM (SELECT *, 1.0 AS w, {_TIERED} AS tier FROM tr2) GROUP BY 1", e=_E, cf=_CONF, q=_Q2, z=_TWO, tr2=_TRUST))
+def tier_correlation(s, d):
+    """Correlation of the latest two runs within each tier of confidence."""
+    return _round(quality.weighted_spearman(_trusted(s, d), "t", "p", F.lit(1.0), ["tier"]), 6)
+
+
+@query(sql("te", "SELECT id, min(id) OVER (PARTITION BY root) AS component FROM (SELECT id, min(r) AS root FROM reach GROUP BY id)", n=reference._NODES, bth="SELECT loser AS x, winner AS y FROM te UNION SELECT winner, loser FROM te", reach="SELECT id, id AS r FROM n UNION SELECT bth.x, reach.r FROM reach JOIN bth ON bth.y = reach.id WHERE reach.r < bth.x"))
+def team_components(s, d):
+    """The connected component of each team, named by its smallest id."""
+    return graph.components(_edges(s, d))
+
+
 # ---- robustness
 
 

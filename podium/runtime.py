@@ -197,3 +197,11 @@ def ranked_within(df: DataFrame, group: list[str], order: list, col: str = "plac
     first = written(r.groupBy(*group).agg(F.min("__at").alias("__first")), "firsts")
     j = r.join(broadcast_if_small(first.withColumnsRenamed({g: f"__g_{g}" for g in group})), [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group])
     return j.select(*df.columns, (F.col("__at") - F.col("__first")).alias(col))
+
+
+def beside(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each (aggregates without groups) as one row, through the driver; later columns of the same name win."""
+    fields = {f.name: f for df in rows for f in df.schema.fields}
+    values = {k: v for df in rows for k, v in df.first().asDict().items()}
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in fields.items()])
+    return rows[0].sparkSession.createDataFrame([tuple(values[n] for n in fields)], kinds)

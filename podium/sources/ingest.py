@@ -120,6 +120,17 @@ def summary(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return tables(docs, doc)["tournaments"].select("tournament_id", "name", "start_time", "is_finalized", "team_count", "match_count", "stage_count")
 
 
+def votes(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """(id, username, custom_url, pass_or_fail, tier, suggested) of voting results given as a list of tiers with the users
+    that passed and failed; entries without a whole id or tier are left out, repeated ones count once."""
+    user = "array<struct<id:string,username:string,customUrl:string,wasSuggested:boolean>>"
+    t = docs.select(F.inline(F.from_json(F.col(doc), f"array<struct<tier:string,passed:{user},failed:{user}>>")))
+    each = lambda c, label: t.select(F.col("tier").try_cast("int").alias("tier"), F.lit(label).alias("pass_or_fail"), F.inline(c))
+    v = each("passed", "pass").unionByName(each("failed", "fail"))
+    v = v.select(F.col("id").try_cast("long").alias("id"), "username", F.col("customUrl").alias("custom_url"), "pass_or_fail", "tier", F.coalesce("wasSuggested", F.lit(False)).cast("int").alias("suggested"))
+    return _one(v, "id", "pass_or_fail", "tier")
+
+
 # ---- appearance payloads
 
 #: The input's names for the same thing, in the order in which they count.

@@ -304,3 +304,107 @@ def test_summaries_of_figures(spark):
     assert d[1, "x"]["mean"] == 5 and d[1, "x"]["n"] == 11 and (1, "y") not in d and d[2, "y"]["sd"] is None
     q = {r["metric"]: r for r in quality.quartiles(df, ["x"]).collect()}["x"]
     assert (q["q1"], q["median"], q["q3"], q["trimmed_mean"]) == (2.5, 5, 7.5, 5)
+
+
+def test_components(spark):
+    g = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    rows = chain + [(int(a), int(b)) for a, b in g.integers(0, 60, (40, 2))] + [(7, 7)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(rows, "loser long, winner long")).collect()}
+    root = {x: x for e in rows for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert got == {x: find(x) for x in root}
+    assert graph.components(spark.createDataFrame([], "loser long, winner long")).count() == 0
+
+
+def test_engines_by_name(spark):
+    m = spark.createDataFrame([(i, 1 + i % 2, 10 + i % 3, 10 + (i + 1) % 3, 1_700_000_000 + i) for i in range(12)], "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    r = spark.createDataFrame([(t, k, 4 * k + j) for t in (1, 2) for k in (10, 11, 12) for j in range(4)], "tournament_id long, team_id long, user_id long")
+    for name in ("tick_tock", "log_odds", "tick_tock_log_odds", "surprisal", "players", "teams"):
+        x = graph.rate(name, m, r, now=1_700_000_100, alpha=0.8, surprisal_rounds=2)
+        assert x.scores.count() == (3 if name == "teams" else 12) and x.config.pagerank.alpha == 0.8 and (x.influence is None) == ("tick" not in name)
+        assert x.top(2).count() == 2
+    with pytest.raises(ValueError, match="engine"):
+        graph.rate("none", m, r)
+    a, b = graph.tick_tock(m, r, graph.Engine(now=1_700_000_100)), graph.tick_tock(m, r, graph.Engine(now=1_700_000_100), edges_bound=0)
+    for p, q in zip(a, b, strict=True):
+        p, q = ({tuple(x)[0]: tuple(x)[1] for x in f.select(*sorted(f.columns, reverse=True)).select(f.columns[0], f.columns[1]).collect()} for f in (p, q))
+        assert p.keys() == q.keys() and max(abs(p[k] - q[k]) for k in p) < 1e-7
+
+
+def test_rolling_over_blocks(spark):
+    g = np.random.default_rng(6)
+    rows = [(i, int(u), int(t), bool(w), ("alpha", "cancelled")[int(c)]) for i, (u, t, w, c) in enumerate(zip(g.integers(0, 3, 400), g.integers(0, 60 * 86400, 400) * 1_000_000, g.integers(0, 2, 400), g.random(400) < 0.2, strict=True))]
+    df = spark.createDataFrame(rows, "match_id long, user_id long, created_us long, is_winner boolean, winner string")
+    got = {r["match_id"]: r for r in queue.rolling(df, {"7d": 7 * 86400, "1d": 86400}).collect()}
+    cum = {r["match_id"]: r["cum_matches"] for r in queue.cumulative(df).collect()}
+    assert len(got) == len(cum) == 400
+    for i, u, t, w, x in rows:
+        for name, days in (("7d", 7), ("1d", 1)):
+            near = [r for r in rows if r[1] == u and t - days * 86400 * 1_000_000 < r[2] <= t]
+            assert got[i][f"count_{name}"] == len(near) and got[i][f"won_prior_{name}"] == sum(r[3] for r in near) - w
+        assert cum[i] == (0 if x == "cancelled" else sum(r[1] == u and r[4] != "cancelled" and (r[2], r[0]) < (t, i) for r in rows))
+    assert queue.cumulative(df.limit(0)).count() == 0
+
+
+def test_votes_in_tiers(spark):
+    from podium.sources import ingest
+
+    doc = json.dumps([{"tier": 1, "passed": [{"id": 5, "username": "a", "wasSuggested": True}, {"id": 5, "username": "a", "wasSuggested": True}, {"id": "x"}], "failed": [{"id": "6"}]}, {"passed": [{"id": 1}]}, {"tier": "2", "failed": None}])
+    got = {tuple(r) for r in ingest.votes(spark.createDataFrame([(doc,), ("{cut",), (None,)], "doc string")).collect()}
+    assert got == {(5, "a", None, "pass", 1, 1), (6, None, None, "fail", 1, 0)}
+
+
+def test_searches_and_samples(spark):
+    best, tried = evaluate.grid_search(lambda x: (x["a"] - 2) ** 2 + x["b"], {"a": [1, 2, 3], "b": [0.5, 0.1]})
+    assert best == {"a": 2, "b": 0.1} and len(tried) == 6
+    best, tried = evaluate.random_search(lambda x: abs(x["a"] - 0.3) + abs(math.log10(x["b"]) + 2), {"a": (0.0, 1.0), "b": (1e-4, 1.0)}, 200)
+    assert abs(best["a"] - 0.3) < 0.2 and 1e-3 < best["b"] < 1e-1 and len(tried) == 200
+    df = spark.range(100)
+    a, b = ({r["id"] for r in evaluate.sampled(x, 7, ["id"]).collect()} for x in (df, df.repartition(5)))
+    assert a == b and len(a) == 7 and evaluate.sampled(df.limit(3), 7, ["id"]).count() == 3
+
+
+def test_correlations_with_trust(spark):
+    df = spark.createDataFrame([(i, 11 - i, float(i % 3), "xy"[i % 2]) for i in range(1, 11)] + [(1, None, 1.0, "x"), (5, 5, None, "z")], "t long, p long, w double, g string")
+    assert abs(quality.weighted_spearman(df, "t", "p", F.col("w")).first()["correlation"] + 1) < 1e-9
+    r = {x["g"]: x for x in quality.weighted_spearman(df, "t", "p", F.lit(1.0), ["g"]).collect()}
+    assert r["z"]["correlation"] is None and r["z"]["n"] == 1 and abs(r["x"]["correlation"] + 1) < 1e-9
+    assert quality.weighted_spearman(df.limit(0), "t", "p", F.lit(1.0)).first()["correlation"] is None
+
+
+def test_double_elimination_and_stages(spark):
+    from podium.operators import synth
+    from podium.sources import ingest
+
+    beats = lambda a, b: a < b
+    for n in (2, 3, 5, 8, 13, 16):
+        games = synth.double_elimination(list(range(1, n + 1)), beats)
+        losses = {}
+        for _, _, a, b, w in games:
+            losses[b if w == a else a] = losses.get(b if w == a else a, 0) + 1
+        assert losses.get(1, 0) == 0 and all(losses[t] == 2 for t in range(2, n + 1)) if n > 2 else len(games) >= 1
+        assert games[-1][0] == "final" and games[-1][4] == 1
+    upset = synth.double_elimination([1, 2], lambda a, b, seen=[]: (seen.append(1), len(seen) == 1)[1] == (a < b))
+    assert [g[0] for g in upset][:1] == ["winners"]
+    assert sorted(t for g in synth.groups(list(range(10)), 4) for t in g) == list(range(10)) and {len(g) for g in synth.groups(list(range(8)), 4)} == {4}
+    stages = synth.multi_stage(list(range(1, 13)), beats)
+    assert sum(x[0] != "final stage" for x in stages) == 18 and stages[-1][4] == 1
+    r = synth.circuit(spark, synth.pool(spark, 300), 6, 8)
+    assert r.count() == 6 * 32 and r.groupBy("tournament_id", "team_id").count().where("count != 4").count() == 0 and r.count() == r.select("tournament_id", "player_id").distinct().count()
+    m = spark.createDataFrame([(1, 100001, 100002, 100001, 0.5, 1), (2, 100001, 100002, 100002, 9.0, 1)], "match_id long, a long, b long, winner long, gap double, tournament_id long")
+    x = {q["match_id"]: q for q in synth.with_scores(m).collect()}
+    assert x[1]["score_a"] == 3 and x[1]["score_b"] in (1, 2) and x[2]["score_b"] == 3 and x[2]["score_a"] in (0, 1)
+    t = ingest.tables(synth.documents(r, synth.with_scores(m)))
+    assert t["matches"].count() == 2 and t["players"].count() == 6 * 32 and {q["winner_team_id"] for q in t["matches"].collect()} == {100001, 100002}
+    e = synth.elite(spark, 500).agg(F.min("skill"), F.max("skill")).first()
+    assert e[0] >= 2.0 and e[1] > 2.8
+    assert abs(synth.stationary_sd(0.5, 1.0) - 1) < 1e-12 and abs(1 / (1 + math.exp(-synth.slope_for(0.8, 2.0) * 2.0)) - 0.8) < 1e-12
