@@ -180,6 +180,29 @@ def _instants_sql(rows: str) -> str:
 
 _ENDS = _instants_sql("SELECT m.match_id, m.tournament_id, CAST(floor(v) AS HUGEINT) AS w, v - floor(v) AS f, coalesce(z.zone, 'UTC') AS zone FROM (SELECT *, last_game_finished_at AS v FROM matches WHERE NOT isnan(last_game_finished_at) AND last_game_finished_at BETWEEN 1 AND 9e18) m LEFT JOIN zoned z ON z.tournament_id = m.tournament_id")
 _STARTS = _instants_sql("SELECT tournament_id, CAST(start_time_ms AS HUGEINT) AS w, 0.0::DOUBLE AS f, coalesce(settings_timezone, 'UTC') AS zone FROM tournaments WHERE start_time_ms IS NOT NULL")
+# Players' times of creation, which are texts: what gives the zone is taken off, then the fraction, then the rest is read.
+_NAMED = {n: m for n, m in instants.ABBREVIATIONS.items()}
+_SHAPES = {
+    "first": r"([A-Z]\w+/[\w/+-]+) (\S+ \S+)", "last": r"(.*?)(?:\[(\w+/[\w/]+)\]| (\w+/[\w/]+))", "short": r"(.*(?:\d| [AP]M)) ?([A-Za-z]{3,4}|[Zz])", "offset": r"(.*:\d\d(?:[.,]\d+)?(?: [AP]M)?) ?([+-])(\d\d):?(\d\d)?",
+}
+_TIMES = "'%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y%m%dT%H%M%S', '%Y/%m/%d %H:%M:%S', '%d.%m.%Y %H:%M', '%d %b %Y %H:%M:%S', '%d/%b/%Y:%H:%M:%S', '%b %d, %Y %I:%M:%S %p'"
+
+
+def _texts_sql() -> str:
+    x = {k: (f"regexp_full_match(s, '{p}')", lambda i, p=p: f"regexp_extract(s, '^{p}$', {i})") for k, p in _SHAPES.items()}
+    names = "map {" + ", ".join(f"'{n}': {m}" for n, m in _NAMED.items()) + "}"
+    short = x["short"][1](2)
+    at = "timezone(zone, l)"
+    return rf"""SELECT player_id, CASE WHEN raw >= 1609459200000 AND raw < 1767225600000 THEN raw END AS ms FROM (SELECT player_id, ms + CASE WHEN zone IS NULL THEN epoch_ms(l) - east * 60000 ELSE epoch_ms(CASE WHEN timezone(zone, {at} - INTERVAL 1 HOUR) = l THEN {at} - INTERVAL 1 HOUR ELSE {at} END) END AS raw FROM (
+      SELECT *, coalesce(try_strptime(r, [{_TIMES}]), try_strptime(r, ['%Y-%m-%d', '%d.%m.%Y', '%Y%m%d']) + INTERVAL '23:59:59.999') AS l FROM (SELECT player_id, nullif(zone, '') AS zone, coalesce(east, 0) AS east, coalesce((rpad(substr(nullif(regexp_extract(rest, '^(.*:\d\d)[.,](\d+)$', 2), ''), 1, 9), 9, '0')::BIGINT + 500000) // 1000000, 0) AS ms,
+        regexp_replace(regexp_replace(regexp_replace(rest, '^(.*:\d\d)[.,]\d+$', '\1'), '^(\d{{4}}-\d\d-\d\d)t', '\1T'), '^[A-Z][a-z]{{2}}, (\d\d [A-Z])', '\1') AS r FROM (
+        SELECT player_id, CASE WHEN {x["first"][0]} THEN {x["first"][1](1)} WHEN {x["last"][0]} THEN {x["last"][1](2)} || {x["last"][1](3)} END AS zone,
+          CASE WHEN {x["first"][0]} OR {x["last"][0]} THEN 0 WHEN {x["short"][0]} AND {names}[upper({short})] IS NOT NULL THEN {names}[upper({short})] WHEN {x["offset"][0]} THEN (CASE {x["offset"][1](2)} WHEN '-' THEN -1 ELSE 1 END) * ({x["offset"][1](3)}::INT * 60 + coalesce(nullif({x["offset"][1](4)}, '')::INT, 0)) END AS east,
+          CASE WHEN {x["first"][0]} THEN {x["first"][1](2)} WHEN {x["last"][0]} THEN {x["last"][1](1)} WHEN {x["short"][0]} AND {names}[upper({short})] IS NOT NULL THEN {x["short"][1](1)} WHEN {x["offset"][0]} THEN {x["offset"][1](1)} ELSE s END AS rest
+        FROM (SELECT player_id, regexp_replace(replace(created_at, chr(160), ' '), '^\s+|\s+$', '', 'g') AS s FROM players WHERE created_at IS NOT NULL AND NOT regexp_matches(created_at, '{USUAL_CREATED_AT}')) WHERE NOT regexp_full_match(s, '\d{{9,}}(\.\d+)?')))))"""
+
+
+_COUNTED = _instants_sql(r"SELECT player_id, CAST(regexp_extract(s, '^\d+') AS HUGEINT) AS w, coalesce(('0' || nullif(regexp_extract(s, '\.\d+$'), ''))::DOUBLE, 0.0) AS f, 'UTC' AS zone FROM (SELECT player_id, regexp_replace(created_at, '^\s+|\s+$', '', 'g') AS s FROM players) WHERE regexp_full_match(s, '\d{9,19}(\.\d+)?')")
 _P1 = """SELECT player_id, org_slug, count(*) AS n, CAST(sum(coalesce(games, 0)) AS DOUBLE) AS total, max(ms) AS latest FROM (SELECT DISTINCT a.player_id, a.match_id, t.org_slug FROM player_appearances a JOIN tournaments t ON t.tournament_id = a.tournament_id AND t.org_slug IS NOT NULL WHERE a.player_id IS NOT NULL AND a.match_id IS NOT NULL)
   JOIN (SELECT match_id, max(ms) AS ms, max(games) AS games FROM (SELECT match_id, ms, NULL AS games FROM ends WHERE ms IS NOT NULL UNION ALL SELECT match_id, NULL, total_games FROM matches) GROUP BY 1 HAVING max(ms) IS NOT NULL) USING (match_id) GROUP BY ALL"""
 
@@ -214,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": ends + f"SELECT player_id, org_slug FROM cells WHERE n >= {LEAST_MATCHES} AND latest < {ENDED_BEFORE_MS}",
         "p1_cells": ends + "SELECT * FROM cells",
         "p1_merged": ends + "SELECT * FROM cells",
+        "p6_found": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}), starts AS MATERIALIZED ({_STARTS}), texts AS MATERIALIZED ({_texts_sql()}), counted AS MATERIALIZED ({_COUNTED}) SELECT DISTINCT 'matches.last_game_finished_at' AS field, match_id AS record_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s' UNION SELECT 'tournaments.start_time_ms', tournament_id, ms FROM starts WHERE ms IS NOT NULL AND layout != 'epoch_ms' UNION SELECT 'players.created_at', player_id, ms FROM texts WHERE ms IS NOT NULL UNION SELECT 'players.created_at', player_id, ms FROM counted WHERE ms IS NOT NULL",
         "p6_numbers": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}), starts AS MATERIALIZED ({_STARTS}) SELECT DISTINCT 'matches.last_game_finished_at' AS field, match_id AS record_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s' UNION SELECT 'tournaments.start_time_ms', tournament_id, ms FROM starts WHERE ms IS NOT NULL AND layout != 'epoch_ms'",
         "p3_found": f"SELECT DISTINCT reference, record_id, kind FROM ({_MISSES})",
         "p3_report": f"SELECT reference, period, kind, count(*) AS records FROM (SELECT reference, record_id, kind, coalesce(strftime(min(seen) AT TIME ZONE 'UTC', '%Y-%m'), 'unknown') AS period FROM ({_MISSES}) GROUP BY ALL) GROUP BY ALL",

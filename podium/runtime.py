@@ -136,7 +136,7 @@ def _offsets(parts: DataFrame, size: F.Column) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list, col: str = "rank") -> DataFrame:
-    """`df` with its position from 0 in the total order `order`, as a written table.
+    """`df` with its position from 0 in the total order `order`.
 
     Rows are range-partitioned and sorted, each partition numbers its own, and the partitions' sizes give the offsets;
     no task sees more than a range, and rows move once.
