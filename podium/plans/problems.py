@@ -207,6 +207,29 @@ _P1 = """SELECT player_id, org_slug, count(*) AS n, CAST(sum(coalesce(games, 0))
   JOIN (SELECT match_id, max(ms) AS ms, max(games) AS games FROM (SELECT match_id, ms, NULL AS games FROM ends WHERE ms IS NOT NULL UNION ALL SELECT match_id, NULL, total_games FROM matches) GROUP BY 1 HAVING max(ms) IS NOT NULL) USING (match_id) GROUP BY ALL"""
 
 
+def _unfolded(x: str) -> str:
+    """JSON text within a JSON string, read."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND substr(ltrim(json_extract_string({x}, '$')), 1, 1) IN ('{{', '[', '\"') THEN (json_extract_string({x}, '$'))::JSON ELSE {x} END"
+
+
+def _nested_sql(tab: str, key: str, col: str, names: tuple[str, str, str]) -> str:
+    """(rec, pos1, pos2, pos3, x) of the third level of objects within arrays; texts are JSON, or Python literals without
+    apostrophes in their strings, and may be quoted or wrapped."""
+    snake = lambda k: "".join("_" + c.lower() if c.isupper() else c for c in k)
+    get = lambda j, k: _unfolded(f"coalesce(json_extract({j}, '$.{k}'), json_extract({j}, '$.{snake(k)}'))")
+    text = f"regexp_replace({col}, '^[\\s﻿]+|[\\s﻿]+$', '', 'g')"
+    plain = "CASE WHEN json_valid(t) THEN t WHEN t[1:2] = '{''' THEN regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(t, '''([\\[{])', '\\1', 'g'), '([\\]}])''', '\\1', 'g'), '''', '\"'), '\\bNone\\b', 'null', 'g'), '\\bTrue\\b', 'true', 'g'), '\\bFalse\\b', 'false', 'g') END"
+    rows = f"SELECT rec, CASE WHEN json_valid(p) THEN p::JSON END AS j FROM (SELECT rec, {plain} AS p FROM (SELECT DISTINCT {key} AS rec, {text} AS t FROM {tab} WHERE {col} IS NOT NULL AND {key} IS NOT NULL))"
+    rows = f"SELECT rec, {_unfolded('j')} AS j FROM (SELECT rec, {_unfolded('j')} AS j FROM ({rows}) WHERE j IS NOT NULL)"
+    out = f"SELECT rec, CASE WHEN json_extract(j, '$.{names[0]}') IS NULL AND json_extract(j, '$.{snake(names[0])}') IS NULL THEN coalesce(json_extract(j, '$.data'), json_extract(j, '$.payload'), json_extract(j, '$.result')) ELSE j END AS x FROM ({rows})"
+    for i, k in enumerate(names, 1):
+        keep = "".join(f"pos{n}, " for n in range(1, i))
+        els = "CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN [] WHEN json_type(v) = 'ARRAY' THEN from_json(v, '[\"JSON\"]') ELSE [v] END"
+        rows = f"SELECT rec, {keep}unnest(els) AS x, unnest(range(len(els))) AS pos{i} FROM (SELECT rec, {keep}{els} AS els FROM (SELECT rec, {keep}{get('x', k)} AS v FROM ({out})))"
+        out = f"SELECT rec, {keep}pos{i}, {_unfolded('x')} AS x FROM ({rows}) WHERE x IS NOT NULL AND json_type(x) != 'NULL'"
+    return out
+
+
 def p1_cells(spark: SparkSession, d: str) -> DataFrame:
     """The sparse vectors' cells: a row per player and organiser with matches, games and the latest end."""
     vectors, types = _vectors(spark, d)
@@ -237,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": ends + f"SELECT player_id, org_slug FROM cells WHERE n >= {LEAST_MATCHES} AND latest < {ENDED_BEFORE_MS}",
         "p1_cells": ends + "SELECT * FROM cells",
         "p1_merged": ends + "SELECT * FROM cells",
+        "p4_found": f"SELECT DISTINCT 'tournaments.meta' AS origin, rec AS record_id, pos1, pos2, pos3, json_extract_string(x, '$') AS leaf FROM ({_nested_sql('tournaments', 'tournament_id', 'meta', META)}) UNION SELECT 'stages.settings', rec, pos1, pos2, pos3, json_extract_string(x, '$.mode') FROM ({_nested_sql('stages', 'stage_id', 'settings', SETTINGS)})",
         "p6_found": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}), starts AS MATERIALIZED ({_STARTS}), texts AS MATERIALIZED ({_texts_sql()}), counted AS MATERIALIZED ({_COUNTED}) SELECT DISTINCT 'matches.last_game_finished_at' AS field, match_id AS record_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s' UNION SELECT 'tournaments.start_time_ms', tournament_id, ms FROM starts WHERE ms IS NOT NULL AND layout != 'epoch_ms' UNION SELECT 'players.created_at', player_id, ms FROM texts WHERE ms IS NOT NULL UNION SELECT 'players.created_at', player_id, ms FROM counted WHERE ms IS NOT NULL",
         "p6_numbers": f"WITH zoned AS MATERIALIZED ({_ZONED}), ends AS MATERIALIZED ({_ENDS}), starts AS MATERIALIZED ({_STARTS}) SELECT DISTINCT 'matches.last_game_finished_at' AS field, match_id AS record_id, ms AS utc_ms FROM ends WHERE ms IS NOT NULL AND layout != 'epoch_s' UNION SELECT 'tournaments.start_time_ms', tournament_id, ms FROM starts WHERE ms IS NOT NULL AND layout != 'epoch_ms'",
         "p3_found": f"SELECT DISTINCT reference, record_id, kind FROM ({_MISSES})",
