@@ -38,7 +38,7 @@ def p2_strengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "tournaments").select("tournament_id").dropna().distinct()
+    t = written(table(spark, d, "tournaments").select("tournament_id").dropna().distinct(), "tournaments")
     a = table(spark, d, "player_appearances").select("tournament_id", "player_id").dropna()
     r = table(spark, d, "rankings").select("player_id", "score", "calculated_at_ms")
     latest = r.agg(F.max("calculated_at_ms")).first()[0]
