@@ -221,8 +221,14 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 
 
 def edge_dropout(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Edges without a reproducible share of them, chosen by hash so that partitions don't matter."""
-    return edges.where(F.pmod(F.xxhash64("loser", "winner", F.lit(seed)), F.lit(1_000_000)) >= int(fraction * 1_000_000))
+    """Edges without a reproducible share of them, chosen by a number from their ends so that partitions don't matter."""
+    return edges.where(edge_number(F.col("loser"), F.col("winner"), seed) >= fraction * 1_000_003)
+
+
+def edge_number(a: Column, b: Column, seed: int) -> Column:
+    """A number below 1,000,003 that follows from the ends alone, by the same arithmetic in any engine."""
+    low = lambda c: F.pmod(c, F.lit(1 << 20))
+    return F.pmod(low(a) * F.lit(1103515245) + low(b) * F.lit(12820163) + F.lit(7654321 * seed), F.lit(1_000_003))
 
 
 def bootstrap(df: DataFrame, value: str, replicates: int = 200, seed: int = 42) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.operators import evaluate
-from podium.runtime import beside, quantile, ranked, ranked_within, written
+from podium.runtime import beside, broadcast_if_small, quantile, ranked, ranked_within, written
 
 #: Rows whose inversions one task counts, and parts that a group is cut into at most for that.
 BLOCK, PARTS = 50_000, 1_000
@@ -292,6 +292,30 @@ def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(a), float(b), bool(c)) for a, b, c in zip(grid, y, (y > left) & (y > right), strict=True)], schema)
 
 
+def backtest(matches: DataFrame, rate: Callable[[DataFrame], DataFrame], least: int = 10, splits: int | None = None) -> DataFrame:
+    """Per tournament held out (as in `evaluate.sequential_holdout`): how the order of its teams by ratings from before agrees
+    with that by wins. `rate` makes (id, rating) of teams or their likes from earlier matches; unrated teams are left out."""
+    t = matches.where("ts is not null").groupBy("tournament_id").agg(F.min("ts").alias("start"))
+    order = [r[0] for r in t.orderBy("start", "tournament_id").collect()]  # one row per tournament
+    at = list(range(least, len(order)))
+    if splits is not None and splits < len(at):
+        at = [at[-1]] if splits == 1 else sorted({at[round(i)] for i in np.linspace(0, len(at) - 1, splits)})
+    place = matches.sparkSession.createDataFrame([(x, i) for i, x in enumerate(order)], "tournament_id long, __at int")
+    m = written(matches.join(broadcast_if_small(place), "tournament_id"), "backtest")
+    out = None
+    for i in at:
+        ratings = rate(m.where(F.col("__at") < i).drop("__at"))
+        test = m.where(F.col("__at") == i)
+        wins = test.select(F.col("winner_team_id").alias("id"), F.lit(1).alias("w")).unionByName(test.select(F.col("loser_team_id").alias("id"), F.lit(0).alias("w")))
+        wins = wins.groupBy("id").agg(F.sum("w").alias("wins"))
+        one = wins.join(ratings, "id").select(F.lit(order[i]).cast("long").alias("tournament_id"), "id", "wins", "rating")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = matches.sparkSession.createDataFrame([], "tournament_id long, id long, wins long, rating double")
+    o = placed(written(out, "held"), ["tournament_id"], "id", -F.col("rating"), -F.col("wins"))
+    return order_agreement(o, ["tournament_id"])
+
+
 # ---- robustness
 
 
@@ -306,18 +330,18 @@ def monotonicity(df: DataFrame, value: str, outcome: str, bins: int = 10) -> Dat
 
 
 def null_shuffle(edges: DataFrame, seed: int = 1) -> DataFrame:
-    """Edges with the results turned round by a hash: what a rating finds in them is chance."""
-    turn = F.pmod(F.xxhash64(F.least("loser", "winner"), F.greatest("loser", "winner"), F.col("loser") < F.col("winner"), F.lit(seed)), F.lit(2)) == 0
+    """Edges with the results turned round by a number from their ends: what a rating finds in them is chance."""
+    turn = evaluate.edge_number(F.least("loser", "winner"), F.greatest("loser", "winner") + (F.col("loser") < F.col("winner")).cast("long") * 99_991, seed) % 2 == 0
     e = edges.select(F.when(turn, F.col("winner")).otherwise(F.col("loser")).alias("loser"), F.when(turn, F.col("loser")).otherwise(F.col("winner")).alias("winner"), "weight_sum")
     return e.groupBy("loser", "winner").agg(F.sum("weight_sum").alias("weight_sum"))
 
 
 def sensitivity(base: DataFrame, variants: dict[str, Callable[[], DataFrame]], key: str = "id", score: str = "score") -> DataFrame:
-    """(variant, spearman, n): rank correlation of each variant's scores with the base's."""
+    """(variant, spearman, n): rank correlation of each variant's scores with the base's; scores equal to 12 decimals are ties."""
     out = None
-    base = written(base.select(key, F.col(score).alias("x")), "base")
+    base = written(base.select(key, F.round(score, 12).alias("x")), "base")
     for name, make in variants.items():
-        other = make().select(key, F.col(score).alias("y"))
+        other = make().select(key, F.round(score, 12).alias("y"))
         c = evaluate.spearman(written(base.join(other, key), "variant"), "x", "y").withColumn("variant", F.lit(name))
         out = c if out is None else out.unionByName(c)
     return out

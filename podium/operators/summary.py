@@ -122,6 +122,18 @@ TIERS = {"high": {"tournaments": 15, "connected": 10}, "medium": {"tournaments":
 COMPOSITE = {"tournaments": 0.4, "opponents": 0.4, "connectivity": 0.2}
 
 
+def named(matches: DataFrame, teams: DataFrame, tournaments: DataFrame) -> DataFrame:
+    """Matches (match_id, tournament_id, winner_team_id, loser_team_id, ts) with names, day, ISO weekday (Monday 1) and week.
+
+    `teams` holds (team_id, name), `tournaments` (tournament_id, name), one row each; what has no name has null.
+    """
+    m = matches.select("match_id", "tournament_id", "winner_team_id", "loser_team_id", "ts").join(tournaments.select("tournament_id", F.col("name").alias("tournament")), "tournament_id", "left")
+    for side in ("winner", "loser"):
+        m = m.join(teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(side)), f"{side}_team_id", "left")
+    at = F.timestamp_seconds("ts")
+    return m.select("match_id", "tournament", "winner", "loser", F.date_format(at, "yyyy-MM-dd").alias("played_on"), (F.weekday(at) + 1).cast("long").alias("weekday"), F.weekofyear(at).cast("long").alias("week"))
+
+
 def last_active(matches: DataFrame, rosters: DataFrame, starts: DataFrame, cutoff: float) -> DataFrame:
     """(player_id, last_active): the latest of a player's teams' matches and of its tournaments' starts up to the cutoff.
 

@@ -158,20 +158,6 @@ def temporal_cross_validation(s, d):
     return out
 
 
-@query()
-def edge_dropout_robustness(s, d):
-    """Rank correlation of team PageRank with that of graphs that lack a tenth of the edges."""
-    e = written(convert.team_edges(convert.weighted(domain.played(s, d), NOW, RATE)), "edges")
-    base = graph.pagerank(e, "weight_sum", graph.teleport(e)).withColumnRenamed("score", "x")
-    out = None
-    for seed in range(1, 6):
-        f = written(evaluate.edge_dropout(e, 0.1, seed), "dropped")
-        other = graph.pagerank(f, "weight_sum", graph.teleport(f)).withColumnRenamed("score", "y")
-        c = evaluate.spearman(written(base.join(other, "id"), "both"), "x", "y").withColumn("seed", F.lit(seed))
-        out = c if out is None else out.unionByName(c)
-    return out
-
-
 @query()
 def accuracy_interval(s, d):
     """Accuracy of predictions with a bootstrap interval."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import scalar
-from podium.operators import batch, convert, evaluate, graph, predict, queue, summary
+from podium.operators import batch, convert, evaluate, graph, loo, predict, quality, queue, summary
 from podium.plans import analytics, reference
 from podium.plans.analytics import evaluated
 from podium.runtime import table, written
@@ -317,6 +317,60 @@ def match_mates(s, d):
     return summary.with_mates(reference._compact(s, d))
 
 
+_TN = "SELECT team_id, max(team_name) AS name FROM tournament_teams WHERE team_id IS NOT NULL GROUP BY 1"
+
+
+@query(sql("m t", "SELECT m.match_id, t.name AS tournament, w.name AS winner, l.name AS loser, strftime(make_timestamp(m.ts * 1000000), '%Y-%m-%d') AS played_on, CAST(isodow(make_timestamp(m.ts * 1000000)) AS BIGINT) AS weekday, CAST(weekofyear(make_timestamp(m.ts * 1000000)) AS BIGINT) AS week FROM m LEFT JOIN t ON t.tournament_id = m.tournament_id LEFT JOIN tn w ON w.team_id = winner_team_id LEFT JOIN tn l ON l.team_id = loser_team_id", tn=_TN))
+def named_matches(s, d):
+    """Matches with the names of tournament and teams, day, weekday and week."""
+    names = table(s, d, "tournament_teams").where("team_id is not null").groupBy("team_id").agg(F.max("team_name").alias("name"))
+    return summary.named(domain.played(s, d), names, domain.tournaments(s, d))
+
+
+@query("SELECT f.player_id, f.match_id, f.is_win, f.positive_rank, f.flux, h.tournament, h.match_date, h.opponents FROM (" + reference.SQL["influential_matches"] + ") f JOIN (" + reference.SQL["match_history"] + ") h ON h.player_id = f.player_id AND h.match_id = f.match_id AND h.is_win = f.is_win")
+def influential_named(s, d):
+    """The matches that moved each player most with tournament, date and opponents."""
+    h = reference.match_history(s, d).select("player_id", "match_id", "is_win", "tournament", "match_date", "opponents")
+    return reference.influential_matches(s, d).join(h, ["player_id", "match_id", "is_win"])
+
+
+@query()
+def weekly_impacts(s, d):
+    """Approximate and exact changes of every rated player's score without each match of its shortlist, stored as a run and
+    read back."""
+    c = written(reference._compact(s, d), "compact")
+    scores = written(graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)), "scores")
+    out = incremental.scratch(s, "impacts")
+    store.add_run(loo.weekly(c, scores, 0.025, k=10), out, {"build": "build", "at": int(NOW * 1000)})
+    return loaders.impacts(s, out, build="build", at=int(NOW * 1000)).drop("build", "at")
+
+
+@query()
+def tournament_backtest(s, d):
+    """Ten tournaments spaced evenly: how the order by earlier ratings agrees with that by wins."""
+    m, r, a = (written(f(s, d), "backtest") for f in (domain.played, domain.rosters, domain.appearances))
+
+    def rate(train: DataFrame) -> DataFrame:
+        c = convert.compact(convert.weighted(train, NOW, RATE), r, a)
+        rated = graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
+        return r.join(rated, "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating"))
+
+    return quality.backtest(m, rate, least=10, splits=10)
+
+
+@query(sql("", "SELECT count(*) AS rows, CAST(sum(match_id) AS BIGINT) AS total FROM q", q="SELECT DISTINCT event_id AS match_id FROM events WHERE event_id IS NOT NULL"))
+def high_water_mark(s, d):
+    """A table that grows by what lies beyond its largest id, fed twice with everything and before with the older half."""
+    where = incremental.scratch(s, "marks")
+    e = written(table(s, d, "events").select(F.col("event_id").alias("match_id")).dropna().distinct(), "ids")
+    middle = e.agg(F.avg("match_id")).first()[0] or 0
+    for part in (e.where(F.col("match_id") <= middle), e, e):
+        incremental.append_above(s, where, part)
+    got = store.Versioned(s, where).read()
+    got = got if got is not None else e
+    return got.agg(F.count(F.lit(1)).alias("rows"), F.sum("match_id").alias("total"))
+
+
 # ---- the production run
 
 _BORROWED = reference.SQL["borrowed_rosters"]

@@ -286,27 +286,64 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return written(convert.team_edges(reference._weights(s, d)), "edges")
 
 
-@query()
+_VOLUME = "SELECT id, raw / sum(raw) OVER () AS v FROM (SELECT n.id, 1 / sqrt(coalesce(deg, 1)) AS raw FROM (SELECT loser AS id FROM {e} UNION SELECT winner FROM {e}) n LEFT JOIN (SELECT loser AS id, count(*) AS deg FROM {e} GROUP BY 1) g ON g.id = n.id)"
+_NUMBER = "((({a}) % 1048576) * 1103515245 + (({b}) % 1048576) * 12820163 + {k}) % 1000003"
+
+
+def _correlated(variants: dict[str, str], **more: str) -> str:
+    """SQL of the rank correlation of each variant's table (id, x) with the table `base`."""
+    one = "SELECT '{n}' AS variant, round(corr(a, b), 5) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y DESC) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM (SELECT round(o.x, 12) AS x, round(p.x, 12) AS y FROM base o JOIN {t} p ON p.id = o.id))"
+    return sql("te", " UNION ALL ".join(one.format(n=n, t=t) for n, t in variants.items()), v=_VOLUME.format(e="te"), **reference.settled("base", "te", "v"), **more)
+
+
+def _sensitivity_sql() -> str:
+    more = {"u": "SELECT id, 1.0 / count(*) OVER () AS v FROM v"} | reference.settled("pu", "te", "u")
+    for i, a in enumerate((0.5, 0.7, 0.9, 0.95)):
+        more |= reference.settled(f"pa{i}", "te", "v", alpha=a)
+    return _correlated({f"alpha_{a}": f"pa{i}" for i, a in enumerate((0.5, 0.7, 0.9, 0.95))} | {"uniform": "pu"}, **more)
+
+
+def _changed_sql(edges: str, seeds: tuple[int, ...]) -> str:
+    more = {}
+    for k in seeds:
+        more |= {f"ed{k}": edges.replace("SEED", str(7654321 * k)), f"vd{k}": _VOLUME.format(e=f"ed{k}")} | reference.settled(f"pd{k}", f"ed{k}", f"vd{k}")
+    return _correlated({f"seed_{k}": f"pd{k}" for k in seeds}, **more)
+
+
+@query(_sensitivity_sql())
 def teleport_sensitivity(s, d):
-    """Rank correlation of team PageRank under other damping, teleport and smoothing with the usual one."""
+    """Rank correlation of team PageRank under other damping and teleport with the usual one."""
     e = _edges(s, d)
     v = written(graph.teleport(e), "teleport")
     rate = lambda cfg=graph.PageRank(), t=v, w=e: graph.pagerank(w, "weight_sum", t, cfg)
     variants = {f"alpha_{a}": (lambda a=a: rate(graph.PageRank(alpha=a))) for a in (0.5, 0.7, 0.9, 0.95)} | {"uniform": lambda: rate(t=graph.teleport(e, "uniform"))}
-    return quality.sensitivity(rate(), variants)
+    return _round(quality.sensitivity(rate(), variants), 5)
 
 
-@query()
-def null_shuffle_correlation(s, d):
-    """Rank correlation of team PageRank with that of results turned round at random: what chance alone keeps."""
+def _changed(s: SparkSession, d: str, change: Callable[[DataFrame, int], DataFrame], seeds: tuple[int, ...]) -> DataFrame:
     e = _edges(s, d)
     base = graph.pagerank(e, "weight_sum", graph.teleport(e))
 
-    def turned(seed: int) -> DataFrame:
-        f = written(quality.null_shuffle(e, seed), "turned")
+    def rated(seed: int) -> DataFrame:
+        f = written(change(e, seed), "changed")
         return graph.pagerank(f, "weight_sum", graph.teleport(f))
 
-    return quality.sensitivity(base, {f"seed_{k}": (lambda k=k: turned(k)) for k in (1, 2, 3)})
+    return _round(quality.sensitivity(base, {f"seed_{k}": (lambda k=k: rated(k)) for k in seeds}), 5)
+
+
+_TURN = "SELECT CASE WHEN t THEN winner ELSE loser END AS loser, CASE WHEN t THEN loser ELSE winner END AS winner, sum(weight_sum) AS weight_sum FROM (SELECT *, " + _NUMBER.format(a="least(loser, winner)", b="greatest(loser, winner) + (loser < winner)::BIGINT * 99991", k="SEED") + " % 2 = 0 AS t FROM te) GROUP BY ALL"
+
+
+@query(_changed_sql(_TURN, (1, 2, 3)))
+def null_shuffle_correlation(s, d):
+    """Rank correlation of team PageRank with that of results turned round at random: what chance alone keeps."""
+    return _changed(s, d, quality.null_shuffle, (1, 2, 3))
+
+
+@query(_changed_sql("SELECT * FROM te WHERE " + _NUMBER.format(a="loser", b="winner", k="SEED") + " >= 0.1 * 1000003", (1, 2, 3, 4, 5)))
+def edge_dropout_robustness(s, d):
+    """Rank correlation of team PageRank with that of graphs that lack a tenth of the edges."""
+    return _changed(s, d, lambda e, k: evaluate.edge_dropout(e, 0.1, k), (1, 2, 3, 4, 5))
 
 
 def oracle_sql() -> dict[str, str]:

@@ -117,14 +117,14 @@ def teleport_vectors(s, d):
     return v.join(u, "id").select("id", F.round("v", 10).alias("volume_inverse"), F.round("u", 10).alias("uniform"))
 
 
-def settled(name: str, edges: str, v: str, src: str = "loser", dst: str = "winner", tol: float = 1e-8, steps: int = 200) -> dict[str, str]:
+def settled(name: str, edges: str, v: str, src: str = "loser", dst: str = "winner", tol: float = 1e-8, steps: int = 200, alpha: float = 0.85) -> dict[str, str]:
     """PageRank as SQL, from `src` to `dst` of the edges' table with the teleport table (id, v): every step follows from the
     one before until the scores move by less than `tol` in all. The last step is the table `name` (id, x)."""
     return {
         f"{name}_p": f"SELECT e.{src} AS src, e.{dst} AS dst, e.weight_sum / o.s AS p FROM {edges} e JOIN (SELECT {src} AS id, sum(weight_sum) AS s FROM {edges} GROUP BY 1) o ON o.id = e.{src}",
         f"{name}_z": f"SELECT id FROM {v} WHERE id NOT IN (SELECT src FROM {name}_p)",
         f"{name}_r": f"""SELECT 0 AS i, id, v / sum(v) OVER () AS x, NULL::DOUBLE AS was FROM {v} UNION ALL SELECT i + 1, id, x / sum(x) OVER (), was FROM (
-          SELECT r.i, r.id, r.x AS was, 0.85 * coalesce(g.x, 0) + (0.15 + 0.85 * (SELECT coalesce(sum(x), 0) FROM {name}_r WHERE id IN (SELECT id FROM {name}_z))) * t.v AS x
+          SELECT r.i, r.id, r.x AS was, {alpha} * coalesce(g.x, 0) + (1 - {alpha} + {alpha} * (SELECT coalesce(sum(x), 0) FROM {name}_r WHERE id IN (SELECT id FROM {name}_z))) * t.v AS x
           FROM {name}_r r JOIN {v} t ON t.id = r.id LEFT JOIN (SELECT p.dst AS id, sum(q.x * p.p) AS x FROM {name}_r q JOIN {name}_p p ON p.src = q.id GROUP BY 1) g ON g.id = r.id
           WHERE r.i < {steps} AND (SELECT sum(abs(x - was)) IS NULL OR sum(abs(x - was)) >= {tol} FROM {name}_r))""",
         name: f"SELECT id, x FROM {name}_r WHERE i = (SELECT max(i) FROM {name}_r)",

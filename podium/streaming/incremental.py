@@ -54,6 +54,20 @@ def keep_latest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], ta
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def append_above(spark: SparkSession, table: str, rows: DataFrame, mark: str = "match_id") -> int:
+    """Adds the rows beyond the table's largest `mark` as a new version; how many there were. Rows that come again, and such
+    without a mark, add nothing."""
+    t = Versioned(spark, table)
+    old = t.read()
+    high = None if old is None else old.agg(F.max(mark)).first()[0]
+    new = rows.where(F.col(mark).isNotNull() if high is None else F.col(mark) > high)
+    n = new.count()
+    if n:
+        t.replace(new if old is None else old.unionByName(new, allowMissingColumns=True))
+        t.drop_old()
+    return n
+
+
 def hourly(stream: DataFrame, ts: str, late: str = "1 hour") -> DataFrame:
     """Matches and wins per hour; rows later than the watermark are left out."""
     g = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 hour"))

@@ -408,3 +408,35 @@ def test_double_elimination_and_stages(spark):
     e = synth.elite(spark, 500).agg(F.min("skill"), F.max("skill")).first()
     assert e[0] >= 2.0 and e[1] > 2.8
     assert abs(synth.stationary_sd(0.5, 1.0) - 1) < 1e-12 and abs(1 / (1 + math.exp(-synth.slope_for(0.8, 2.0) * 2.0)) - 0.8) < 1e-12
+
+
+def test_weekly_rows(spark):
+    from podium.operators import loo
+
+    m = spark.createDataFrame([(i, 1 + i % 2, 10 + i % 3, 10 + (i + 1 + i % 2) % 3, 1_700_000_000 + i) for i in range(12) if i % 3 != (i + 1 + i % 2) % 3], "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    r = spark.createDataFrame([(t, k, 4 * k + j) for t in (1, 2) for k in (10, 11, 12) for j in range(4)], "tournament_id long, team_id long, user_id long")
+    c = convert.compact(convert.weighted(m, 1_700_000_100, 0.0), r)
+    scores = graph.log_odds(c, graph.Engine(fixed_lambda=0.025))
+    w = loo.weekly(c, scores, 0.025, k=1).collect()
+    assert {x["player_id"] for x in w} == set(range(40, 52)) and sorted({x["player_rank"] for x in w}) == list(range(1, 13))
+    for x in w:
+        assert (x["approx_positive_rank"] is None) != (x["approx_negative_rank"] is None) and x["is_win"] == (x["approx_score_delta"] < 0)
+        assert abs(x["exact_new_score"] - x["exact_old_score"] - x["exact_score_delta"]) < 1e-12 and x["tournament_id"] in (1, 2)
+
+
+def test_backtest_of_a_perfect_order(spark):
+    m = spark.createDataFrame([(100 * t + 10 * a + b, t, a, b, 1000 * t) for t in range(6) for a in range(1, 5) for b in range(a + 1, 5)], "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    rate = lambda train: spark.createDataFrame([(i, float(10 - i)) for i in range(1, 5)], "id long, rating double")
+    r = {x["tournament_id"]: x for x in quality.backtest(m, rate, least=3).collect()}
+    assert sorted(r) == [3, 4, 5] and all(x["ndcg"] == 1 and x["discordant"] == 0 and x["mae"] == 0 for x in r.values())
+    assert quality.backtest(m, rate, least=9).count() == 0
+
+
+def test_high_water_mark(spark, tmp_path):
+    from podium.sources.store import Versioned
+    from podium.streaming import incremental
+
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "match_id long")
+    where = f"file://{tmp_path}/t"
+    assert [incremental.append_above(spark, where, rows(*k)) for k in ((), (1, 2, None), (2, 3), (1, 3), (9,))] == [0, 2, 1, 0, 1]
+    assert sorted(r[0] for r in Versioned(spark, where).read().collect()) == [1, 2, 3, 9]

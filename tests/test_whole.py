@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.operators import convert, evaluate, graph, loo, predict, queue
-from podium.plans import analytics, pipelines, reference
+from podium.plans import analytics, pipelines, quality, reference
 from podium.sources import domain
 
 
@@ -170,7 +170,7 @@ def test_repetitions_are_the_references(spark, data, monkeypatch):
 
     for x in ((predict, "monte_carlo", 1, "runs"), (evaluate, "bootstrap", 2, "replicates"), (evaluate, "folds", 1, "n"), (evaluate, "edge_dropout", 2, "seed")):
         note(*x)
-    for q in (analytics.monte_carlo_places, analytics.accuracy_interval, analytics.edge_dropout_robustness):
+    for q in (analytics.monte_carlo_places, analytics.accuracy_interval, quality.edge_dropout_robustness):
         q(spark, data).collect()
     assert {r["fold"] for r in analytics.temporal_cross_validation(spark, data).collect()} == set(range(5))
     assert seen == {"monte_carlo": [10_000], "bootstrap": [500], "folds": [5], "edge_dropout": [1, 2, 3, 4, 5]}
