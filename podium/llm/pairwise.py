@@ -32,8 +32,8 @@ from podium.runtime import broadcast_if_small, dropped, quantile, ranked, writte
 
 #: Bounds of the vector way: players (two vectors of 8 MB) and members of one side of a match.
 PLAYERS, SIDE, CHUNK = 1_000_000, 1_000, 65_536
-#: Parts of a chunk (512 KB each) that one task sums.
-FAN = 32
+#: Parts of a chunk (512 KB each) that one task sums, and bytes that a task of a half-round reads for each it returns.
+FAN, READ = 32, 8
 SMOOTH, TOLERANCE, ROUNDS = 0.05, 0.005, 40
 
 
@@ -84,6 +84,11 @@ def strengths(side_rows: DataFrame, smooth: float = SMOOTH, players_bound: int =
         ids = lists.select(F.explode(F.concat("ws", "ls")).alias("player_id")).distinct()
         known = np.sort(ids.limit(players_bound + 1).toArrow()["player_id"].to_numpy())
         if len(known) <= players_bound:
+            # Every task returns a vector: as few tasks as keep that small beside what they read, by the members' number.
+            members = f.agg(F.sum(F.col("nw") + F.col("nl"))).first()[0]
+            tasks = max(1, round(4 * members / (READ * 8 * len(known))))
+            if tasks < lists.rdd.getNumPartitions():
+                lists = lists.coalesce(tasks)
             o, d = _by_vectors(lists, known, smooth)
             frame = pa.table({"player_id": known, "offence": o, "defence": d, "strength": o / d})
             return written(spark.createDataFrame(frame), "strengths")
