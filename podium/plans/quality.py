@@ -125,7 +125,7 @@ def strict_concordance(s, d):
 
 _IDS = "SELECT id, rating, row_number() OVER (ORDER BY id) - 1 AS at FROM tr"
 _MULT = "SELECT x.range AS k FROM range(1, 11) x"
-_DEALT = "SELECT k, o.id, b.rating FROM (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY (id % 4294967296) * (1103515245 + 15308642 * k) % 4294967296, id) - 1 AS at FROM mult, ids) o JOIN ids b ON b.at = o.at"
+_DEALT = "SELECT k, o.id, b.rating FROM (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY (id % 4294967296 + 4294967296) % 4294967296 * (1103515245 + 15308642 * k) % 4294967296, id) - 1 AS at FROM mult, ids) o JOIN ids b ON b.at = o.at"
 _P = "1 / (1 + exp(-(ln(greatest(coalesce(w.rating, 0.05), 1e-12)) - ln(greatest(coalesce(l.rating, 0.05), 1e-12)))))"
 
 
@@ -192,7 +192,7 @@ def rating_monotonicity(s, d):
 _VOTED = "SELECT v.y, last.score AS x FROM (SELECT player_id, max(top_class::INT) AS y FROM player_votes WHERE top_class IS NOT NULL GROUP BY 1) v JOIN last ON last.player_id = v.player_id AND last.score IS NOT NULL"
 
 
-@query(sql("last", """SELECT round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 7) AS cohens_d, round(overlap, 7) AS overlap, round(best, 7) AS top_decile FROM (SELECT count(*) FILTER (y = 1) AS n0, count(*) FILTER (y = 0) AS n1, avg(x) FILTER (y = 1) AS m0, avg(x) FILTER (y = 0) AS m1, var_samp(x) FILTER (y = 1) AS v0, var_samp(x) FILTER (y = 0) AS v1 FROM vo) s,
+@query(sql("last", """SELECT round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 7) AS cohens_d, CASE WHEN n0 > 0 AND n1 > 0 THEN round(overlap, 7) END AS overlap, CASE WHEN n0 > 0 AND n1 > 0 THEN round(best, 7) END AS top_decile FROM (SELECT count(*) FILTER (y = 1) AS n0, count(*) FILTER (y = 0) AS n1, avg(x) FILTER (y = 1) AS m0, avg(x) FILTER (y = 0) AS m1, var_samp(x) FILTER (y = 1) AS v0, var_samp(x) FILTER (y = 0) AS v1 FROM vo) s,
   (SELECT sum(least(a / n0, b / n1)) AS overlap FROM (SELECT least(floor((x - lo) / ((hi - lo) / 50)), 49) AS bin, count(*) FILTER (y = 1)::DOUBLE AS a, count(*) FILTER (y = 0)::DOUBLE AS b FROM vo, (SELECT min(x) AS lo, max(x) AS hi FROM vo) GROUP BY 1), (SELECT count(*) FILTER (y = 1) AS n0, count(*) FILTER (y = 0) AS n1 FROM vo)),
   (SELECT avg(y) AS best FROM vo WHERE x >= (SELECT quantile_cont(x, 0.9) FROM vo))""", vo=_VOTED))
 def votes_effect(s, d):
@@ -287,7 +287,8 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 _VOLUME = "SELECT id, raw / sum(raw) OVER () AS v FROM (SELECT n.id, 1 / sqrt(coalesce(deg, 1)) AS raw FROM (SELECT loser AS id FROM {e} UNION SELECT winner FROM {e}) n LEFT JOIN (SELECT loser AS id, count(*) AS deg FROM {e} GROUP BY 1) g ON g.id = n.id)"
-_NUMBER = "((({a}) % 1048576) * 1103515245 + (({b}) % 1048576) * 12820163 + {k}) % 1000003"
+# Ids may be negative: the remainder is brought above 0, as in the operator.
+_NUMBER = "((({a}) % 1048576 + 1048576) % 1048576 * 1103515245 + (({b}) % 1048576 + 1048576) % 1048576 * 12820163 + {k}) % 1000003"
 
 
 def _correlated(variants: dict[str, str], **more: str) -> str:
