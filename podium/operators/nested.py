@@ -249,3 +249,27 @@ def linked(nodes: DataFrame, paths: tuple[str, ...]) -> DataFrame:
         d = d.where((F.col(f"a{i}.pre") < F.col("pre")) & (F.col(f"a{i}.post") > F.col("post")))
         d = d.withColumns({f"pre_{i}": F.col(f"a{i}.pre"), f"pos_{i}": F.col(f"a{i}.pos")})
     return d.drop("path", *[f"a{i}" for i in range(1, len(paths))])
+
+
+def parented(nodes: DataFrame) -> DataFrame:
+    """All nodes with `parent`, the number (pre) of the innermost node whose interval holds theirs; null for a text's root.
+
+    A document's nodes come to one task in the order of pre; the intervals that are open there form a stack, which is all
+    that is kept. `nodes` must hold every node of its texts (shred without `paths`).
+    """
+    d = nodes.repartition("record_id", "doc").sortWithinPartitions("record_id", "doc", "pre")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = None, []
+        for b in batches:
+            parents: list = []
+            for rid, doc, pre, post in zip(*(b[c].to_pylist() for c in ("record_id", "doc", "pre", "post")), strict=True):
+                if (rid, doc) != at:
+                    at, stack = (rid, doc), []
+                while stack and stack[-1][1] < post:
+                    stack.pop()
+                parents.append(stack[-1][0] if stack else None)
+                stack.append((pre, post))
+            yield b.append_column("parent", pa.array(parents, pa.int64()))
+
+    return d.mapInArrow(run, NODE + ", parent long")

@@ -91,6 +91,13 @@ def _node_query(nodes: Callable[[SparkSession, str, tuple[str, ...] | None], Dat
     return run
 
 
+def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of every type (path) of both sources' texts, with its interval, position, value and its parent's number."""
+    parts = ((_meta_nodes, "tournaments.meta"), (_settings_nodes, "stages.settings"))
+    a, b = (nested.parented(nodes(spark, d, None)).withColumn("origin", F.lit(name)) for nodes, name in parts)
+    return a.unionByName(b)
+
+
 def _zoned_matches(spark: SparkSession, d: str) -> DataFrame:
     return feature_table.match_instants(table(spark, d, "matches"), table(spark, d, "tournaments"))
 
@@ -144,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_groups": node(_settings_nodes, _SETTINGS_PATHS, 1),
         "p4_rounds": node(_settings_nodes, _SETTINGS_PATHS, 2),
         "p4_maps": node(_settings_nodes, _SETTINGS_PATHS, 3),
+        "p4_nodes": p4_nodes,
         "p6_found": p6_found,
         "p6_instants": p6_instants,
         "p6_numbers": p6_numbers,

@@ -6,8 +6,8 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from podium.operators import convert, evaluate, graph, loo, predict, queue
-from podium.plans import analytics, pipelines, quality, reference
+from podium.operators import convert, evaluate, graph, loo, nested, predict, queue
+from podium.plans import analytics, pipelines, problems, quality, reference
 from podium.sources import domain
 
 
@@ -174,3 +174,23 @@ def test_repetitions_are_the_references(spark, data, monkeypatch):
         q(spark, data).collect()
     assert {r["fold"] for r in analytics.temporal_cross_validation(spark, data).collect()} == set(range(5))
     assert seen == {"monte_carlo": [10_000], "bootstrap": [500], "folds": [5], "edge_dropout": [1, 2, 3, 4, 5]}
+
+
+def test_nodes_of_every_type(spark, data):
+    """Every node of the texts has a row, tied to the smallest interval that holds its own."""
+    want = set()
+    for origin, tab, key, col, lists in (("tournaments.meta", "tournaments", "tournament_id", "meta", problems.META), ("stages.settings", "stages", "stage_id", "settings", problems.SETTINGS)):
+        for rid, text in duckdb.connect().execute(f"SELECT DISTINCT {key}, {col} FROM '{data}/{tab}.parquet' WHERE {key} IS NOT NULL AND {col} IS NOT NULL").fetchall():
+            try:
+                nodes = nested.label(nested.read_record(text, lists[0]), frozenset(lists))
+            except nested.Unreadable:
+                continue
+            for path, pre, post, pos, value in nodes:
+                around = [x[1] for x in nodes if x[1] < pre and x[2] > post]
+                want.add((origin, rid, path, pre, post, pos, value, max(around) if around else None))
+    cols = ["origin", "record_id", "path", "pre", "post", "pos", "value", "parent"]
+    got = [tuple(r) for r in problems.queries()["p4_nodes"](spark, data).select(*cols).collect()]
+    assert set(got) == want
+    paths = {r[2] for r in got}
+    assert {"$.staff.user.name", "$.bracketProgression.settings.teamsPerGroup", "$.groups.rounds.bestOf", "$.groups.rounds.maps.mapId", "$.swiss.roundCount"} <= paths
+    assert all((r[7] is None) == (r[2] == "$") for r in got)
