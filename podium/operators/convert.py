@@ -81,6 +81,16 @@ def player_edges(weights: DataFrame, rosters: DataFrame, also: list[str] = ()) -
     return pairs.groupBy("loser", "winner", *also).agg(F.sum("weight").alias("weight_sum"))
 
 
+def roster_sides(weights: DataFrame, rosters: DataFrame) -> DataFrame:
+    """(tournament_id, winners, losers, weight_sum): the rosters and the summed weight of a tournament's matches that one team
+    won against another. Each pair of a loser and a winner has that weight in `player_edges`."""
+    m = weights.where("match_id is not null").groupBy("tournament_id", "winner_team_id", "loser_team_id").agg(F.sum("weight").alias("weight_sum"))
+    rl = roster_lists(rosters)
+    for team, who in (("winner_team_id", "winners"), ("loser_team_id", "losers")):
+        m = m.join(rl.withColumnsRenamed({"team_id": team, "roster": who}), ["tournament_id", team])
+    return m.select("tournament_id", "winners", "losers", "weight_sum")
+
+
 def share_edges(compacted: DataFrame) -> DataFrame:
     """(loser, winner, weight_sum) of the shares of compact matches."""
     e = compacted.select(F.explode("winners").alias("winner"), "losers", "share").select("winner", F.explode("losers").alias("loser"), "share")

@@ -3,16 +3,21 @@
 Edges are (loser, winner, weight_sum). A PageRank runs in one of two ways with the same formulas: up to `EDGES` edges
 (counted first) they come to the driver as arrays, beyond that every step is a join and an aggregation of frames whose
 result is written to the shared folder.
+
+Where all pairs of a match's two sides are edges of one weight, they aren't made: a step sums each match's losing side and
+gives that to its winning side. Up to `PLACES` places of players in matches (counted first) one task on an executor holds
+them as arrays; nothing comes to the driver.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from podium.runtime import broadcast_if_small, dropped, quantile, ranked, writte
 
 #: Edges that may come to the driver: 24 bytes each.
 EDGES = 4_000_000
+#: Players' places in matches that one task may hold: some 40 bytes each while it runs.
+PLACES = 20_000_000
 
 
 # ---- denominators
@@ -170,6 +177,76 @@ def _scored(v: DataFrame, ids: np.ndarray, **scores: np.ndarray) -> DataFrame:
     return v.sparkSession.createDataFrame(pa.table(cols))
 
 
+def step_sides(src: np.ndarray, src_n: np.ndarray, dst: np.ndarray, dst_n: np.ndarray, w: np.ndarray, v: np.ndarray, cfg: PageRank) -> np.ndarray:
+    """`step_arrays` (without deficit) over an edge of weight w[i] from each of match i's sources to each of its destinations.
+
+    src and dst hold the matches' players one after the other, src_n and dst_n how many each has (none is 0).
+    """
+    n = len(v)
+    out = np.bincount(src, weights=np.repeat(w * dst_n, src_n), minlength=n)
+    inv = np.divide(1.0, out, out=np.zeros(n), where=out > 0)
+    first, ends, r = np.cumsum(src_n) - src_n, out <= 0, v / v.sum()
+    for _ in range(cfg.max_iter):
+        lost = r[ends].sum()
+        mass = w * np.add.reduceat((r * inv)[src], first) if len(w) else w
+        new = cfg.alpha * np.bincount(dst, weights=np.repeat(mass, dst_n), minlength=n) + (1 - cfg.alpha + cfg.alpha * lost) * v
+        new /= new.sum()
+        change = np.abs(new - r).sum()
+        r = new
+        if change < cfg.tol:
+            break
+    else:
+        _unsettled(cfg, change)
+    return r
+
+
+def places(sides: DataFrame) -> int:
+    """Places of players in the matches of `sides` (winners, losers)."""
+    return sides.agg(F.sum(F.size("winners").cast("long") + F.size("losers"))).first()[0] or 0
+
+
+def _pagerank_sides(sides: DataFrame, v: DataFrame, cfg: PageRank, both: bool) -> DataFrame:
+    """(id, score) of the pairs of (winners, losers, w), or (id, win_pr, loss_pr), in one task; to be written by the caller."""
+    none = F.lit(None)
+    e = sides.select(none.cast("long").alias("id"), "winners", "losers", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
+    rows = v.select("id", none.cast("array<bigint>").alias("winners"), none.cast("array<bigint>").alias("losers"), F.col("v").cast("double").alias("w")).unionByName(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for b in batches:
+            node = b["id"].is_valid()
+            x = b.filter(node)
+            y = b.filter(pc.and_(pc.invert(node), pc.and_(pc.greater(pc.list_value_length(b["winners"]), 0), pc.greater(pc.list_value_length(b["losers"]), 0))))
+            parts = [x["id"], x["w"], y["w"]]
+            for side in (y["winners"], y["losers"]):
+                parts += [side.flatten(), pc.list_value_length(side)]
+            for k, p in zip(got, parts, strict=True):
+                k.append(p.to_numpy(zero_copy_only=False))
+        ids, tv, w, win, win_n, loss, loss_n = (np.concatenate(k) if k else np.zeros(0) for k in got)
+        got.clear()
+        if not len(ids):
+            return
+        order = np.argsort(ids)
+        ids, tv = ids[order], tv[order]
+        win, loss = np.searchsorted(ids, win).astype(np.int32), np.searchsorted(ids, loss).astype(np.int32)
+        cols = [pa.array(ids, pa.int64()), pa.array(step_sides(loss, loss_n, win, win_n, w, tv, cfg))]
+        if both:
+            cols.append(pa.array(step_sides(win, win_n, loss, loss_n, w, tv, cfg)))
+        yield pa.RecordBatch.from_arrays(cols, names=["id", *names])
+
+    names = ("win_pr", "loss_pr") if both else ("score",)
+    return rows.coalesce(1).mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def pagerank_sides(sides: DataFrame, v: DataFrame, cfg: PageRank = PageRank(), places_bound: int = PLACES) -> DataFrame:
+    """`pagerank_both` of the edges from each of a match's losers to each of its winners, by `share`."""
+    sides = _once(sides.select("winners", "losers", F.col("share").alias("w")), sides, "sides")
+    v = _once(v.select("id", F.col("v").cast("double").alias("v")), v, "teleport")
+    if cfg.deficit or places(sides) > places_bound:
+        return pagerank_both(convert.share_edges(sides.withColumnRenamed("w", "share")), v, cfg)
+    return _pagerank_sides(sides, v, cfg, both=True)
+
+
 def _pagerank_frames(e: DataFrame, v: DataFrame, cfg: PageRank) -> DataFrame:
     sums = e.groupBy(F.col("loser").alias("id")).agg(F.sum("w").alias("s"))
     e = e.join(sums.withColumnRenamed("id", "loser"), "loser")
@@ -334,37 +411,30 @@ def row_pagerank(edges: DataFrame, v: DataFrame, cfg: Engine) -> DataFrame:
     return pagerank(normalized(edges, denominators(edges, cfg.smoothing)), "normalized_weight", v, cfg.pagerank)
 
 
-def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine(), edges_bound: int = EDGES) -> tuple[DataFrame, DataFrame]:
+def tick_tock(matches: DataFrame, rosters: DataFrame, cfg: Engine = Engine(), edges_bound: int = PLACES) -> tuple[DataFrame, DataFrame]:
     """((id, score), influence): ratings and tournaments' influence re-estimated in turn until it settles.
 
-    The pairs are made once, with their decayed weight per tournament; a tick only scales and sums them. Up to `EDGES` pairs
-    they come to the driver once for all ticks.
+    Two teams' matches of a tournament become one row with both rosters and their decayed weight, once; a tick only scales
+    it. Up to `edges_bound` places on these rosters no pairs of players are made but for the teleport.
     """
     who = written(participants(matches, rosters), "participants")
     infl = written(matches.select("tournament_id").dropna().distinct().withColumn("strength", F.lit(1.0)), "influence")
-    base = written(convert.player_edges(convert.weighted(matches, cfg.now, cfg.rate), rosters, ["tournament_id"]), "pairs")
-    v = written(teleport(base.select("loser", "winner").distinct(), "volume_inverse"), "teleport")
-
-    def by_arrays(infl: DataFrame) -> DataFrame:
-        i = infl.select("tournament_id", "strength").where("tournament_id is not null").toArrow()
-        if not len(ids):
-            return _scored(v, ids, score=np.zeros(0))
-        k, x = i["tournament_id"].to_numpy(), i["strength"].to_numpy()
-        order = np.argsort(k)
-        k, x = k[order], x[order]
-        at = np.minimum(np.searchsorted(k, arrays[0]), max(0, len(k) - 1))
-        strength = np.where(k[at] == arrays[0], x[at], 1.0) if len(k) else np.ones(len(arrays[0]))
-        return _scored(v, ids, score=step_arrays(src, dst, arrays[1] * strength**cfg.beta, tv, cfg.pagerank))
-
-    scores, arrays = None, None
-    if not cfg.pagerank.deficit and base.count() <= edges_bound:
-        ids, src, dst, _, tv = _arrays(base.select("loser", "winner", F.col("weight_sum").alias("w")), v)
-        t = base.select("tournament_id", "weight_sum").toArrow()
-        arrays = t["tournament_id"].to_numpy(), t["weight_sum"].to_numpy()
+    w = convert.weighted(matches, cfg.now, cfg.rate)
+    sides = written(convert.roster_sides(w, rosters), "sides")
+    factored = not cfg.pagerank.deficit and places(sides) <= edges_bound
+    base = None if factored else written(convert.player_edges(w, rosters, ["tournament_id"]), "pairs")
+    links = written(convert.share_edges(sides.withColumn("share", F.lit(0.0))) if factored else base.select("loser", "winner").distinct(), "links")
+    v = written(teleport(links, "volume_inverse"), "teleport")
+    dropped(links)
+    scores = None
     for _ in range(cfg.max_ticks):
+        scaled = (sides if factored else base).join(broadcast_if_small(infl), "tournament_id", "left")
         w = F.col("weight_sum") * F.pow(F.coalesce("strength", F.lit(1.0)), F.lit(cfg.beta))
-        e = base.join(broadcast_if_small(infl), "tournament_id", "left").groupBy("loser", "winner").agg(F.sum(w).alias("weight_sum"))
-        last, scores = scores, written(by_arrays(infl) if arrays else row_pagerank(e, v, cfg), "scores")
+        if factored:
+            rated = _pagerank_sides(scaled.select("winners", "losers", w.alias("w")), v, cfg.pagerank, both=False)
+        else:
+            rated = row_pagerank(scaled.groupBy("loser", "winner").agg(F.sum(w).alias("weight_sum")), v, cfg)
+        last, scores = scores, written(rated, "scores")
         new = written(influence(scores, who, cfg.influence_method), "influence")
         both = new.withColumnRenamed("strength", "new").join(infl, "tournament_id", "full")
         change = both.agg(F.avg(F.abs(F.coalesce("new", F.lit(1.0)) - F.coalesce("strength", F.lit(1.0))))).first()[0] or 0.0
@@ -386,9 +456,8 @@ def _log_odds(compacted: DataFrame, cfg: Engine) -> DataFrame:
     ex = written(convert.exposure(compacted), "exposure")
     total = ex.agg(F.sum(F.col("e_share") + 1e-12)).first()[0] or 1.0
     ex = ex.withColumn("rho", (F.col("e_share") + 1e-12) / F.lit(total))
-    edges = written(convert.share_edges(compacted), "edges")
     ex = written(ex, "rho")
-    out = written(ex.join(pagerank_both(edges, ex.select("id", F.col("rho").alias("v")), cfg.pagerank), "id"), "log_odds")
+    out = written(ex.join(pagerank_sides(compacted, ex.select("id", F.col("rho").alias("v")), cfg.pagerank), "id"), "log_odds")
     lam = cfg.fixed_lambda
     if lam is None:
         w, r = quantile(out, "win_pr", 0.5), quantile(out, "rho", 0.5)

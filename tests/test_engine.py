@@ -313,3 +313,25 @@ def test_brackets_and_results(spark):
     assert all(max(x["score_a"], x["score_b"]) == 3 for x in r)
     for how in ("normal", "uniform", "bimodal", "exponential", "lognormal"):
         assert synth.players(spark, 50, how).where("skill is null").count() == 0
+
+
+def test_pagerank_of_sides_is_that_of_their_pairs(spark, monkeypatch):
+    m, r = _matches(spark)
+    c = convert.compact(convert.weighted(m, 1_700_000_000, 0.001), r)
+    v = convert.exposure(c).select("id", F.col("e_share").alias("v"))
+    cfg = graph.PageRank(tol=1e-13, max_iter=500)
+    rows = lambda df: {x["id"]: (x["win_pr"], x["loss_pr"]) for x in df.collect()}
+    want = rows(graph.pagerank_both(convert.share_edges(c), v, cfg))
+    bound = rows(graph.pagerank_sides(c, v, cfg, places_bound=0))
+    # No edge is made, and none comes to the driver.
+    for name in ("_arrays", "_pagerank_frames", "pagerank_both"):
+        monkeypatch.setattr(graph, name, None)
+    for got in (rows(graph.pagerank_sides(c, v, cfg)), bound):
+        assert got.keys() == want.keys() and max(abs(a - b) for k in want for a, b in zip(got[k], want[k], strict=True)) < 1e-12
+
+
+def test_alternating_ratings_make_no_weighted_pairs(spark, monkeypatch):
+    m, r = _matches(spark)
+    monkeypatch.setattr(convert, "player_edges", None)
+    scores, infl = graph.tick_tock(m, r, graph.Engine(now=1_700_000_000))
+    assert scores.count() == 32 and infl.count() == 3
