@@ -7,12 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.operators.summary import numbered
 from podium.runtime import parallelism, ranked, written
 
+#: Simulated orders that a row of work has.
+RUNS = 500
+
 
 def team_log_rating(members: DataFrame, alpha: float = 1.0, top_k: int | None = None) -> DataFrame:
     """(tournament_id, team_id, log_rating, members): log-sum-exp of alpha x score, of the k best if given.
@@ -200,16 +204,53 @@ def series_probability(p: Column, best_of: int = 3) -> Column:
     return sum((math.comb(need - 1 + k, k) * F.pow(p, F.lit(need)) * F.pow(1 - p, F.lit(k)) for k in range(need)), F.lit(0.0))
 
 
+def _hash_int(x: int | np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int (0 or more) that follows what `seed` is the hash of."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(4)) ^ (np.asarray(x, np.uint64) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def monte_carlo(teams: DataFrame, runs: int = 200, noise: float = 1.0, seed: int = 42) -> DataFrame:
     """Chance of each team to come first and to be among four in noisy orders of its tournament, brackets aside.
 
-    Noise is Gumbel-distributed by a hash of run and team, so first places follow softmax of the ratings.
+    Noise is Gumbel-distributed by a hash of run and team, so first places follow softmax of the ratings. A tournament's
+    teams are one row, of which arrays draw `RUNS` orders at a time; only their sums per team leave the task, so neither
+    the disk nor a shuffle ever holds a row per run.
     """
-    u = (F.pmod(F.xxhash64("tournament_id", "team_id", "run", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    t = teams.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("x", F.col("log_rating") - noise * F.log(-F.log(u)))
-    w = Window.partitionBy("tournament_id", "run").orderBy(F.desc("x"), "team_id")
-    g = t.withColumn("n", F.row_number().over(w)).groupBy("tournament_id", "team_id")
-    return g.agg(F.avg((F.col("n") == 1).cast("double")).alias("p_first"), F.avg((F.col("n") <= 4).cast("double")).alias("p_top4"), F.avg("n").alias("mean_place"))
+    team = F.struct("team_id", "log_rating", F.xxhash64("tournament_id", "team_id").alias("h"))
+    g = teams.groupBy("tournament_id").agg(F.array_sort(F.collect_list(team)).alias("t"))
+    starts = F.explode(F.sequence(F.lit(1), F.lit(runs), F.lit(RUNS))).alias("first")
+    rows = g.select("tournament_id", F.col("t.team_id").alias("team_id"), F.col("t.log_rating").alias("x"), F.col("t.h").alias("h"), starts)
+    rows = rows.repartition(parallelism(teams), "tournament_id", "first")
+
+    def drawn(x: np.ndarray, h: np.ndarray, first: int, last: int) -> np.ndarray:
+        k, sums = len(x), np.zeros((4, len(x)), np.int64)
+        step = max(1, 500_000 // max(1, k))
+        for a in range(first, last + 1, step):
+            r = np.arange(a, min(a + step, last + 1), dtype=np.uint64)[:, None]
+            u = ((_hash_int(seed, _hash_int(r, h[None, :])) & np.uint64((1 << 52) - 1)).astype(np.float64) + 0.5) / float(1 << 52)
+            y = x - noise * np.log(-np.log(u))
+            # Teams are in the order of their ids, which a stable sort keeps among equals.
+            place = np.empty(y.shape, np.int64)
+            np.put_along_axis(place, np.argsort(-y, axis=1, kind="stable"), np.arange(1, k + 1)[None, :], axis=1)
+            sums += np.stack([(place == 1).sum(0), (place <= 4).sum(0), place.sum(0), np.full(k, len(y))])
+        return sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, first in enumerate(b["first"].to_pylist()):
+                ids, x, h = (b[c][i].values for c in ("team_id", "x", "h"))
+                sums = drawn(x.to_numpy(zero_copy_only=False), h.to_numpy().view(np.uint64), first, min(first + RUNS - 1, runs))
+                where = pa.array([b["tournament_id"][i].as_py()] * len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([where, ids, *(pa.array(s, pa.int64()) for s in sums)], names=["tournament_id", "team_id", "first", "top4", "places", "n"])
+
+    s = rows.mapInArrow(run, "tournament_id long, team_id long, first long, top4 long, places long, n long")
+    n = F.sum("n")
+    return s.groupBy("tournament_id", "team_id").agg((F.sum("first") / n).alias("p_first"), (F.sum("top4") / n).alias("p_top4"), (F.sum("places") / n).alias("mean_place"))
 
 
 def first_chances(teams: DataFrame, noise: float = 1.0) -> DataFrame:

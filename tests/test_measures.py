@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podium.functions import scalar
@@ -440,3 +441,15 @@ def test_high_water_mark(spark, tmp_path):
     where = f"file://{tmp_path}/t"
     assert [incremental.append_above(spark, where, rows(*k)) for k in ((), (1, 2, None), (2, 3), (1, 3), (9,))] == [0, 2, 1, 0, 1]
     assert sorted(r[0] for r in Versioned(spark, where).read().collect()) == [1, 2, 3, 9]
+
+
+def test_simulated_places_without_a_row_per_run(spark):
+    rows = [(t, k, float(k * 7 % 5) / 2) for t, n in ((1, 9), (2, 1), (None, 3)) for k in range(n)]
+    teams, runs = spark.createDataFrame(rows, "tournament_id long, team_id long, log_rating double"), 1203
+    u = (F.pmod(F.xxhash64("tournament_id", "team_id", "run", F.lit(42)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    t = teams.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("x", F.col("log_rating") - F.log(-F.log(u)))
+    n = F.row_number().over(Window.partitionBy("tournament_id", "run").orderBy(F.desc("x"), "team_id"))
+    want = t.withColumn("n", n).groupBy("tournament_id", "team_id").agg(F.avg((F.col("n") == 1).cast("double")), F.avg((F.col("n") <= 4).cast("double")), F.avg("n"))
+    got = predict.monte_carlo(teams, runs)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == len(rows)
+    assert "Window" not in got._jdf.queryExecution().analyzed().toString()  # which sorted a row per run
