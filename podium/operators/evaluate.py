@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import scalar
 from podium.operators.summary import competition_rank
-from podium.runtime import broadcast_if_small, written
+from podium.runtime import broadcast_if_small, dropped, written
 
 PRIOR = 0.05
 SCHEMES = ("none", "entropy", "entropy_sqrt", "entropy_squared", "var_inv", "entropy_exp", "threshold")
@@ -107,19 +107,24 @@ def upsets(pred: DataFrame) -> DataFrame:
 
 def alpha_losses(matches: DataFrame, ratings: DataFrame, grid: list[float]) -> DataFrame:
     """Mean loss of every exponent of a grid in one pass, for fitting by maximum likelihood."""
-    pred = predicted(matches, ratings)
+    return _alpha_losses(predicted(matches, ratings), grid)
+
+
+def _alpha_losses(pred: DataFrame, grid: list[float]) -> DataFrame:
     gap = F.log(F.greatest(F.coalesce("winner_rating", F.lit(PRIOR)), F.lit(1e-12))) - F.log(F.greatest(F.coalesce("loser_rating", F.lit(PRIOR)), F.lit(1e-12)))
     sums = pred.agg(*[F.avg(loss(1 / (1 + F.exp(-a * gap)))).alias(f"a{i}") for i, a in enumerate(grid)])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"a{i}").alias("loss")) for i, a in enumerate(grid)])))
 
 
 def fitted_alpha(matches: DataFrame, ratings: DataFrame, low: float = 0.05, high: float = 5.0, rounds: int = 4, points: int = 9) -> float:
-    """The exponent of least loss, by grids that close in around the best point; a pass over the matches per grid."""
+    """The exponent of least loss, by grids that close in around the best point; a pass over the matches, rated once, per grid."""
+    pred = written(predicted(matches, ratings).select("winner_rating", "loser_rating"), "rated")
     for _ in range(rounds):
         grid = np.linspace(low, high, points).tolist()
-        got = {r["alpha"]: r["loss"] for r in alpha_losses(matches, ratings, grid).collect()}
+        got = {r["alpha"]: r["loss"] for r in _alpha_losses(pred, grid).collect()}
         best = min(range(points), key=lambda i: (got[grid[i]], i)) if None not in got.values() else 0
         low, high = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
+    dropped(pred)
     return (low + high) / 2
 
 

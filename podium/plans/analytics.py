@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.operators import convert, evaluate, graph, predict, queue
+from podium.operators import evaluate, predict, queue
+from podium.plans import reference
 from podium.runtime import table, written
 from podium.sources import domain
-from podium.sources.domain import NOW, RATE, sql
+from podium.sources.domain import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,11 +149,10 @@ def exposure_gini(s, d):
 def temporal_cross_validation(s, d):
     """Loss and accuracy per temporal fold: players rated on what came before, teams by their rated members."""
     out = None
-    m, r, a = (written(f(s, d), "cv") for f in (domain.played, domain.rosters, domain.appearances))
+    m, r = (written(f(s, d), "cv") for f in (domain.played, domain.rosters))
+    m = written(reference.with_sides(m, r, domain.appearances(s, d)), "cv")
     for i, (train, test) in enumerate(evaluate.folds(m, 5)):
-        c = convert.compact(convert.weighted(train, NOW, RATE), r, a)
-        rated = graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
-        teams = written(r.join(rated, "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating")), "teams")
+        teams = written(reference.rated_teams(train, r), "teams")
         x = evaluate.weighted_losses(evaluate.predicted(test, teams, prior=1.0), []).withColumn("fold", F.lit(i))
         out = x if out is None else out.unionByName(x)
     return out

@@ -13,7 +13,7 @@ from podium.plans import analytics, reference
 from podium.plans.analytics import evaluated
 from podium.runtime import table, written
 from podium.sources import domain, loaders, queue_docs, store
-from podium.sources.domain import NOW, RATE, sql
+from podium.sources.domain import NOW, sql
 from podium.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,14 +292,9 @@ def surprisal_log_odds(s, d):
 @query()
 def sequential_holdout(s, d):
     """Loss on tournaments held out one after the other, ten of them spaced evenly, from ratings of all before."""
-    m, r, a = (written(f(s, d), "holdout") for f in (domain.played, domain.rosters, domain.appearances))
-
-    def rate(train: DataFrame) -> DataFrame:
-        c = convert.compact(convert.weighted(train, NOW, RATE), r, a)
-        rated = graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
-        return r.join(rated, "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating"))
-
-    return evaluate.sequential_holdout(m, rate, least=10, splits=10)
+    m, r = (written(f(s, d), "holdout") for f in (domain.played, domain.rosters))
+    m = written(reference.with_sides(m, r, domain.appearances(s, d)), "holdout")
+    return evaluate.sequential_holdout(m, lambda train: reference.rated_teams(train, r), least=10, splits=10)
 
 
 @query(sql("mm r", "SELECT user_id AS player_id, max(ts) AS last_active FROM (SELECT r.user_id, mm.ts FROM r JOIN mm ON mm.tournament_id = r.tournament_id AND r.team_id IN (mm.team1_id, mm.team2_id) WHERE mm.ts <= 1735689600 UNION ALL SELECT r.user_id, CAST(floor(start_ms / 1000.0) AS BIGINT) FROM r JOIN st ON st.tournament_id = r.tournament_id WHERE start_ms <= 1735689600000) GROUP BY 1", st=_START))
@@ -348,14 +343,9 @@ def weekly_impacts(s, d):
 @query()
 def tournament_backtest(s, d):
     """Ten tournaments spaced evenly: how the order by earlier ratings agrees with that by wins."""
-    m, r, a = (written(f(s, d), "backtest") for f in (domain.played, domain.rosters, domain.appearances))
-
-    def rate(train: DataFrame) -> DataFrame:
-        c = convert.compact(convert.weighted(train, NOW, RATE), r, a)
-        rated = graph.log_odds(c, graph.Engine(now=NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
-        return r.join(rated, "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating"))
-
-    return quality.backtest(m, rate, least=10, splits=10)
+    m, r = (written(f(s, d), "backtest") for f in (domain.played, domain.rosters))
+    m = written(reference.with_sides(m, r, domain.appearances(s, d)), "backtest")
+    return quality.backtest(m, lambda train: reference.rated_teams(train, r), least=10, splits=10)
 
 
 @query(sql("", "SELECT count(*) AS rows, CAST(sum(match_id) AS BIGINT) AS total FROM q", q="SELECT DISTINCT event_id AS match_id FROM events WHERE event_id IS NOT NULL"))

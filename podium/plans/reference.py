@@ -36,6 +36,21 @@ def _compact(s: SparkSession, d: str) -> DataFrame:
     return convert.compact(_weights(s, d), domain.rosters(s, d), domain.appearances(s, d))
 
 
+def with_sides(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
+    """Played matches with winners, losers, weight and share of their compact form, null where a side isn't known.
+
+    A match's sides depend on no other match: ratings of several parts of the matches take them from here.
+    """
+    c = convert.compact(convert.weighted(m, NOW, RATE), r, a).select("match_id", "winners", "losers", "weight", "share")
+    return m.join(c, "match_id", "left")
+
+
+def rated_teams(train: DataFrame, r: DataFrame) -> DataFrame:
+    """(id, rating) of teams from matches `with_sides`: the mean of exp(log-odds) over their rated members."""
+    rated = graph.log_odds(train.where("winners is not null and losers is not null"), graph.Engine(now=NOW, fixed_lambda=0.025))
+    return r.join(rated.select(F.col("id").alias("user_id"), F.exp("score").alias("x")), "user_id").groupBy(F.col("team_id").alias("id")).agg(F.avg("x").alias("rating"))
+
+
 @query(sql("mm t", """SELECT m.match_id, m.tournament_id, m.winner_team_id, m.loser_team_id, m.ts * 1000 AS ts_ms FROM mm m JOIN t ON t.tournament_id = m.tournament_id
   WHERE m.ts BETWEEN 1704067200 AND 1735689600 AND t.is_ranked"""))
 def load_ranked_matches(s, d):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.operators import convert, evaluate, graph, loo, nested, predict, queue
-from podium.plans import analytics, pipelines, problems, quality, reference
+from podium.plans import analytics, loading, pipelines, problems, quality, reference
 from podium.sources import domain
 
 
@@ -194,3 +194,24 @@ def test_nodes_of_every_type(spark, data):
     paths = {r[2] for r in got}
     assert {"$.staff.user.name", "$.bracketProgression.settings.teamsPerGroup", "$.groups.rounds.bestOf", "$.groups.rounds.maps.mapId", "$.swiss.roundCount"} <= paths
     assert all((r[7] is None) == (r[2] == "$") for r in got)
+
+
+def test_held_out_ratings_share_the_matches_sides(spark, data, monkeypatch):
+    m, r, a = (f(spark, data) for f in (domain.played, domain.rosters, domain.appearances))
+    middle = m.agg(F.percentile("ts", 0.5)).first()[0]
+    c = convert.compact(convert.weighted(m.where(F.col("ts") < middle), domain.NOW, domain.RATE), r, a)
+    scores = graph.log_odds(c, graph.Engine(now=domain.NOW, fixed_lambda=0.025)).select(F.col("id").alias("user_id"), F.exp("score").alias("x"))
+    want = {x[0]: x[1] for x in r.join(scores, "user_id").groupBy("team_id").agg(F.avg("x")).collect()}
+    sides, calls, compact = reference.with_sides(m, r, a), [], convert.compact
+    assert sides.count() == m.count()
+    monkeypatch.setattr(convert, "compact", lambda *x: calls.append(1) or compact(*x))
+    got = {x["id"]: x["rating"] for x in reference.rated_teams(sides.where(F.col("ts") < middle), r).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) / want[k] for k in want) < 1e-6 and not calls
+    monkeypatch.setattr(graph, "log_odds", lambda c, cfg: spark.createDataFrame([(1, 0.0)], "id long, score double"))
+    # The fixture has too few tournaments to hold ten out.
+    for module, name in ((evaluate, "sequential_holdout"), (loading.quality, "backtest")):
+        monkeypatch.setattr(module, name, lambda m, rate, **_: [rate(m) for _ in range(2)])
+    for q in (analytics.temporal_cross_validation, loading.sequential_holdout, loading.tournament_backtest):
+        calls.clear()
+        q(spark, data)
+        assert calls == [1], q.__name__
