@@ -66,6 +66,13 @@ def compact(weights: DataFrame, rosters: DataFrame, appearances: DataFrame | Non
     return m.withColumn("share", F.col("weight") / (F.col("winner_count") * F.col("loser_count")))
 
 
+def scaled(compacted: DataFrame, influence: DataFrame, beta: float = 1.0) -> DataFrame:
+    """Compact matches with weight and share x influence^beta, as `compact` of matches `weighted` by influence has them."""
+    x = F.pow(F.coalesce("strength", F.lit(1.0)), F.lit(beta))
+    j = compacted.join(broadcast_if_small(influence.select("tournament_id", "strength")), "tournament_id", "left")
+    return j.withColumns({c: F.col(c) * x for c in ("weight", "share") if c in compacted.columns}).select(*compacted.columns)
+
+
 def team_edges(weights: DataFrame) -> DataFrame:
     """(loser, winner, weight_sum) between teams."""
     g = weights.groupBy(F.col("loser_team_id").alias("loser"), F.col("winner_team_id").alias("winner"))

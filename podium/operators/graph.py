@@ -452,7 +452,7 @@ def log_odds(compacted: DataFrame, cfg: Engine = Engine()) -> DataFrame:
 
 def _log_odds(compacted: DataFrame, cfg: Engine) -> DataFrame:
     """`log_odds` with quality_mass, the smoothed win PageRank's part of smoothed win and loss."""
-    compacted = written(compacted, "compact")
+    compacted = _once(compacted, compacted, "compact")
     ex = written(convert.exposure(compacted), "exposure")
     total = ex.agg(F.sum(F.col("e_share") + 1e-12)).first()[0] or 1.0
     ex = ex.withColumn("rho", (F.col("e_share") + 1e-12) / F.lit(total))
@@ -502,13 +502,19 @@ def surprisal(compacted: DataFrame, cfg: Engine = Engine(surprisal_rounds=2), ep
 
 def tick_tock_log_odds(matches: DataFrame, rosters: DataFrame, appearances: DataFrame | None, cfg: Engine = Engine(), damping: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Log-odds ratings in a loop with influence from the participants' quality mass, brought to [0.5, 2] and damped,
-    until its mean change before damping is under `cfg.tick_tol`."""
+    until its mean change before damping is under `cfg.tick_tol`.
+
+    Matches' sides and their decayed weights are found once; a tick only scales these.
+    """
     who = written(participants(matches, rosters), "participants")
-    infl, scores = None, None
+    base = written(convert.compact(convert.weighted(matches, cfg.now, cfg.rate), rosters, appearances), "compact")
+    infl, scores, rated = None, None, None
     for _ in range(cfg.max_ticks):
-        rated = written(_log_odds(convert.compact(convert.weighted(matches, cfg.now, cfg.rate, infl, cfg.beta), rosters, appearances), cfg), "scores")
+        c = base if infl is None else written(convert.scaled(base, infl, cfg.beta), "scaled")
+        last, rated = rated, written(_log_odds(c, cfg), "scores")
         scores = rated.drop("quality_mass")
         new = written(rescaled(influence(rated.select("id", F.col("quality_mass").alias("score")), who, cfg.influence_method)), "influence")
+        dropped(last, None if infl is None else c)
         if infl is None:
             infl = new
             continue

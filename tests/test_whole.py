@@ -215,3 +215,22 @@ def test_held_out_ratings_share_the_matches_sides(spark, data, monkeypatch):
         calls.clear()
         q(spark, data)
         assert calls == [1], q.__name__
+
+
+def test_ticks_of_log_odds_share_the_matches_sides(spark, monkeypatch):
+    rows = [(i, i % 3, w, l, 1_700_000_000 - 86400 * i) for i, (w, l) in enumerate([(0, 1), (1, 2), (2, 0), (0, 2), (1, 0), (2, 1), (0, 1), (1, 2), (0, 2)])]
+    m = spark.createDataFrame(rows, "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    r = spark.createDataFrame([(t, k, 4 * k + i + t) for t in range(3) for k in range(3) for i in range(4)], "tournament_id long, team_id long, user_id long")
+    # In the first match one more player appears than the roster has.
+    a = spark.createDataFrame([(0, 0, 0, u) for u in (0, 1, 2, 99)], "tournament_id long, match_id long, team_id long, user_id long")
+    infl = spark.createDataFrame([(0, 0.5), (1, 2.0)], "tournament_id long, strength double")
+    w = lambda *x: convert.compact(convert.weighted(m, 1_700_000_000, 0.01, *x), r, a)
+    want = {x["match_id"]: x for x in w(infl, 1.5).collect()}
+    for x in convert.scaled(w(), infl, 1.5).collect():
+        y = want.pop(x["match_id"])
+        assert x["winners"] == y["winners"] and x["losers"] == y["losers"] and abs(x["weight"] / y["weight"] - 1) < 1e-12 and abs(x["share"] / y["share"] - 1) < 1e-12
+    assert not want
+    calls, compact = [], convert.compact
+    monkeypatch.setattr(convert, "compact", lambda *x: calls.append(1) or compact(*x))
+    scores, got = graph.tick_tock_log_odds(m, r, a, graph.Engine(now=1_700_000_000, max_ticks=4, tick_tol=0.0))
+    assert 99 in {x["id"] for x in scores.collect()} and got.count() == 3 and calls == [1]
