@@ -28,7 +28,7 @@ def update(
     a = None if appearances is None else written(convert.legacy_appearances(appearances, m, r), "appearances")
     infl = graph.tick_tock(m, r, cfg)[1] if with_influence else m.select("tournament_id").dropna().distinct().withColumn("strength", F.lit(1.0))
     infl = written(infl, "influence")
-    c = written(convert.compact(convert.weighted(m, cfg.now, cfg.rate, infl, cfg.beta), r, a), "compact")
+    c = written(convert.compact(convert.weighted(m, cfg.now, cfg.rate, infl, cfg.beta), r, a, named=True), "compact")
     rated = written(graph.log_odds(c, cfg), "rated")
     stats = written(convert.player_stats(m, r, a).withColumnRenamed("user_id", "player_id"), "stats")
     ranked = summary.post_processed(rated.withColumnRenamed("id", "player_id"), stats, cfg.now, min_tournaments=min_tournaments)

@@ -43,19 +43,22 @@ def inferred(appearances: DataFrame, rosters: DataFrame) -> DataFrame:
     return a.withColumn("team_id", F.coalesce("team_id", "roster_team")).drop("roster_team")
 
 
-def played_lists(appearances: DataFrame, rosters: DataFrame) -> DataFrame:
-    a = inferred(appearances, rosters).dropna(subset=["tournament_id", "match_id", "team_id", "user_id"])
+def played_lists(appearances: DataFrame, rosters: DataFrame, named: bool = False) -> DataFrame:
+    a = (appearances if named else inferred(appearances, rosters)).dropna(subset=["tournament_id", "match_id", "team_id", "user_id"])
     return a.groupBy("tournament_id", "match_id", "team_id").agg(F.array_sort(F.collect_set("user_id")).alias("played"))
 
 
-def compact(weights: DataFrame, rosters: DataFrame, appearances: DataFrame | None = None, share: bool = True) -> DataFrame:
-    """One row per match: winners, losers (who played, else the roster), weight, ts, counts and the share of a pair."""
+def compact(weights: DataFrame, rosters: DataFrame, appearances: DataFrame | None = None, share: bool = True, named: bool = False) -> DataFrame:
+    """One row per match: winners, losers (who played, else the roster), weight, ts, counts and the share of a pair.
+
+    named: every appearance names its team, so no roster is asked for it.
+    """
     rl = roster_lists(rosters)
     m = weights
     for side in ("winner", "loser"):
         m = m.join(rl.withColumnsRenamed({"team_id": f"{side}_team_id", "roster": f"{side}_roster"}), ["tournament_id", f"{side}_team_id"], "left")
     if appearances is not None:
-        pl = played_lists(appearances, rosters)
+        pl = played_lists(appearances, rosters, named)
         for side in ("winner", "loser"):
             m = m.join(pl.withColumnsRenamed({"team_id": f"{side}_team_id", "played": f"{side}_played"}), ["tournament_id", "match_id", f"{side}_team_id"], "left")
     who = lambda s: F.coalesce(*([F.col(f"{s}_played")] if appearances is not None else []), F.col(f"{s}_roster"))
@@ -154,8 +157,9 @@ def legacy_appearances(appearances: DataFrame, matches: DataFrame, rosters: Data
     """Distinct appearances in the given matches of players on a roster of their tournament, with their team; those whose
     team isn't known are left out."""
     a = appearances.join(matches.select("tournament_id", "match_id").dropna().distinct(), ["tournament_id", "match_id"], "left_semi")
-    a = a.join(rosters.select("tournament_id", "user_id").dropna().distinct(), ["tournament_id", "user_id"], "left_semi")
-    return inferred(a, rosters).where("team_id is not null").select("tournament_id", "match_id", "user_id", "team_id").distinct()
+    r = rosters.select("tournament_id", "user_id", F.col("team_id").alias("roster_team")).dropna(subset=["tournament_id", "user_id"]).distinct()
+    a = a.join(r, ["tournament_id", "user_id"]).withColumn("team_id", F.coalesce("team_id", "roster_team"))
+    return a.where("team_id is not null").select("tournament_id", "match_id", "user_id", "team_id").distinct()
 
 
 def enriched(appearances: DataFrame, matches: DataFrame, rosters: DataFrame) -> DataFrame:

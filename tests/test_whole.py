@@ -6,7 +6,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from podium.operators import convert, evaluate, graph, loo, nested, predict, queue
+from podium.operators import batch, convert, evaluate, graph, loo, nested, predict, queue
 from podium.plans import analytics, loading, pipelines, problems, quality, reference
 from podium.sources import domain
 
@@ -234,3 +234,21 @@ def test_ticks_of_log_odds_share_the_matches_sides(spark, monkeypatch):
     monkeypatch.setattr(convert, "compact", lambda *x: calls.append(1) or compact(*x))
     scores, got = graph.tick_tock_log_odds(m, r, a, graph.Engine(now=1_700_000_000, max_ticks=4, tick_tol=0.0))
     assert 99 in {x["id"] for x in scores.collect()} and got.count() == 3 and calls == [1]
+
+
+def test_production_finds_teams_and_sides_once(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 2, w, l, 1_700_000_000 - 86400 * i) for i, (w, l) in enumerate([(0, 1), (1, 2), (2, 0), (0, 2)])]
+    m = spark.createDataFrame(rows, "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    # Player 1 is on two rosters of tournament 0.
+    r = spark.createDataFrame([(t, k, 4 * k + i) for t in range(2) for k in range(3) for i in range(4)] + [(0, 1, 1)], "tournament_id long, team_id long, user_id long")
+    a = spark.createDataFrame([(0, 0, 1, None), (0, 0, 0, 0), (0, 0, 4, None), (0, 0, 77, 0), (0, 9, 0, 0)], "tournament_id long, match_id long, user_id long, team_id long")
+    got = convert.legacy_appearances(a, m, r)
+    assert sorted(tuple(x) for x in got.collect()) == [(0, 0, 0, 0), (0, 0, 1, 0), (0, 0, 1, 1), (0, 0, 4, 1)]
+    w = convert.weighted(m, 1_700_000_000, 0.01)
+    sides = [sorted((x["match_id"], x["winners"], x["losers"], x["share"]) for x in convert.compact(w, r, got, named=n).collect()) for n in (False, True)]
+    assert sides[0] == sides[1] and sides[0][0][1:3] == ([0, 1], [1, 4])
+    names, asked, written, inferred = [], [], graph.written, convert.inferred
+    monkeypatch.setattr(graph, "written", lambda df, name="t", *x: names.append(name) or written(df, name, *x))
+    monkeypatch.setattr(convert, "inferred", lambda *x: asked.append(1) or inferred(*x))
+    batch.update(spark, f"file://{tmp_path}", m, r, a, "build", 1, graph.Engine(now=1_700_000_000, max_ticks=1))
+    assert "log_odds" in names and "compact" not in names and not asked
