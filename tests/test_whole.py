@@ -252,3 +252,29 @@ def test_production_finds_teams_and_sides_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(convert, "inferred", lambda *x: asked.append(1) or inferred(*x))
     batch.update(spark, f"file://{tmp_path}", m, r, a, "build", 1, graph.Engine(now=1_700_000_000, max_ticks=1))
     assert "log_odds" in names and "compact" not in names and not asked
+
+
+def test_graph_without_matches_stays_on_executors(spark, monkeypatch):
+    g = np.random.default_rng(11)
+    rows = [(i, w, l, 1_700_000_000 - 86400 * i) for i, (w, l) in enumerate(g.integers(0, 8, (40, 2)).tolist()) if w != l]
+    m = spark.createDataFrame([(i, 0, w, l, ts) for i, w, l, ts in rows], "match_id long, tournament_id long, winner_team_id long, loser_team_id long, ts long")
+    # Player 3 is on two teams, so also on both sides of their matches.
+    r = spark.createDataFrame([(0, k, 4 * k + i) for k in range(8) for i in range(4)] + [(0, 1, 3)], "tournament_id long, team_id long, user_id long")
+    c = convert.compact(convert.weighted(m, 1_700_000_000, 0.01), r)
+    wanted = c.select("match_id", F.explode(F.array_union("winners", "losers")).alias("id")).where("match_id % 8 = 1")
+    frame = type(wanted)
+
+    def never(*_):
+        raise AssertionError("a table came to the driver")
+
+    with monkeypatch.context() as x:
+        x.setattr(frame, "toArrow", never)
+        x.setattr(frame, "toPandas", never)
+        x.setattr(type(spark.sparkContext), "broadcast", never)
+        got = {(x["id"], x["match_id"]): x for x in loo.exact(c, wanted, 0.025).collect()}
+    cfg = graph.Engine(fixed_lambda=0.025, pagerank=graph.PageRank(tol=1e-14, max_iter=500))
+    old = {x["id"]: x["score"] for x in graph.log_odds(c, cfg).collect()}
+    assert got and all(abs(old[p] - x["old_score"]) < 1e-8 for (p, _), x in got.items())
+    k = min(match for _, match in got)
+    new = {x["id"]: x["score"] for x in graph.log_odds(c.where(F.col("match_id") != k), cfg).collect()}
+    assert all(abs(new[p] - x["new_score"]) < 1e-6 for (p, match), x in got.items() if match == k)
