@@ -278,3 +278,23 @@ def test_graph_without_matches_stays_on_executors(spark, monkeypatch):
     k = min(match for _, match in got)
     new = {x["id"]: x["score"] for x in graph.log_odds(c.where(F.col("match_id") != k), cfg).collect()}
     assert all(abs(new[p] - x["new_score"]) < 1e-6 for (p, match), x in got.items() if match == k)
+
+
+def test_columns_settle_in_few_steps(monkeypatch):
+    g = np.random.default_rng(3)
+    # Two circuits of 400 players, of whom a few meet: steps alone take some 150 to settle.
+    rosters = g.permuted(np.tile(np.arange(400), (120, 1)), axis=1)[:, :4] + 400 * (np.arange(120) % 2)[:, None]
+    give, take = g.integers(0, 60, (2, 900)) * 2 + g.integers(0, 2, 900)
+    take[:6] ^= 1
+    share = g.random(900) + 0.1
+    src, dst = (np.repeat(rosters[x], k, axis=1).ravel() if k else np.tile(rosters[y], (1, 4)).ravel() for x, y, k in ((give, take, 4), (give, take, 0)))
+    key, at = np.unique(src * 800 + dst, return_inverse=True)
+    w = np.bincount(at, weights=np.repeat(share, 16))
+    src, dst = key // 800, key % 800
+    out = np.bincount(src, weights=w, minlength=800)
+    sides = (rosters.ravel(), np.repeat(np.arange(120), 4), give, take, share)
+    fast, exact = (loo.Inverse(src, dst, w, out, sides, out + np.bincount(dst, weights=w, minlength=800), 0.85, dense) for dense in (0, 800))
+    steps, step = [], loo.Inverse.step
+    monkeypatch.setattr(loo.Inverse, "step", lambda self, x: (steps.append(1), step(self, x))[1])
+    js = np.arange(0, 800, 13)
+    assert np.abs(fast.columns(js) - exact.columns(js)).max() < 1e-8 and len(steps) < 60
